@@ -22,6 +22,8 @@ WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 # Everything that cleaning turns into blanks: no word character, or a digit.
 DROPPED = r"[^\p{L}\p{Nl}\p{No}_]"
+# A run of it, unless the run is a lone blank, which can stay as it is.
+DROPPED_RUN = rf"[^ \p{{L}}\p{{Nl}}\p{{No}}_]{DROPPED}*| {DROPPED}+"
 
 # The same blanks as a plain list, for trimming.
 SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -77,6 +79,13 @@ def count_blank_separated(col: Column) -> Column:
     return F.regexp_count(col, F.lit(f"{NOT_SPACE}+")).cast("int")
 
 
+def has_more_tokens(col: Column, count: int) -> Column:
+    """Whether a text has more blank-separated tokens than ``count``; reads no
+    further than it must."""
+    blank = f"[{SPACE}]"
+    return col.rlike(f"^{blank}*+(?:{NOT_SPACE}++{blank}++){{{max(count, 0)}}}+{NOT_SPACE}")
+
+
 def count_words(col: Column) -> Column:
     """Number of runs of word characters; 0 for a missing text."""
     return F.coalesce(F.regexp_count(col, F.lit(f"{WORD}+")), F.lit(0)).cast("int")
@@ -105,7 +114,7 @@ def clean_text(col: Column) -> Column:
     text = F.when(
         text.contains("@"), F.regexp_replace(text, mail, " ")
     ).otherwise(text)
-    return F.btrim(F.regexp_replace(text, f"{DROPPED}+", " "))
+    return F.btrim(F.regexp_replace(text, DROPPED_RUN, " "))
 
 
 def _without_marks(char: str) -> str:
@@ -134,7 +143,8 @@ def accent_table() -> tuple[str, str, str]:
         else:
             several.append([code, code])
     spans = "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in several)
-    return "".join(plain_from), "".join(plain_to), f"[{spans}]"
+    # The look-ahead spares ASCII characters the comparison with every span.
+    return "".join(plain_from), "".join(plain_to), rf"(?=[^\x{{0}}-\x{{7f}}])[{spans}]"
 
 
 def strip_accents(col: Column) -> Column:
@@ -146,10 +156,9 @@ def strip_accents(col: Column) -> Column:
     batch; for all other rows that function is handed a null.
     """
     one, plain, several = accent_table()
-    apart = F.when(col.rlike(several), col)
-    in_jvm = F.when(
-        col.rlike(r"[^\x{0}-\x{7f}]"), F.translate(col, one, plain)
-    ).otherwise(col)
+    is_ascii = F.octet_length(col) == F.length(col)
+    apart = F.when(~is_ascii & col.rlike(several), col)
+    in_jvm = F.when(is_ascii, col).otherwise(F.translate(col, one, plain))
     return F.coalesce(_decompose()(apart), in_jvm)
 
 

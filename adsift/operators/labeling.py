@@ -51,7 +51,7 @@ def rule_flags(
     predicates = {
         "email_suspicious": F.col("email_domain").isin(list(email_domains)),
         "missing_description": description.isNull()
-        | (F.col("desc_wordcount_ws") <= desc_threshold),
+        | ~text.has_more_tokens(description, desc_threshold),
         "vague_company": text.contains_any(company, vague_keywords)
         | (F.length(text.strip(company)) < 3),
         "salary_unrealistic": (lower < fixed.MIN_LOWER_LPA)

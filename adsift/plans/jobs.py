@@ -191,12 +191,13 @@ def fit_models(
     trees: int | None = None,
     max_depth: int = 15,
     rounds: int | None = None,
+    max_iter: int = 5000,
 ) -> dict:
     """The three classifiers by report name."""
     logistic = (
-        training.fit_calibrated(parts.train, version=version)
+        training.fit_calibrated(parts.train, version=version, max_iter=max_iter)
         if calibrate
-        else training.fit_logistic(parts.train, version)
+        else training.fit_logistic(parts.train, version, max_iter)
     )
     return {
         "LogisticRegression": logistic,

@@ -18,6 +18,7 @@ from adsift.sources.storage import stage
 TREES = 20
 DEPTH = 6
 ROUNDS = 10
+ITERATIONS = 50
 SVD_DIM = 10
 DIGITS = 6
 
@@ -50,7 +51,8 @@ def null_tokens(spark, sf):
 
 
 def surrogate_key(spark, sf):
-    keyed = source.surrogate_key(job_postings(spark, sf).drop("job_id"))
+    documents = spark.read.parquet(f"{sf}/documents.parquet")
+    keyed = source.surrogate_key(documents.select(F.col("text").alias("job_description")))
     return keyed.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.min("job_id").alias("first_id"),
@@ -393,12 +395,14 @@ def _parts(spark, sf) -> jobs.Parts:
 
 def lr_scores(spark, sf):
     parts = _parts(spark, sf)
-    return training.score(training.fit_logistic(parts.train), parts.test, "LogisticRegression")
+    return training.score(
+        training.fit_logistic(parts.train, max_iter=ITERATIONS), parts.test, "LogisticRegression"
+    )
 
 
 def calibrated_scores(spark, sf):
     parts = _parts(spark, sf)
-    models = training.fit_calibrated(parts.train)
+    models = training.fit_calibrated(parts.train, max_iter=ITERATIONS)
     return training.score_calibrated(models, parts.test, "LogisticRegression")
 
 
@@ -423,7 +427,7 @@ def feature_importance(spark, sf):
 
 def model_report(spark, sf):
     parts = _parts(spark, sf)
-    models = jobs.fit_models(parts, trees=TREES, max_depth=DEPTH, rounds=ROUNDS)
+    models = jobs.fit_models(parts, trees=TREES, max_depth=DEPTH, rounds=ROUNDS, max_iter=ITERATIONS)
     scores = stage(jobs.score_models(models, parts.test), "scores")
     return jobs.metrics_table(scores)
 

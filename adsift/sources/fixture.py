@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from adsift.sources.storage import spread_small
+
 
 def _pick(values, modulus=None):
     modulus = modulus or len(values)
@@ -89,5 +91,5 @@ FROM documents
 
 
 def job_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    documents = spread_small(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     return spark.sql(POSTINGS_SQL.replace("FROM documents", "FROM {documents}"), documents=documents)

@@ -38,3 +38,21 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     """A sink: parquet, replacing what was there."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+# A table of less than this for each core is spread over the cores.
+SPREAD_BYTES_PER_CORE = 32 << 20
+
+
+def spread_small(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small scan over all cores; leave a large one alone.
+
+    A file with a single row group is a single task, however many cores wait,
+    and the text work is CPU-bound.  Moving a few megabytes is cheap; a large
+    table has splits enough and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) < SPREAD_BYTES_PER_CORE * cores:
+        return df.repartition(cores, key)
+    return df
