@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adsift.functions import fixed_values as fixed
@@ -32,13 +32,13 @@ def to_number(col: Column) -> Column:
 
     The pattern keeps out what a bare cast would let pass (``5d``, ``NaN``).
     """
-    text = strip(ascii_digits(col))
+    text = strip(col)
     return F.when(text.rlike(WHOLE_NUMBER), text.try_cast("double"))
 
 
 def numbers_in(col: Column) -> Column:
     """Array of the unsigned decimal numbers in a text, in order."""
-    found = F.regexp_extract_all(ascii_digits(col), F.lit(NUMBER), F.lit(0))
+    found = F.regexp_extract_all(col, F.lit(NUMBER), F.lit(0))
     return found.try_cast("array<double>")
 
 
@@ -48,52 +48,65 @@ def _without(col: Column, *parts: str) -> Column:
     return col
 
 
-def label_salary_bounds(col: Column) -> tuple[Column, Column]:
+def add_label_salary(df: DataFrame, low: str, high: str) -> DataFrame:
     """Lower and upper salary as the labelling rules read them.
 
     With the unit in the text the rest must be one number, an open ``n+``
     (upper bound doubled) or exactly ``a-b``; without it the first two numbers
-    count.
+    count.  The steps are columns of their own, so that each is computed once.
     """
-    text = _without(F.lower(col), " ")
-    amount = _without(text, "lpa")
-    single = to_number(_without(amount, "+"))
-    ends = F.split(amount, "-", -1)
-    low, high = to_number(F.get(ends, F.lit(0))), to_number(F.get(ends, F.lit(1)))
-    is_pair = (F.size(ends) == 2) & low.isNotNull() & high.isNotNull()
-    free = numbers_in(text)
-    first = F.get(free, F.lit(0))
-
+    text, amount = F.col("_text"), F.col("_amount")
+    ends, free = F.col("_ends"), F.col("_free")
+    first, single = F.get(free, F.lit(0)), F.col("_single")
+    is_pair = (F.size(ends) == 2) & (F.size(F.array_compact(ends)) == 2)
     with_unit = text.contains("lpa")
-    is_open = amount.contains("+")
-    is_range = amount.contains("-")
-    lower = (
-        F.when(~with_unit, first)
-        .when(is_open, single)
-        .when(is_range, F.when(is_pair, low))
-        .otherwise(single)
+    is_open, is_range = amount.contains("+"), amount.contains("-")
+    steps = (
+        df.withColumn("_text", _without(ascii_digits(F.lower("salary_range")), " "))
+        .withColumns({"_amount": _without(text, "lpa"), "_free": numbers_in(text)})
+        .withColumns(
+            {
+                "_single": to_number(_without(amount, "+")),
+                "_ends": F.transform(F.split(amount, "-", -1), to_number),
+            }
+        )
     )
-    upper = (
-        F.when(~with_unit, F.coalesce(F.get(free, F.lit(1)), first))
-        .when(is_open, single * 2)
-        .when(is_range, F.when(is_pair, high))
-        .otherwise(single)
+    return steps.withColumns(
+        {
+            low: F.when(~with_unit, first)
+            .when(is_open, single)
+            .when(is_range, F.when(is_pair, F.get(ends, F.lit(0))))
+            .otherwise(single),
+            high: F.when(~with_unit, F.coalesce(F.get(free, F.lit(1)), first))
+            .when(is_open, single * 2)
+            .when(is_range, F.when(is_pair, F.get(ends, F.lit(1))))
+            .otherwise(single),
+        }
+    ).drop("_text", "_amount", "_free", "_single", "_ends")
+
+
+def add_first_two(
+    df: DataFrame, source: Column, low: str, high: str, span: int = 0
+) -> DataFrame:
+    """First two numbers of a text; a single one is followed by itself plus
+    ``span``."""
+    found = F.col("_numbers")
+    first = F.get(found, F.lit(0))
+    return (
+        df.withColumn("_numbers", numbers_in(ascii_digits(source)))
+        .withColumns({low: first, high: F.coalesce(F.get(found, F.lit(1)), first + span)})
+        .drop("_numbers")
     )
-    return lower, upper
 
 
-def feature_salary_bounds(col: Column) -> tuple[Column, Column]:
-    """Lower and upper salary as the features read them: the first two numbers."""
-    found = numbers_in(_without(F.lower(col), "lpa", "inr", "₹"))
-    first = F.get(found, F.lit(0))
-    return first, F.coalesce(F.get(found, F.lit(1)), first)
+def add_feature_salary(df: DataFrame, low: str, high: str) -> DataFrame:
+    """Lower and upper salary as the features read them."""
+    text = _without(F.lower("salary_range"), "lpa", "inr", "₹")
+    return add_first_two(df, text, low, high)
 
 
-def experience_bounds(col: Column) -> tuple[Column, Column]:
-    """First two numbers; a single one opens a range of two years."""
-    found = numbers_in(col)
-    first = F.get(found, F.lit(0))
-    return first, F.coalesce(F.get(found, F.lit(1)), first + 2)
+def add_experience(df: DataFrame, low: str, high: str) -> DataFrame:
+    return add_first_two(df, F.col("experience_required"), low, high, span=2)
 
 
 def _first_digits(col: Column) -> Column:

@@ -105,8 +105,7 @@ def add_date_features(df: DataFrame, formats: dict | None = None) -> DataFrame:
 
 
 def add_salary_features(df: DataFrame) -> DataFrame:
-    low, high = parsing.feature_salary_bounds(F.col("salary_range"))
-    return df.withColumns({"min_salary": low, "max_salary": high}).withColumn(
+    return parsing.add_feature_salary(df, "min_salary", "max_salary").withColumn(
         "avg_salary", _mean_of_bounds("min_salary", "max_salary")
     )
 
@@ -119,8 +118,7 @@ def add_salary_category(df: DataFrame) -> DataFrame:
 
 
 def add_experience_features(df: DataFrame) -> DataFrame:
-    low, high = parsing.experience_bounds(F.col("experience_required"))
-    return df.withColumns({"min_experience": low, "max_experience": high}).withColumn(
+    return parsing.add_experience(df, "min_experience", "max_experience").withColumn(
         "avg_experience", _mean_of_bounds("min_experience", "max_experience")
     )
 
@@ -276,7 +274,7 @@ def add_composites(df: DataFrame) -> DataFrame:
     zero = F.lit(0.0)
     applicants = F.col("number_of_applicants")
     if dict(df.dtypes)["number_of_applicants"] == "string":
-        applicants = parsing.to_number(applicants)
+        applicants = parsing.to_number(parsing.ascii_digits(applicants))
     education = F.col("education_level") if "education_level" in df.columns else zero
     days = F.greatest(F.col("days_to_deadline"), F.lit(0))
     return (

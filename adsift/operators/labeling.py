@@ -18,11 +18,9 @@ FLAG_PREFIX = "flag_"
 
 def derive_fields(df: DataFrame) -> DataFrame:
     """Salary bounds, experience, word count, size bucket, domain, applicants."""
-    lower, upper = parsing.label_salary_bounds(F.col("salary_range"))
+    df = parsing.add_label_salary(df, "salary_lower_lpa", "salary_upper_lpa")
     return df.withColumns(
         {
-            "salary_lower_lpa": lower,
-            "salary_upper_lpa": upper,
             "exp_years": parsing.years_of_experience(F.col("experience_required")),
             "desc_wordcount_ws": text.count_blank_separated(
                 text.text_of(F.col("job_description"))
@@ -30,7 +28,7 @@ def derive_fields(df: DataFrame) -> DataFrame:
             "company_size_bucket": parsing.company_size_bucket(F.col("company_size")),
             "email_domain": parsing.email_domain(F.col("recruiter_email")),
             "number_of_applicants": parsing.to_number(
-                F.col("number_of_applicants").cast("string")
+                parsing.ascii_digits(F.col("number_of_applicants").cast("string"))
             ),
         }
     )

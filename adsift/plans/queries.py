@@ -31,10 +31,6 @@ def _rounded(*names: str) -> list[Column]:
     return [F.round(F.col(n), DIGITS).alias(n) for n in names]
 
 
-def _bounds(pair: tuple[Column, Column], low: str, high: str) -> list[Column]:
-    return [pair[0].alias(low), pair[1].alias(high)]
-
-
 # --- sources --------------------------------------------------------------------
 
 
@@ -82,10 +78,8 @@ def dedup_counts(spark, sf):
 
 
 def salary_bounds_label(spark, sf):
-    bounds = parsing.label_salary_bounds(F.col("salary_range"))
-    return postings(spark, sf).select(
-        "job_id", *_bounds(bounds, "salary_lower_lpa", "salary_upper_lpa")
-    )
+    names = "salary_lower_lpa", "salary_upper_lpa"
+    return parsing.add_label_salary(postings(spark, sf), *names).select("job_id", *names)
 
 
 def experience_years(spark, sf):
@@ -109,7 +103,7 @@ def email_domain(spark, sf):
 
 
 def applicants_number(spark, sf):
-    number = parsing.to_number(F.col("number_of_applicants"))
+    number = parsing.to_number(parsing.ascii_digits(F.col("number_of_applicants")))
     return postings(spark, sf).select("job_id", number.alias("number_of_applicants"))
 
 
