@@ -61,7 +61,8 @@ def fit_category_codes(df: DataFrame, columns=fixed.ENCODED_COLUMNS) -> DataFram
     ranked = running_totals(
         values.withColumn("_one", F.lit(1)), [F.col("value")], {"_rank": "_one"}, ("column_name",)
     )
-    return ranked.select("column_name", "value", (F.col("_rank") - 1).cast("int").alias("code"))
+    coded = ranked.select("column_name", "value", (F.col("_rank") - 1).cast("int").alias("code"))
+    return stage(coded, "codes")
 
 
 def _is_small(dictionary: DataFrame) -> bool:

@@ -1,40 +1,102 @@
-"""Truncated SVD of the TF-IDF vectors: an uncentred low-rank projection."""
+"""Truncated SVD of the TF-IDF vectors: an uncentred low-rank projection.
+
+Randomised subspace iteration (Halko, Martinsson, Tropp 2011).  One iteration is
+one pass over the rows, so the pass count does not grow with the rank; only
+matrices of vocabulary x rank leave the executors.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adsift.functions import fixed_values as fixed
 
+OVERSAMPLES = 10
+ITERATIONS = 5
+# Numbers held at once when a batch of rows is multiplied.
+CHUNK_CELLS = 4_000_000
+
 
 def clamp_rank(wanted: int, features: int) -> int:
     return max(1, features - 1) if wanted >= features else wanted
 
 
+def _gram_product(df: DataFrame, vector: str, basis: np.ndarray) -> np.ndarray:
+    """A'A times the basis in one pass.
+
+    Each task sums its rows' share; the shares are then added by term.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(basis)
+    cells = CHUNK_CELLS
+
+    def partial_sums(batches):
+        matrix = shared.value
+        total = np.zeros_like(matrix)
+        for batch in batches:
+            lengths = batch["indices"].map(len).to_numpy()
+            batch, lengths = batch[lengths > 0], lengths[lengths > 0]
+            done = 0
+            while done < len(batch):
+                ends = np.cumsum(lengths[done:])
+                take = max(1, int(np.searchsorted(ends, cells // matrix.shape[1], "right")))
+                part = batch.iloc[done : done + take]
+                counts = lengths[done : done + take]
+                done += take
+                terms = np.concatenate(part["indices"].to_list())
+                weights = np.concatenate(part["values"].to_list())[:, None]
+                starts = np.cumsum(counts) - counts
+                products = np.add.reduceat(weights * matrix[terms], starts)
+                order = np.argsort(terms, kind="stable")
+                spread = (weights * np.repeat(products, counts, axis=0))[order]
+                found, first = np.unique(terms[order], return_index=True)
+                total[found] += np.add.reduceat(spread, first)
+        used = np.flatnonzero(total.any(axis=1))
+        yield pd.DataFrame({"term_id": used, "part": list(total[used])})
+
+    inner = F.unwrap_udt(F.col(vector))
+    rows = df.select(inner["indices"].alias("indices"), inner["values"].alias("values"))
+    parts = rows.mapInPandas(partial_sums, "term_id int, part array<double>")
+    sums = (
+        parts.select("term_id", array_to_vector("part").alias("part"))
+        .groupBy("term_id")
+        .agg(Summarizer.sum(F.col("part")).alias("total"))
+        .collect()
+    )
+    product = np.zeros_like(basis)
+    for r in sums:
+        product[r["term_id"]] = r["total"].toArray()
+    return product
+
+
 def fit_svd(
-    df: DataFrame, features: int, rank: int = fixed.SVD_DIM, vector: str = "tfidf"
+    df: DataFrame,
+    features: int,
+    rank: int = fixed.SVD_DIM,
+    vector: str = "tfidf",
+    iterations: int = ITERATIONS,
+    seed: int = fixed.SEED,
 ) -> np.ndarray:
     """Right singular vectors, one column per component, largest first.
 
-    The products with the matrix run on Spark over the cached sparse rows; the
-    driver holds vectors as long as the vocabulary, never rows.  Each component
-    is signed so that its largest entry is positive, which makes runs agree.
+    ``df`` should be a staged table: it is read once for each iteration and
+    once for the result.  Each component is signed so that its largest entry is
+    positive, which makes runs agree.
     """
     rank = clamp_rank(rank, features)
-    rows = MLUtils.convertVectorColumnsFromML(df.select(vector), vector)
-    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        result = RowMatrix(rows, numCols=features).computeSVD(rank)
-        components = result.V.toArray()
-    finally:
-        rows.unpersist()
-    peak = components[np.abs(components).argmax(axis=0), np.arange(components.shape[1])]
+    width = min(features, rank + OVERSAMPLES)
+    basis = np.random.default_rng(seed).standard_normal((features, width))
+    basis = np.linalg.qr(basis)[0]
+    for _ in range(iterations):
+        basis = np.linalg.qr(_gram_product(df, vector, basis))[0]
+    small = basis.T @ _gram_product(df, vector, basis)
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    components = basis @ vectors[:, np.argsort(values)[::-1][:rank]]
+    peak = components[np.abs(components).argmax(axis=0), np.arange(rank)]
     return components * np.where(peak < 0, -1.0, 1.0)
 
 

@@ -42,6 +42,7 @@ def canonical_names(df: DataFrame) -> DataFrame:
 def tolerant_schema(df: DataFrame) -> DataFrame:
     """Null tokens become null; columns the input lacks get their default."""
     types = dict(df.dtypes)
+    tokens = ", ".join(f"'{token}'" for token in fixed.NULL_TOKENS)
     columns = {}
     for name in POSTING_SCHEMA.names:
         if name == "job_id":
@@ -50,8 +51,7 @@ def tolerant_schema(df: DataFrame) -> DataFrame:
         elif name not in types:
             columns[name] = F.lit(fixed.ABSENT_DEFAULTS.get(name)).cast("string")
         else:
-            text = F.col(name).cast("string")
-            columns[name] = F.when(~text.isin(fixed.NULL_TOKENS), text)
+            columns[name] = F.expr(f"CASE WHEN string({name}) NOT IN ({tokens}) THEN string({name}) END")
     return df.withColumns(columns)
 
 

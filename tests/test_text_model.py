@@ -108,13 +108,14 @@ def test_tfidf_plan_has_no_shuffle(spark, documents):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
-def test_svd_matches_numpy(spark, documents):
+def test_svd_matches_numpy(spark, documents, monkeypatch):
     df = spark.createDataFrame(list(enumerate(documents)), "job_id long, words array<string>")
     model = vocabulary.TextModel.fit(df, max_features=40)
     vectors = model.transform(df).select("job_id", "tfidf")
     rows = vectors.orderBy("job_id").collect()
     matrix = np.array([r["tfidf"].toArray() for r in rows])
-    components = reduction.fit_svd(vectors, len(model.terms), 4)
+    monkeypatch.setattr(reduction, "CHUNK_CELLS", 300)
+    components = reduction.fit_svd(vectors, len(model.terms), 4, iterations=25)
     truth = np.linalg.svd(matrix, full_matrices=False)[2][:4].T
     assert np.abs((components * truth).sum(axis=0)) == pytest.approx(np.ones(4), abs=1e-6)
     projected = reduction.apply_svd(vectors, components).orderBy("job_id").collect()
