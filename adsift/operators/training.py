@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from adsift.functions import fixed_values as fixed
 from adsift.operators.ordered import hash_cuts, upto_cut
+from adsift.sources.storage import stage
 
 _NOT_FEATURES = ("job_id", "fake_label", "label", "split")
 
@@ -255,7 +256,7 @@ def fit_calibrated(
 
     ``folds`` is a small constant, so this driver loop is three model fits.
     """
-    sample = with_folds(calibration_sample(train, fraction), folds)
+    sample = stage(with_folds(calibration_sample(train, fraction), folds), "calibration")
     fitted = []
     for fold in range(folds):
         model = fit_logistic(sample.where(F.col("fold") != fold), **logistic)

@@ -74,6 +74,23 @@ def _pair_counts(df: DataFrame, words: str, able: list[str] | None) -> DataFrame
     return count_terms(marked, F.array_compact(text.bigrams(F.col("_words"))))
 
 
+def _count_at_rank(counted: DataFrame, rank: int) -> int:
+    """The ``tf`` of the term at a rank; 0 if there are fewer terms.
+
+    The counts by binary magnitude, 64 rows at most, tell which terms can reach
+    the rank, so the top-k below them sees few rows from each task.
+    """
+    bits = F.length(F.bin("tf"))
+    sizes = counted.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = 0
+    for row in sorted(sizes, key=lambda r: -r["bits"]):
+        seen += row["n"]
+        if seen >= rank:
+            able = counted.where(F.col("tf") >= 1 << (row["bits"] - 1))
+            return able.orderBy(F.desc("tf")).limit(rank).agg(F.min("tf")).first()[0]
+    return 0
+
+
 def fit_vocabulary(
     df: DataFrame,
     words: str = "words",
@@ -90,25 +107,19 @@ def fit_vocabulary(
     without changing the result.
     """
     min_df = max(1, min_df)
-    best = [F.desc("tf"), F.asc("term")]
     found = stage(
         count_terms(df, F.col(words)).where(F.col("df") >= min_df), "word-counts"
     )
+    floor = _count_at_rank(found, max_features)
+    found = found.where(F.col("tf") >= floor)
     if min(2, ngram) == 2:
-        kept, lowest = (
-            found.orderBy(*best)
-            .limit(max_features)
-            .agg(F.count(F.lit(1)), F.min("tf"))
-            .first()
-        )
-        floor = lowest if kept == max_features else 0
-        able = found.where(F.col("tf") >= floor).select("term")
+        able = found.select("term")
         listed = [r["term"] for r in able.limit(PAIR_WORDS_LIMIT + 1).collect()]
         pairs = _pair_counts(df, words, listed if len(listed) <= PAIR_WORDS_LIMIT else None)
         found = found.unionByName(
             pairs.where((F.col("df") >= min_df) & (F.col("tf") >= floor))
         )
-    top = found.orderBy(*best).limit(max_features)
+    top = found.orderBy(F.desc("tf"), "term").limit(max_features)
     # At most max_features rows reach this window.
     ids = F.row_number().over(Window.orderBy("term")) - 1
     return top.select("term", ids.cast("int").alias("term_id"), "df", "tf")
