@@ -11,7 +11,7 @@ import unicodedata
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adsift.functions import fixed_values as fixed
@@ -46,11 +46,17 @@ def contains_any(col: Column, phrases) -> Column:
     first hit; it is much faster than one regex alternation on long texts.
     """
     hit = F.lit(False)
-    for phrase in phrases:
+    for phrase in _shortest(phrases):
         hit = hit | col.contains(phrase)
     return hit
 
 
+def _shortest(phrases) -> list[str]:
+    """The phrases that hold no other one, which would be found with them."""
+    phrases = list(dict.fromkeys(phrases))
+    return [p for p in phrases if not any(q != p and q in p for q in phrases)]
+
+
 def count_phrases(col: Column, phrases) -> Column:
     """Number of distinct phrases that occur as a substring."""
     total = F.lit(0)
@@ -63,10 +69,12 @@ def has_words(clean: Column, phrases) -> Column:
     """True where *cleaned* text holds a phrase between word bounds.
 
     Cleaned text is words parted by single blanks, so a word bound is a blank
-    or an end: a plain search on the padded text needs no regex.
+    or an end: a plain search on the padded text needs no regex.  The bare
+    phrases are looked for first; most texts hold none.
     """
     padded = F.concat(F.lit(" "), clean, F.lit(" "))
-    return contains_any(padded, [f" {phrase} " for phrase in phrases])
+    bounded = contains_any(padded, [f" {phrase} " for phrase in phrases])
+    return contains_any(clean, phrases) & bounded
 
 
 def matches_word(col: Column, words) -> Column:
@@ -125,8 +133,8 @@ def _without_marks(char: str) -> str:
 
 @cache
 def accent_table() -> tuple[str, str, str]:
-    """Letters whose plain form is one character, those forms, and a regex
-    class of the word characters that decompose into several characters."""
+    """Letters whose plain form is one word character, those forms, and a regex
+    class of the word characters that decompose in any other way."""
     plain_from, plain_to, several = [], [], []
     for code in range(0x80, sys.maxunicode + 1):
         char = chr(code)
@@ -135,7 +143,7 @@ def accent_table() -> tuple[str, str, str]:
         bare = _without_marks(char)
         if bare == char:
             continue
-        if len(bare) == 1:
+        if len(bare) == 1 and unicodedata.category(bare)[0] in "LN":
             plain_from.append(char)
             plain_to.append(bare)
         elif several and several[-1][1] == code - 1:
@@ -147,19 +155,21 @@ def accent_table() -> tuple[str, str, str]:
     return "".join(plain_from), "".join(plain_to), rf"(?=[^\x{{0}}-\x{{7f}}])[{spans}]"
 
 
-def strip_accents(col: Column) -> Column:
-    """Compatibility decomposition without combining marks.
+def add_plain_text(df: DataFrame, source: str, plain: str, odd: str) -> DataFrame:
+    """Compatibility decomposition of a column without combining marks.
 
-    Plain ASCII passes through and letters with a one-character plain form are
-    translated, both in the JVM.  Only texts holding a character that falls
-    apart into several (ligatures, fractions, Hangul) go to Python, by Arrow
-    batch; for all other rows that function is handed a null.
+    ``plain`` holds it for texts whose letters each have a one-character plain
+    form: ASCII passes through, other letters are translated, both in the JVM.
+    ``odd`` holds it for the few texts with a character that falls apart into
+    several (ligatures, fractions, Hangul) and is null for all others; only
+    those go to Python, by Arrow batch.
     """
-    one, plain, several = accent_table()
+    one, bare, several = accent_table()
+    col = F.col(source)
     is_ascii = F.octet_length(col) == F.length(col)
     apart = F.when(~is_ascii & col.rlike(several), col)
-    in_jvm = F.when(is_ascii, col).otherwise(F.translate(col, one, plain))
-    return F.coalesce(_decompose()(apart), in_jvm)
+    letters = F.when(is_ascii, col).otherwise(F.translate(col, one, bare))
+    return df.withColumns({plain: letters, odd: _decompose()(apart)})
 
 
 def _decompose():
@@ -180,6 +190,11 @@ def words(col: Column) -> Column:
     return F.regexp_extract_all(col, F.lit(f"{WORD}{{2,}}"), F.lit(0))
 
 
+def words_of_clean(col: Column) -> Column:
+    """As :func:`words`, on text that is words parted by single blanks."""
+    return F.filter(F.split(col, " "), lambda word: F.length(word) >= 2)
+
+
 def bigrams(tokens: Column) -> Column:
     """Adjacent pairs of an array of words, joined by a blank."""
     pairs = F.greatest(F.size(tokens) - 1, F.lit(0))

@@ -57,7 +57,8 @@ def fit_category_codes(df: DataFrame, columns=fixed.ENCODED_COLUMNS) -> DataFram
     values = stage(df.select(F.inline(pairs)).distinct(), "categories")
     if _is_small(values):
         order = Window.partitionBy("column_name").orderBy("value")
-        return values.withColumn("code", (F.row_number().over(order) - 1).cast("int"))
+        coded = values.withColumn("code", (F.row_number().over(order) - 1).cast("int"))
+        return stage(coded.coalesce(1), "codes")
     ranked = running_totals(
         values.withColumn("_one", F.lit(1)), [F.col("value")], {"_rank": "_one"}, ("column_name",)
     )

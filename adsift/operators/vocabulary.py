@@ -25,13 +25,29 @@ PAIR_WORDS_LIMIT = 50_000
 
 
 def with_words(
-    df: DataFrame, source: str = "desc_clean", accents: bool = False, name: str = "words"
+    df: DataFrame,
+    source: str = "desc_clean",
+    accents: bool = False,
+    cleaned: bool = True,
+    name: str = "words",
 ) -> DataFrame:
-    """Add the array of words of a text; version 2 strips accents first."""
-    value = F.lower(F.coalesce(F.col(source), F.lit("")))
-    if not accents:
-        value = text.strip_accents(value)
-    return df.withColumn(name, text.words(value))
+    """Add the array of words of a text.
+
+    Version 2 strips accents and splits cleaned text at its blanks; version 1
+    (``accents=True``) picks the words of the raw text.
+    """
+    df = df.withColumn("_text", F.lower(F.coalesce(F.col(source), F.lit(""))))
+    if accents:
+        return df.withColumn(name, text.words(F.col("_text"))).drop("_text")
+    split = text.words_of_clean if cleaned else text.words
+    found = F.when(F.col("_odd").isNull(), split(F.col("_plain"))).otherwise(
+        text.words(F.col("_odd"))
+    )
+    return (
+        text.add_plain_text(df, "_text", "_plain", "_odd")
+        .withColumn(name, found)
+        .drop("_text", "_plain", "_odd")
+    )
 
 
 def terms_of(words, ngram: int = 2):

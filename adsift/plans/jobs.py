@@ -110,7 +110,7 @@ def fit_features(rows: DataFrame, version: int = 2, **limits) -> FeatureState:
     return FeatureState(
         fitted.fit_index_max(rows) if version == 2 else 1.0,
         fitted.fit_scaler(rows),
-        stage(fitted.fit_category_codes(rows, encoded), "codes"),
+        fitted.fit_category_codes(rows, encoded),
         vocabulary.TextModel.fit(rows, **limits),
     )
 

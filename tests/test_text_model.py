@@ -24,8 +24,11 @@ def test_words_strip_accents(spark):
         "が ガイド", "x² m³ ab²",
     ]
     df = spark.createDataFrame(list(enumerate(texts)), "job_id long, t string")
-    rows = vocabulary.with_words(df, "t").orderBy("job_id").collect()
+    rows = vocabulary.with_words(df, "t", cleaned=False).orderBy("job_id").collect()
     assert [r["words"] for r in rows] == [tokens_of(t) for t in texts]
+    clean = df.withColumn("t", text.clean_text(F.col("t")))
+    rows = vocabulary.with_words(clean, "t").orderBy("job_id").collect()
+    assert [r["words"] for r in rows] == [tokens_of(r["t"]) for r in rows]
     kept = vocabulary.with_words(df, "t", accents=True).orderBy("job_id").first()
     assert kept["words"] == ["café", "déjà", "vu"]
 
