@@ -2,24 +2,52 @@
 
 from __future__ import annotations
 
+import functools
+import logging
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_log = logging.getLogger(__name__)
+# Innermost job last: the paths that each open job has staged.
+_open_jobs: list[list[str]] = []
+
+
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="adsift-")
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one only on one machine."""
+    """The shared folder the cluster names; a temporary one only on one machine.
+
+    A cluster must name it with its file system (``hdfs://``, ``s3a://``,
+    ``file://`` of a mount that all machines share): a bare path would mean
+    each executor's own disk, unless the session names a default file system.
+    """
     named = spark.conf.get(CHECKPOINT_CONF, None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="adsift-")
-    spark.conf.set(CHECKPOINT_CONF, own)
-    return own
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if not named:
+        if not local:
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
+        return _own_dir()
+    default = spark.conf.get("spark.hadoop.fs.defaultFS", None)
+    if not local and ":/" not in named and not default:
+        raise ValueError(f"{CHECKPOINT_CONF} needs the scheme of a shared file system: {named}")
+    return named.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder; an open job removes it at its end."""
+    path = f"{scratch_dir(spark)}/adsift/{name}-{uuid.uuid4().hex}"
+    if _open_jobs:
+        _open_jobs[-1].append(path)
+    return path
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -29,30 +57,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     scan instead of the whole upstream plan, and a lost executor costs a
     re-read, not a recomputation.
     """
-    path = f"{scratch_dir(df.sparkSession)}/adsift/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def write_table(df: DataFrame, path: str) -> DataFrame:
-    """A sink: parquet, replacing what was there."""
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
+@contextmanager
+def staged_job() -> Iterator[None]:
+    """Remove at the end what is staged inside; for jobs that write their results."""
+    paths: list[str] = []
+    _open_jobs.append(paths)
+    try:
+        yield
+    finally:
+        _open_jobs.remove(paths)
+        for path in paths:
+            remove_tree(path)
 
-# A table of less than this for each core is spread over the cores.
-SPREAD_BYTES_PER_CORE = 32 << 20
 
+def remove_tree(path: str) -> None:
+    """Delete a folder of any file system that Arrow reaches; else leave it and say so."""
+    try:
+        files, inner = fs.FileSystem.from_uri(path if ":/" in path else f"file://{path}")
+        files.delete_dir(inner)
+    except FileNotFoundError:
+        pass
+    except (OSError, ValueError) as error:
+        _log.warning("staged files stay in %s: %s", path, error)
 
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small scan over all cores; leave a large one alone.
 
-    A file with a single row group is a single task, however many cores wait,
-    and the text work is CPU-bound.  Moving a few megabytes is cheap; a large
-    table has splits enough and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) < SPREAD_BYTES_PER_CORE * cores:
-        return df.repartition(cores, key)
-    return df
+def write_table(df: DataFrame, path: str) -> DataFrame:
+    """A sink: parquet, replacing what was there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -86,8 +86,34 @@ def test_staging_needs_a_shared_folder_on_a_cluster(spark):
     assert storage.scratch_dir(spark) == spark.conf.get("spark.checkpoint.dir")
 
 
-def test_spread_small_only_moves_small_tables(spark, monkeypatch):
-    df = spark.range(10).coalesce(1)
-    assert storage.spread_small(df, "id").rdd.getNumPartitions() == 4
-    monkeypatch.setattr(storage, "SPREAD_BYTES_PER_CORE", 0)
-    assert storage.spread_small(df, "id") is df
+def test_a_finished_job_leaves_no_staged_table(spark, tmp_path, monkeypatch):
+    import os
+
+    from adsift.sources import storage
+
+    monkeypatch.setattr(storage, "scratch_dir", lambda spark: str(tmp_path))
+    with storage.staged_job():
+        assert storage.stage(spark.range(5), "five").count() == 5
+        assert os.listdir(tmp_path / "adsift")
+    assert not os.listdir(tmp_path / "adsift")
+
+
+def test_scratch_dir_leaves_the_session_as_it_is(spark):
+    from adsift.sources import storage
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return super().get(key, default)
+
+    class Fake:
+        def __init__(self, master, **conf):
+            self.conf = Conf(conf)
+            self.sparkContext = type("C", (), {"master": master})()
+
+    key = storage.CHECKPOINT_CONF
+    fake = Fake("local[4]")
+    assert storage.scratch_dir(fake) == storage.scratch_dir(fake) and not fake.conf
+    assert storage.scratch_dir(Fake("local-cluster[2,1,1024]", **{key: "file:///s/"})) == "file:///s"
+    for bad in (Fake("spark://host"), Fake("spark://host", **{key: "/tmp/x"})):
+        with pytest.raises(ValueError):
+            storage.scratch_dir(bad)
