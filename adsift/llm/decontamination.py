@@ -37,38 +37,32 @@ def _pairwise(values: Column, shift: int, combine) -> Column:
     return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(shift + 1), n), combine)
 
 
-def _run_hashes(hashes: Column, length: int) -> Column:
-    """The hash of each run of ``length`` words, by joining shorter runs."""
-    joined = {1: hashes}
+def _doubled(df: DataFrame, column: str, width: int, combine) -> DataFrame:
+    """Replace a column of values by those of ``width`` neighbours together.
 
-    def of(n: int) -> Column:
-        if n not in joined:
-            left = 1 << ((n - 1).bit_length() - 1)
-            # Two runs of ``left`` words that overlap or touch span n words.
-            joined[n] = _pairwise(of(left), n - left, lambda a, b: F.xxhash64(a, b))
-        return joined[n]
-
-    return of(length)
-
-
-def _window_minima(hashes: Column, width: int) -> Column:
-    """The least of each ``width`` neighbours."""
-    if width == 1:
-        return hashes
-    left = 1 << ((width - 1).bit_length() - 1)
-    half = _window_minima(hashes, left)
-    return _pairwise(half, width - left, lambda a, b: F.least(a, b))
+    Each step doubles the neighbours taken, the last one overlaps.  Every step
+    is a column of its own, since it reads the one before more than once.
+    """
+    have = 1
+    while have < width:
+        shift = min(have, width - have)
+        df = df.withColumn(column, _pairwise(F.col(column), shift, combine))
+        have += shift
+    return df
 
 
-def fingerprints(hashes: Column, length: int, window: int = WINDOW, gram: int = GRAM) -> Column:
-    """The fingerprint of each window of ``length`` words, in order.
+def with_fingerprints(
+    df: DataFrame, hashes: str, out: str, length: int, window: int = WINDOW, gram: int = GRAM
+) -> DataFrame:
+    """Add the fingerprint of each window of ``length`` words, in order.
 
-    Whole windows are winnowed; shorter ones (items below the window length)
-    have their own hash as the fingerprint.
+    Whole windows are winnowed: the least hash of the grams inside.  Shorter
+    ones (of items below the window length) have their own hash.
     """
-    if length < window:
-        return _run_hashes(hashes, length)
-    return _window_minima(_run_hashes(hashes, gram), window - gram + 1)
+    df = df.withColumn(out, F.col(hashes))
+    run = gram if length == window else length
+    df = _doubled(df, out, run, lambda a, b: F.xxhash64(a, b))
+    return _doubled(df, out, length - run + 1, lambda a, b: F.least(a, b))
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -89,45 +83,43 @@ def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
     )
 
 
-def _fingerprint_bits(hashes: Column, length: int, window: int, gram: int, bits: int) -> Column:
-    """The bit that stands for each window of ``length`` words."""
-    mixed = lambda f: F.pmod(F.xxhash64(f, F.lit(length)), F.lit(bits).cast("long"))
-    return F.transform(fingerprints(hashes, length, window, gram), mixed)
-
-
 def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
+def _bit(fingerprint: Column, length: int, bits: int) -> Column:
+    return F.pmod(F.xxhash64(fingerprint, F.lit(length)), F.lit(bits).cast("long"))
+
+
 def known_bitmap(
     windows: DataFrame, lengths: list[int], window: int, gram: int, bits: int
 ) -> Column:
     """The bits of all benchmark windows as a constant array of longs."""
-    choice = F.array().cast("array<bigint>")
-    for n in lengths:
-        marks = _fingerprint_bits(F.col("h"), n, window, gram, bits)
-        choice = F.when(F.col("length") == n, marks).otherwise(choice)
-    hashed = windows.select("length", _word_hashes(F.split("words", " ")).alias("h"))
-    marked = hashed.select(F.explode(choice).alias("bit"))
-    cells = marked.groupBy(F.floor(F.col("bit") / 64).cast("int").alias("cell")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int")))
-    )
     dense = [0] * (bits // 64)
-    for cell, value in cells.collect():  # bits / 64 rows at most
-        dense[cell] = value
+    for n in lengths:
+        words = _word_hashes(F.split("words", " "))
+        hashed = windows.where(F.col("length") == n).select(words.alias("h"))
+        # Outer: a filter on the array would be computed through all its steps.
+        marked = with_fingerprints(hashed, "h", "f", n, window, gram).select(
+            F.explode_outer("f").alias("f")
+        ).select(_bit(F.col("f"), n, bits).alias("bit"))
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
+        cells = marked.groupBy(F.expr("int(bit div 64)").alias("cell")).agg(F.bit_or(one))
+        for cell, value in cells.collect():  # bits / 64 rows at most
+            dense[cell] |= value
     # A constant that the optimizer folds; thousands of literals would not do.
     return F.split(F.lit(",".join(map(str, dense))), ",").cast("array<bigint>")
 
 
-def _suspects(words: Column, hashes: Column, length: int, bitmap: Column, window, gram, bits):
+def _suspects(words: Column, marks: Column, length: int, bitmap: Column, bits: int) -> Column:
     """``(start, length, words)`` of the windows whose fingerprint may be known."""
 
-    def known(bit: Column) -> Column:
-        cell = F.element_at(bitmap, F.floor(bit / 64).cast("int") + 1)
-        return F.getbit(cell, (bit % 64).cast("int")) == 1
+    def known(f: Column) -> Column:
+        bit = _bit(f, length, bits)
+        cell = F.call_function("shiftright", bit, F.lit(6)).cast("int")
+        return F.getbit(F.get(bitmap, cell), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
 
-    marks = _fingerprint_bits(hashes, length, window, gram, bits)
-    places = F.transform(marks, lambda bit, i: F.when(known(bit), i))
+    places = F.transform(marks, lambda f, i: F.when(known(f), i))
     return F.transform(
         F.array_compact(places),
         lambda i: F.struct(
@@ -179,9 +171,10 @@ def find_overlaps(
     if lengths:
         bitmap = known_bitmap(windows, lengths, window, gram, bits)
         rows = rows.withColumn("h", _word_hashes(F.col("w")))
+        for n in lengths:
+            rows = with_fingerprints(rows, "h", f"f{n}", n, window, gram)
         found = [
-            _suspects(F.col("w"), F.col("h"), n, bitmap, window, gram, bits).cast(kind)
-            for n in lengths
+            _suspects(F.col("w"), F.col(f"f{n}"), n, bitmap, bits).cast(kind) for n in lengths
         ]
         suspects = found[0] if len(found) == 1 else F.concat(*found)
     rows = stage(
