@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adsift.llm import decontamination, mixing, quality_rules, sharding, url_filter
+from adsift.llm import (
+    decontamination,
+    kneser_ney,
+    language_id,
+    mixing,
+    quality_rules,
+    sharding,
+    token_counts,
+    url_filter,
+)
 from adsift.llm.common import read_table
 
 URL_RULES = [
@@ -16,6 +25,19 @@ URL_RULES = [
 ]
 
 
+def _id_hash():
+    """crc32 of the id as text; a null id counts as an empty one."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    held_out = _id_hash() % 4 == 2
+    names, prototypes = language_id.fit_prototypes(language_id.training_rows(docs, ~held_out))
+    found = language_id.identify(docs, names, prototypes)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +63,21 @@ def op4_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", sharding.row_bytes(sharded).alias("n_bytes"), "shard")
 
 
+def op5_token_counts(
+    spark: SparkSession, sf_dir: str, model: str = "piece_bpe_32k.model"
+) -> DataFrame:
+    import public_tokenizers
+
+    docs = read_table(spark, sf_dir, "documents")
+    counted = token_counts.count_tokens(docs, public_tokenizers.path(model))
+    return counted.withColumn("over_limit", token_counts.over_limit(F.col("n_tokens")))
+
+
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return kneser_ney.score_documents(docs, _id_hash() % 10 == 0)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -52,5 +89,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_mix_sources, op3_decontaminate, op4_shards, op7_url_filter, op10_quality_rules)
+    for f in (
+        op1_language_id,
+        op2_mix_sources,
+        op3_decontaminate,
+        op4_shards,
+        op5_token_counts,
+        op6_lm_scores,
+        op7_url_filter,
+        op10_quality_rules,
+    )
 }
