@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adsift.sources.storage import scratch_path, stage
-
-__all__ = ["ascii_lower", "document_columns", "own_columns", "private", "read_table", "scratch_path",
-           "space_words", "split_words", "stage"]
+from adsift.sources.storage import scratch_path as scratch_path
+from adsift.sources.storage import stage as stage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: What separates words: blank and the control characters from tab to return.
@@ -38,6 +36,24 @@ def space_words(text: Column) -> Column:
     return split_words(text, SPACES)
 
 
+def joined_runs(df: DataFrame, column: str, width: int, combine=F.xxhash64) -> DataFrame:
+    """Replace an array by the values of each ``width`` neighbours together, in order;
+    empty if there are fewer.
+
+    Each step doubles the neighbours taken, the last one overlaps.  Every step is a
+    column of its own, since it reads the one before more than once.
+    """
+    have = 1
+    while have < width:
+        shift = min(have, width - have)
+        values = F.col(column)
+        n = F.greatest(F.size(values) - shift, F.lit(0))
+        left, right = F.slice(values, F.lit(1), n), F.slice(values, F.lit(shift + 1), n)
+        df = df.withColumn(column, F.zip_with(left, right, lambda a, b: combine(a, b)))
+        have += shift
+    return df
+
+
 def own_columns(docs: DataFrame, **kinds: str) -> dict[str, Column]:
     """The named columns, cast to the types given; columns the table lacks are null.
 
@@ -61,3 +77,68 @@ def private(docs: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+#: Bits of a bitmap of ids: 16,384 longs, 128 KB, whatever the number of ids.
+BITMAP_BITS = 1 << 20
+#: Stands for a null id among ids, behind all others.
+NO_ID = (1 << 63) - 1
+
+
+def constant_longs(values: list[int]) -> Column:
+    """An array as one constant, which the optimizer folds; thousands of literals
+    would not do."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def collected_bitmap(bit_rows: DataFrame, bits: int) -> list[int]:
+    """The bits of column ``bit`` as longs; ``bits`` / 64 rows come to the driver."""
+    cells = bit_rows.groupBy(F.expr("int(bit div 64)").alias("cell")).agg(
+        F.bit_or(F.expr("shiftleft(1L, int(bit % 64))"))
+    )
+    dense = [0] * (bits // 64)
+    for cell, value in cells.collect():
+        dense[cell] = value
+    return dense
+
+
+def bit_is_set(bitmap: Column, bit: Column) -> Column:
+    cell = F.get(bitmap, F.call_function("shiftright", bit, F.lit(6)).cast("int"))
+    return F.getbit(cell, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def may_contain(ids: DataFrame, asked: Column, bits: int = BITMAP_BITS) -> Column:
+    """Whether the first column of ``ids`` may have a value: never wrongly false.
+
+    A join has to follow; this keeps most other rows from moving for it.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long"))
+    known = ids.select(place(F.col(ids.columns[0])).alias("bit"))
+    return bit_is_set(constant_longs(collected_bitmap(known, bits)), place(asked))
+
+
+def text_digest(text: Column) -> Column:
+    return F.coalesce(F.xxhash64(text), F.lit(0))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and text digest are in ``gone``.
+
+    ``gone`` is a staged table ``(id, digest, stays)``; of equal rows marked
+    ``stays`` one is left.  Only documents whose id may be in it are joined;
+    the texts of all others stay where they are.
+    """
+    own = own_columns(docs, doc_id="long", text="string")
+    names = [private(docs, n) for n in ("_id", "_digest", "_stays")]
+    ident, digest, stays = names
+    asked = F.coalesce(own["doc_id"], F.lit(NO_ID))
+    hit = may_contain(gone, asked)
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    able = docs.where(hit).withColumns({ident: asked, digest: text_digest(own["text"])})
+    joined = able.join(gone.toDF(*names), [ident, digest], "left")
+    once = joined.where(F.col(stays)).dropDuplicates([ident, digest])
+    return (
+        docs.where(~hit).select(*kept)
+        .unionAll(joined.where(F.col(stays).isNull()).select(*kept))
+        .unionAll(once.select(*kept))
+    )

@@ -17,7 +17,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adsift.llm.common import ascii_lower, own_columns, private, split_words, stage
+from adsift.llm.common import (
+    NO_ID,
+    ascii_lower,
+    bit_is_set,
+    collected_bitmap,
+    constant_longs,
+    joined_runs,
+    own_columns,
+    split_words,
+    stage,
+    text_digest,
+    without_rows,
+)
 
 #: What separates the words: all of ASCII but digits and small letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -31,26 +43,6 @@ def words_of(text: Column) -> Column:
     return split_words(ascii_lower(text), SEPARATORS)
 
 
-def _pairwise(values: Column, shift: int, combine) -> Column:
-    """Combine each value with the one ``shift`` places on; shorter by ``shift``."""
-    n = F.greatest(F.size(values) - shift, F.lit(0))
-    return F.zip_with(F.slice(values, F.lit(1), n), F.slice(values, F.lit(shift + 1), n), combine)
-
-
-def _doubled(df: DataFrame, column: str, width: int, combine) -> DataFrame:
-    """Replace a column of values by those of ``width`` neighbours together.
-
-    Each step doubles the neighbours taken, the last one overlaps.  Every step
-    is a column of its own, since it reads the one before more than once.
-    """
-    have = 1
-    while have < width:
-        shift = min(have, width - have)
-        df = df.withColumn(column, _pairwise(F.col(column), shift, combine))
-        have += shift
-    return df
-
-
 def with_fingerprints(
     df: DataFrame, hashes: str, out: str, length: int, window: int = WINDOW, gram: int = GRAM
 ) -> DataFrame:
@@ -61,8 +53,8 @@ def with_fingerprints(
     """
     df = df.withColumn(out, F.col(hashes))
     run = gram if length == window else length
-    df = _doubled(df, out, run, lambda a, b: F.xxhash64(a, b))
-    return _doubled(df, out, length - run + 1, lambda a, b: F.least(a, b))
+    df = joined_runs(df, out, run)
+    return joined_runs(df, out, length - run + 1, F.least)
 
 
 def benchmark_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -103,23 +95,16 @@ def known_bitmap(
         marked = with_fingerprints(hashed, "h", "f", n, window, gram).select(
             F.explode_outer("f").alias("f")
         ).select(_bit(F.col("f"), n, bits).alias("bit"))
-        one = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("bit") % 64).cast("int"))
-        cells = marked.groupBy(F.expr("int(bit div 64)").alias("cell")).agg(F.bit_or(one))
-        for cell, value in cells.collect():  # bits / 64 rows at most
-            dense[cell] |= value
-    # A constant that the optimizer folds; thousands of literals would not do.
-    return F.split(F.lit(",".join(map(str, dense))), ",").cast("array<bigint>")
+        dense = [a | b for a, b in zip(dense, collected_bitmap(marked, bits))]
+    return constant_longs(dense)
 
 
 def _suspects(words: Column, marks: Column, length: int, bitmap: Column, bits: int) -> Column:
     """``(start, length, words)`` of the windows whose fingerprint may be known."""
 
-    def known(f: Column) -> Column:
-        bit = _bit(f, length, bits)
-        cell = F.call_function("shiftright", bit, F.lit(6)).cast("int")
-        return F.getbit(F.get(bitmap, cell), bit.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-    places = F.transform(marks, lambda f, i: F.when(known(f), i))
+    places = F.transform(
+        marks, lambda f, i: F.when(bit_is_set(bitmap, _bit(f, length, bits)), i)
+    )
     return F.transform(
         F.array_compact(places),
         lambda i: F.struct(
@@ -162,7 +147,7 @@ def find_overlaps(
     windows = stage(benchmark_windows(items, window), "bench-windows")
     lengths = sorted(r[0] for r in windows.select("length").distinct().collect())
     own = own_columns(docs, doc_id="long", text="string")
-    digest = F.coalesce(F.xxhash64(own["text"]), F.lit(0))
+    digest = text_digest(own["text"])
     rows = docs.select(
         own["doc_id"].alias("doc_id"), digest.alias("digest"), words_of(own["text"]).alias("w")
     )
@@ -211,10 +196,7 @@ def find_overlaps(
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents without any benchmark window; the columns of ``docs``."""
     found = find_overlaps(docs, items, **options).where(F.col("n_hit") > 0)
-    own = own_columns(docs, doc_id="long", text="string")
-    doc, digest = private(docs, "_doc"), private(docs, "_digest")
-    dirty = found.select(F.col("doc_id").alias(doc), F.col("digest").alias(digest)).distinct()
-    same = own["doc_id"].eqNullSafe(F.col(doc)) & (
-        F.coalesce(F.xxhash64(own["text"]), F.lit(0)) == F.col(digest)
-    )
-    return docs.join(dirty, same, "left_anti")
+    gone = found.select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "digest", F.lit(False).alias("stays")
+    ).distinct()
+    return without_rows(docs, stage(gone, "bench-gone"))

@@ -187,10 +187,28 @@ LEFT JOIN by_lang l ON m.lang IS NOT DISTINCT FROM l.lang
 LEFT JOIN by_all ON true
 """
 
+_PLAIN = f"list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '{_SPACE}'), lambda w: w <> '')"
+
+OP8 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, row_number() OVER () AS r, {_PLAIN} AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[p : p + 3], ' ') || ' ' || least(len(w), 4) AS g
+  FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+common AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY 1, 2),
+links AS (
+  SELECT a, b FROM common JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT r, r FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_ AS (SELECT reach.a AS r, min(d.doc_id) AS component_id FROM reach JOIN d ON d.r = reach.b GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
+FROM d LEFT JOIN n USING (r) LEFT JOIN least_ USING (r)
+"""
+
 ORACLES = {
     "op2_mix_sources": OP2,
     "op3_decontaminate": OP3,
     "op4_shards": OP4,
     "op7_url_filter": OP7,
+    "op8_jaccard_join": OP8,
     "op10_quality_rules": OP10,
 }

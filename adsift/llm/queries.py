@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from adsift.llm import (
     decontamination,
+    jaccard_join,
     kneser_ney,
     language_id,
     mixing,
+    quality_model,
     quality_rules,
     sharding,
     token_counts,
@@ -82,6 +84,16 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_groups(read_table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score_documents(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(read_table(spark, sf_dir, "documents"))
     return judged.drop("lang", "source")
@@ -97,6 +109,8 @@ QUERIES = {
         op5_token_counts,
         op6_lm_scores,
         op7_url_filter,
+        op8_jaccard_join,
+        op9_quality_model,
         op10_quality_rules,
     )
 }
