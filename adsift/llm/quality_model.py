@@ -44,8 +44,7 @@ def _share(part: Column, whole: Column) -> Column:
 
 
 def text_view(docs: DataFrame, out: str = TEXT) -> DataFrame:
-    """Add the features of the whole text, all between 0 and about 5; null text is
-    an empty one."""
+    """Add the features of the whole text; null text is an empty one."""
     own = own_columns(docs, text="string")
     t, w = private(docs, "_t"), private(docs, "_w")
     rows = docs.withColumn(t, F.coalesce(own["text"], F.lit("")))
@@ -141,13 +140,18 @@ def _constant(width: int, quality: float) -> Linear:
     return Linear((0.0,) * width, 20.0 if quality >= 0.5 else -20.0)
 
 
-def _logistic(rows: DataFrame, features: Column, width: int, strength: float = 1e-3) -> Linear:
-    """Fit ``label`` on an array; classes count alike.  One class alone gives a constant."""
+def _logistic(
+    rows: DataFrame, features: Column, width: int, strength: float = 1e-3, alike: bool = True
+) -> Linear:
+    """Fit ``label`` on an array, both classes counting alike or, for calibrated scores,
+    by their rows.  One class alone gives a constant."""
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     if len(counts) < 2:
         return _constant(width, max(counts, default=1))
     total = sum(counts.values())
-    weight = F.when(F.col("label") == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0]))
+    weight = F.lit(1.0)
+    if alike:
+        weight = F.when(F.col("label") == 1, total / (2 * counts[1])).otherwise(total / (2 * counts[0]))
     fitted = LogisticRegression(
         maxIter=50, regParam=strength, weightCol="weight", family="binomial"
     ).fit(rows.select(array_to_vector(features).alias("features"), "label", weight.alias("weight")))
@@ -215,10 +219,10 @@ def fit(
         held.select(text.margin(F.col(TEXT)).alias("t"), meta.margin(F.col(META)).alias("m"), "label"),
         "quality-margins",
     )
-    text_scale = _logistic(margins, F.array("t"), 1)
-    meta_scale = _logistic(margins, F.array("m"), 1)
+    text_scale = _logistic(margins, F.array("t"), 1, alike=False)
+    meta_scale = _logistic(margins, F.array("m"), 1, alike=False)
     t, m = text_scale.margin(F.array("t")), meta_scale.margin(F.array("m"))
-    both = _logistic(margins, F.array(t, m), 2)
+    both = _logistic(margins, F.array(t, m), 2, alike=False)
     return QualityModel(text, meta, text_scale, meta_scale, both)
 
 
