@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from adsift.llm import decontamination, jaccard_join, mixing, quality_model, sharding
-from adsift.llm.common import read_table, stage
+from adsift.llm.common import private, read_table, stage
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows with their shard, none above the byte limit."""
-    sharded = sharding.assign_shards(docs)
-    return sharded.withColumn("n_bytes", sharding.row_bytes(sharded))
+    sharded = sharding.assign_shards(docs, shard=private(docs, "shard"))
+    return sharded.withColumn(private(docs, "n_bytes"), sharding.row_bytes(sharded))
 
 
 STAGES = [
