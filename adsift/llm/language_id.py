@@ -179,13 +179,14 @@ def fit_prototypes(rows: DataFrame, **options) -> tuple[list[str], np.ndarray]:
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for places, vectors in encoder.vectors(batch.column("text").to_pylist()):
-                for i, vector in zip(places, _unit(vectors)):
-                    sums.setdefault(langs[i], np.zeros(size))
+                # On a grid, so that the order of addition does not show.
+                grid = np.round(_unit(vectors.astype(np.float64)) * 2**20).astype(np.int64)
+                for i, vector in zip(places, grid):
+                    sums.setdefault(langs[i], np.zeros(size, dtype=np.int64))
                     sums[langs[i]] += vector
-        # Rounded to a grid, so that the order of addition does not show.
         yield pa.RecordBatch.from_pydict(
             {"lang": pa.array(list(sums), pa.string()),
-             "part": pa.array([np.round(v * 2**20).astype(np.int64) for v in sums.values()], pa.list_(pa.int64()))}
+             "part": pa.array(list(sums.values()), pa.list_(pa.int64()))}
         )
 
     parts = rows.mapInArrow(bundle, "lang string, part array<long>")
