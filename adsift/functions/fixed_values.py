@@ -206,3 +206,14 @@ CALIBRATION_FRACTION = 0.3
 CALIBRATION_MIN_ROWS = 100
 CALIBRATION_FOLDS = 3
 F1_EPSILON = 1e-12
+# Version 1, version 2.
+LOGISTIC_COST = (1.0, 2.0)
+LOGISTIC_ITERATIONS = 5000
+LOGISTIC_TOLERANCE = 1e-4
+FOREST_TREES = (300, 500)
+FOREST_DEPTH = 15
+BOOSTING_ROUNDS = (300, 400)
+BOOSTING_DEPTH = (5, 6)
+BOOSTING_STEP = (0.1, 0.05)
+BOOSTING_ROW_SHARE = (0.8, 0.9)
+BOOSTING_COLUMN_SHARE = (0.8, 0.9)

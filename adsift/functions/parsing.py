@@ -143,29 +143,45 @@ def email_domain(col: Column) -> Column:
 
 # Date formats tried in order, each behind a shape test: a failing parse throws
 # inside the JVM, which is far dearer than a regex on a short text.
+_TIME = r"\d{2}:\d{2}:\d{2}"
+# Texts with a zone are read as the wall clock that they show.
+_ZONE = r"(?:Z|[+-]\d{2}:\d{2})$"
 DATE_FORMATS = [
     (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}$", "yyyy-MM-dd HH:mm:ss"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}}T{_TIME}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}\.\d{{1,6}}$", "yyyy-MM-dd HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}}T{_TIME}\.\d{{1,6}}$", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSSSS][.SSSS][.SSS][.SS][.S]"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}}T{_TIME}{_ZONE}", "yyyy-MM-dd'T'HH:mm:ss"),
+    (rf"^\d{{4}}-\d{{2}}-\d{{2}} {_TIME}{_ZONE}", "yyyy-MM-dd HH:mm:ss"),
     (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}$", "yyyy-MM-dd HH:mm"),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
     (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
+    (r"^\d{8}$", "yyyyMMdd"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
     (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
     (r"^\d{1,2} [A-Za-z]{4,} \d{4}$", "d MMMM yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2} \d{4}$", "MMM d yyyy"),
     (r"^[A-Za-z]{4,} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^[A-Za-z]{4,} \d{1,2} \d{4}$", "MMMM d yyyy"),
 ]
 
 
 def parse_date(col: Column, formats=None) -> Column:
     """Timestamp by the first format that fits; null where none does."""
     formats = DATE_FORMATS if formats is None else formats
+    clock = F.regexp_replace(col, _ZONE, "")
     return F.coalesce(
         *[
-            F.when(col.rlike(shape), F.try_to_timestamp(col, F.lit(fmt)))
+            F.when(
+                col.rlike(shape),
+                F.try_to_timestamp(clock if shape.endswith(_ZONE) else col, F.lit(fmt)),
+            )
             for shape, fmt in formats
         ]
     )

@@ -105,24 +105,24 @@ def count_clean_words(clean: Column) -> Column:
     return F.when(clean == "", 0).otherwise(blanks + 1).cast("int")
 
 
-def clean_text(col: Column) -> Column:
+def add_clean_text(df: DataFrame, source: str, name: str) -> DataFrame:
     """Lowercase; drop links, mail addresses, digits and punctuation.
 
     One pass turns each run of digits, punctuation and white space into one
     blank.  The mail pattern is anchored at the start of a token and possessive,
     so a long token without ``@`` costs linear time, not quadratic.  Links and
-    addresses are only looked for where a cheap search finds their marker.
+    addresses are only looked for where a cheap search finds their marker.  Each
+    step is a column, since the next one reads it more than once.
     """
-    text = F.lower(F.coalesce(col, F.lit("")))
-    text = F.when(
-        text.contains("http") | text.contains("www"),
-        F.regexp_replace(text, f"(?:http|www){NOT_SPACE}+", " "),
-    ).otherwise(text)
+    text = F.col(name)
+    df = df.withColumn(name, F.lower(F.coalesce(F.col(source), F.lit(""))))
+    linked = text.contains("http") | text.contains("www")
+    unlinked = F.regexp_replace(text, f"(?:http|www){NOT_SPACE}+", " ")
+    df = df.withColumn(name, F.when(linked, unlinked).otherwise(text))
     mail = rf"(?<!{NOT_SPACE}){NOT_SPACE}[^{SPACE}@]*+@{NOT_SPACE}+"
-    text = F.when(
-        text.contains("@"), F.regexp_replace(text, mail, " ")
-    ).otherwise(text)
-    return F.btrim(F.regexp_replace(text, DROPPED_RUN, " "))
+    unmailed = F.regexp_replace(text, mail, " ")
+    df = df.withColumn(name, F.when(text.contains("@"), unmailed).otherwise(text))
+    return df.withColumn(name, F.btrim(F.regexp_replace(text, DROPPED_RUN, " ")))
 
 
 def _without_marks(char: str) -> str:
@@ -155,24 +155,24 @@ def accent_table() -> tuple[str, str, str]:
     return "".join(plain_from), "".join(plain_to), rf"(?=[^\x{{0}}-\x{{7f}}])[{spans}]"
 
 
-def add_plain_text(df: DataFrame, source: str, plain: str, odd: str) -> DataFrame:
-    """Compatibility decomposition of a column without combining marks.
+def falls_apart(col: Column) -> Column:
+    """Whether a text has a character whose plain form is several characters
+    (ligatures, fractions, Hangul); few have."""
+    is_ascii = F.octet_length(col) == F.length(col)
+    return ~is_ascii & col.rlike(accent_table()[2])
 
-    ``plain`` holds it for texts whose letters each have a one-character plain
-    form: ASCII passes through, other letters are translated, both in the JVM.
-    ``odd`` holds it for the few texts with a character that falls apart into
-    several (ligatures, fractions, Hangul) and is null for all others; only
-    those go to Python, by Arrow batch.
-    """
-    one, bare, several = accent_table()
-    col = F.col(source)
+
+def without_accents(col: Column) -> Column:
+    """Letters of one character in their plain form; in the JVM."""
+    one, bare, _ = accent_table()
     is_ascii = F.octet_length(col) == F.length(col)
-    apart = F.when(~is_ascii & col.rlike(several), col)
-    letters = F.when(is_ascii, col).otherwise(F.translate(col, one, bare))
-    return df.withColumns({plain: letters, odd: _decompose()(apart)})
+    return F.when(is_ascii, col).otherwise(F.translate(col, one, bare))
+
 
+def decomposed(col: Column) -> Column:
+    """Compatibility decomposition without combining marks, by Arrow batch; for
+    the texts that ``falls_apart`` finds."""
 
-def _decompose():
     # Nested, so that it travels to the workers by value.
     def bare(value):
         parts = unicodedata.normalize("NFKD", value)
@@ -182,7 +182,7 @@ def _decompose():
     def decompose(texts: pd.Series) -> pd.Series:
         return texts.map(bare, na_action="ignore")
 
-    return decompose
+    return decompose(col)
 
 
 def words(col: Column) -> Column:

@@ -153,7 +153,7 @@ def add_skill_features(df: DataFrame, skills=fixed.SKILLS) -> DataFrame:
 
 
 def add_clean_text(df: DataFrame) -> DataFrame:
-    return df.withColumn("desc_clean", text.clean_text(F.col("job_description")))
+    return text.add_clean_text(df, "job_description", "desc_clean")
 
 
 def add_keyword_flags(df: DataFrame, version: int = 2) -> DataFrame:

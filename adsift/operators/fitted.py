@@ -6,14 +6,16 @@ apply is row-local (a literal or a lookup join).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from adsift.functions import fixed_values as fixed
 from adsift.operators.ordered import running_totals
 from adsift.sources.storage import stage
 
-# A category dictionary is broadcast, or ranked in one task, up to this size.
+# A category dictionary is broadcast up to this size.
 SMALL_DICTIONARY_ROWS = 10_000
 SMALL_DICTIONARY_BYTES = 8 << 20
 # Copies of a large dictionary, so that no frequent category fills one task.
@@ -24,8 +26,7 @@ SALTS = 32
 
 
 def fit_index_max(df: DataFrame) -> float:
-    top = df.agg(F.max("fraud_trigger_index_raw")).first()[0]
-    return top if top is not None and top > 0 else 1.0
+    return fit_numbers(df, ()).index_max
 
 
 def apply_index(df: DataFrame, top: float) -> DataFrame:
@@ -54,31 +55,20 @@ def fit_category_codes(df: DataFrame, columns=fixed.ENCODED_COLUMNS) -> DataFram
             for c in columns
         ]
     )
-    values = stage(df.select(F.inline(pairs)).distinct(), "categories")
-    if _is_small(values):
-        order = Window.partitionBy("column_name").orderBy("value")
-        coded = values.withColumn("code", (F.row_number().over(order) - 1).cast("int"))
-        return stage(coded.coalesce(1), "codes")
-    ranked = running_totals(
-        values.withColumn("_one", F.lit(1)), [F.col("value")], {"_rank": "_one"}, ("column_name",)
-    )
+    values = df.select(F.inline(pairs)).distinct().withColumn("_one", F.lit(1))
+    ranked = running_totals(values, [F.col("value")], {"_rank": "_one"}, ("column_name",))
     coded = ranked.select("column_name", "value", (F.col("_rank") - 1).cast("int").alias("code"))
     return stage(coded, "codes")
 
 
-def _is_small(dictionary: DataFrame) -> bool:
-    rows, size = dictionary.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("value")), F.lit(0))
-    ).first()
-    return rows <= SMALL_DICTIONARY_ROWS and size <= SMALL_DICTIONARY_BYTES
-
-
 def apply_category_codes(df: DataFrame, codes: DataFrame, key: str = "job_id") -> DataFrame:
     """Add ``<column>_enc`` for each column of the dictionary.
 
     A dictionary of checked size becomes one map for each column, looked up
-    by hash join; a larger one is joined by value and salt, which spreads a
-    value that a third of the rows share over many tasks.
+    by hash join.  The columns with larger ones are coded as ``(key, column)``
+    rows, joined by value and salt, which spreads a value that a third of the
+    rows share over many tasks; the wide rows then meet all their codes in a
+    single join by key.
     """
     sizes = {
         r["column_name"]: (r["rows"], r["bytes"])
@@ -88,42 +78,69 @@ def apply_category_codes(df: DataFrame, codes: DataFrame, key: str = "job_id") -
         )
         .collect()
     }
-    for column in [c for c in df.columns if c in sizes]:
-        rows, size = sizes[column]
+    named = [c for c in df.columns if c in sizes]
+    small = [
+        c for c in named
+        if sizes[c][0] <= SMALL_DICTIONARY_ROWS and sizes[c][1] <= SMALL_DICTIONARY_BYTES
+    ]
+    large = [c for c in named if c not in small]
+    if large:
+        pairs = [
+            F.struct(F.lit(c).alias("column_name"), _category_value(c).alias("value")) for c in large
+        ]
+        salt = F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")
+        cells = df.select(key, salt.alias("_salt"), F.inline(F.array(*pairs)))
+        copies = codes.where(F.col("column_name").isin(large)).withColumn(
+            "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        )
+        coded = cells.join(copies, ["column_name", "value", "_salt"], "left")
+        of = {c: F.max(F.when(F.col("column_name") == c, F.col("code"))).alias(f"{c}_enc") for c in large}
+        df = df.join(coded.groupBy(key).agg(*of.values()), key, "left")
+    for column in small:
         lookup = codes.where(F.col("column_name") == column).select(
             F.col("value").alias("_value"), F.col("code").alias(f"{column}_enc")
         )
         df = df.withColumn("_of", _category_value(column))
-        if rows <= SMALL_DICTIONARY_ROWS and size <= SMALL_DICTIONARY_BYTES:
-            df = df.join(F.broadcast(lookup), F.col("_of") == F.col("_value"), "left")
-            df = df.drop("_of", "_value")
-        else:
-            lookup = lookup.withColumn(
-                "_copy", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-            )
-            df = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-            df = df.join(
-                lookup,
-                (F.col("_of") == F.col("_value")) & (F.col("_salt") == F.col("_copy")),
-                "left",
-            ).drop("_of", "_value", "_salt", "_copy")
+        df = df.join(F.broadcast(lookup), F.col("_of") == F.col("_value"), "left")
+        df = df.drop("_of", "_value")
     return df
 
 
 # --- scaling --------------------------------------------------------------------
 
 
-def fit_scaler(df: DataFrame, columns=fixed.SCALED_COLUMNS) -> dict[str, tuple[float, float]]:
-    """Mean and population deviation of each column, missing counted as 0."""
+@dataclass(frozen=True)
+class Numbers:
+    """What one pass over the feature rows finds out."""
+
+    rows: int
+    index_max: float
+    moments: dict[str, tuple[float, float]]
+
+
+def fit_numbers(df: DataFrame, columns=fixed.SCALED_COLUMNS) -> Numbers:
+    """Row count, index maximum (1 without an index above 0), and each column's mean
+    and population deviation, missing counted as 0."""
     columns = [c for c in columns if c in df.columns]
     value = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
-    moments = df.agg(
+    index = "fraud_trigger_index_raw"
+    top = F.max(index) if index in df.columns else F.lit(None).cast("double")
+    found = df.agg(
+        F.count(F.lit(1)).alias("_rows"),
+        top.alias("_top"),
         *[F.avg(value[c]).alias(f"{c}_mean") for c in columns],
         *[F.stddev_pop(value[c]).alias(f"{c}_std") for c in columns],
     ).first()
-    return {
-        c: (moments[f"{c}_mean"] or 0.0, moments[f"{c}_std"] or 1.0) for c in columns
-    }
+    top = found["_top"]
+    return Numbers(
+        found["_rows"],
+        top if top is not None and top > 0 else 1.0,
+        {c: (found[f"{c}_mean"] or 0.0, found[f"{c}_std"] or 1.0) for c in columns},
+    )
+
+
+def fit_scaler(df: DataFrame, columns=fixed.SCALED_COLUMNS) -> dict[str, tuple[float, float]]:
+    return fit_numbers(df, columns).moments
 
 
 def apply_scaler(df: DataFrame, moments: dict[str, tuple[float, float]]) -> DataFrame:

@@ -11,15 +11,18 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adsift.functions import fixed_values as fixed
+from adsift.sources.storage import write_table
 
 OVERSAMPLES = 10
 ITERATIONS = 5
 # Numbers held at once when a batch of rows is multiplied.
 CHUNK_CELLS = 4_000_000
+# Tasks that sum up shares of the Gram product.
+PARTS_PER_CORE = 2
 
 
 def clamp_rank(wanted: int, features: int) -> int:
@@ -29,9 +32,12 @@ def clamp_rank(wanted: int, features: int) -> int:
 def _gram_product(df: DataFrame, vector: str, basis: np.ndarray) -> np.ndarray:
     """A'A times the basis in one pass.
 
-    Each task sums its rows' share; the shares are then added by term.
+    Each task sums its rows' share; the shares are then added by term.  A share
+    is as large as the basis, so the scan is folded into a few long tasks, two
+    for each core: what they send does not grow with the splits of the input.
     """
-    shared = df.sparkSession.sparkContext.broadcast(basis)
+    context = df.sparkSession.sparkContext
+    shared = context.broadcast(basis)
     cells = CHUNK_CELLS
 
     def partial_sums(batches):
@@ -60,6 +66,7 @@ def _gram_product(df: DataFrame, vector: str, basis: np.ndarray) -> np.ndarray:
 
     inner = F.unwrap_udt(F.col(vector))
     rows = df.select(inner["indices"].alias("indices"), inner["values"].alias("values"))
+    rows = rows.coalesce(PARTS_PER_CORE * context.defaultParallelism)
     parts = rows.mapInPandas(partial_sums, "term_id int, part array<double>")
     sums = (
         parts.select("term_id", array_to_vector("part").alias("part"))
@@ -70,6 +77,7 @@ def _gram_product(df: DataFrame, vector: str, basis: np.ndarray) -> np.ndarray:
     product = np.zeros_like(basis)
     for r in sums:
         product[r["term_id"]] = r["total"].toArray()
+    shared.destroy()
     return product
 
 
@@ -100,6 +108,27 @@ def fit_svd(
     return components * np.where(peak < 0, -1.0, 1.0)
 
 
+def save_components(spark: SparkSession, components: np.ndarray, path: str) -> None:
+    rows = [(i, row.tolist()) for i, row in enumerate(components)]
+    write_table(spark.createDataFrame(rows, "term_id int, weights array<double>"), path)
+
+
+def load_components(spark: SparkSession, path: str) -> np.ndarray:
+    rows = sorted(spark.read.parquet(path).collect())
+    return np.array([r["weights"] for r in rows])
+
+
+def gram_diagonal(df: DataFrame, vector: str = "tfidf") -> DataFrame:
+    """``(term_id, energy)``: each term's sum of squared weights."""
+    inner = F.unwrap_udt(F.col(vector))
+    cells = F.arrays_zip(inner["indices"].alias("term_id"), inner["values"].alias("weight"))
+    return (
+        df.select(F.inline(cells).alias("term_id", "weight"))
+        .groupBy("term_id")
+        .agg(F.sum(F.col("weight") * F.col("weight")).alias("energy"))
+    )
+
+
 def apply_svd(
     df: DataFrame, components: np.ndarray, vector: str = "tfidf", output: str = "svd"
 ) -> DataFrame:

@@ -26,7 +26,11 @@ _NOT_FEATURES = ("job_id", "fake_label", "label", "split")
 
 
 def class_counts(df: DataFrame, label: str = "label") -> dict:
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
+    """Rows of each class; labels are 0 and 1, anything else is an error."""
+    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(10).collect()
+    odd = {r[label]: r["n"] for r in rows if r[label] not in (0, 1)}
+    if odd:
+        raise ValueError(f"labels must be 0 or 1, but there are rows with {odd}")
     return {r[label]: r["n"] for r in sorted(rows, key=lambda r: r[label])}
 
 
@@ -53,6 +57,7 @@ def stratified_split(
 
     The hash of the last test row of each class is found first; each row is
     then sorted in by itself, so the wide table is neither sorted nor shuffled.
+    Keys must be unique, or the rows of the last one would all go to one side.
     """
     quotas = split_quotas(class_counts(df, label), test_size)
     cuts = hash_cuts(df, key, seed, {c: [n] for c, n in quotas.items()}, label)
@@ -103,13 +108,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
     ]
 
 
-def assemble(df: DataFrame, text_column: str | None = "tfidf", label: str = "fake_label"):
+def assemble(
+    df: DataFrame,
+    text_column: str | None = "tfidf",
+    label: str = "fake_label",
+    names: list[str] | None = None,
+):
     """Dense features (missing 0), then the text vector, as ``features``.
 
     Both sit on the same row, so nothing is aligned by position or joined.
-    Returns the table and the dense feature names in order.
+    ``names`` are the dense features that a model was fitted on, in order; the
+    numeric columns of the table otherwise.  Returns the table and the names.
     """
-    names = numeric_columns(df)
+    names = numeric_columns(df) if names is None else names
     zeroed = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in names})
     if text_column and isinstance(df.schema[text_column].dataType, T.ArrayType):
         from pyspark.ml.functions import array_to_vector
@@ -135,10 +146,13 @@ def score(model, df: DataFrame, name: str) -> DataFrame:
 
 
 def fit_logistic(
-    train: DataFrame, version: int = 2, max_iter: int = 5000, tol: float = 1e-4
+    train: DataFrame,
+    version: int = 2,
+    max_iter: int = fixed.LOGISTIC_ITERATIONS,
+    tol: float = fixed.LOGISTIC_TOLERANCE,
 ):
-    """L2 logistic regression with balanced classes (C = 1, or 2 in version 2)."""
-    cost = 2.0 if version == 2 else 1.0
+    """L2 logistic regression with balanced classes."""
+    cost = fixed.LOGISTIC_COST[version - 1]
     counts = class_counts(train)
     weights = balanced_weights(counts)
     weight_sum = sum(weights[c] * n for c, n in counts.items())
@@ -156,13 +170,13 @@ def fit_forest(
     train: DataFrame,
     version: int = 2,
     trees: int | None = None,
-    max_depth: int = 15,
+    max_depth: int = fixed.FOREST_DEPTH,
     seed: int = fixed.SEED,
 ):
     """Random forest with balanced classes; Spark limits the depth to 30."""
     return RandomForestClassifier(
         weightCol="weight",
-        numTrees=trees or (500 if version == 2 else 300),
+        numTrees=trees or fixed.FOREST_TREES[version - 1],
         maxDepth=max_depth,
         featureSubsetStrategy="sqrt",
         seed=seed,
@@ -173,15 +187,15 @@ def fit_boosted(
     train: DataFrame, version: int = 2, rounds: int | None = None, seed: int = fixed.SEED
 ):
     """Gradient-boosted trees; version 2 weighs positives by neg/pos."""
-    second = version == 2
-    scale = positive_scale(class_counts(train)) if second else 1.0
+    scale = positive_scale(class_counts(train)) if version == 2 else 1.0
+    i = version - 1
     return GBTClassifier(
         weightCol="weight",
-        maxIter=rounds or (400 if second else 300),
-        maxDepth=6 if second else 5,
-        stepSize=0.05 if second else 0.1,
-        subsamplingRate=0.9 if second else 0.8,
-        featureSubsetStrategy="0.9" if second else "0.8",
+        maxIter=rounds or fixed.BOOSTING_ROUNDS[i],
+        maxDepth=fixed.BOOSTING_DEPTH[i],
+        stepSize=fixed.BOOSTING_STEP[i],
+        subsamplingRate=fixed.BOOSTING_ROW_SHARE[i],
+        featureSubsetStrategy=str(fixed.BOOSTING_COLUMN_SHARE[i]),
         seed=seed,
     ).fit(_weighted(train, {1: scale, 0: 1.0}))
 
@@ -189,6 +203,21 @@ def fit_boosted(
 # --- calibration ----------------------------------------------------------------
 
 
+def bounded_rows(
+    train: DataFrame, most: int | None, key: str = "job_id", seed: int = fixed.SEED + 2
+) -> DataFrame:
+    """The training rows, or ``most`` of them in a seeded hash order.
+
+    Spark's trees keep all features of a row in memory and pass over them once
+    per level of each tree, so classifiers are fitted on a bounded number of
+    labelled rows; everything else works on all.
+    """
+    if most is None or train.count() <= most:
+        return train
+    cuts = hash_cuts(train, key, seed, {None: [most]})
+    return train.where(upto_cut(key, seed, cuts.get((None, most))))
+
+
 def calibration_sample(
     train: DataFrame,
     fraction: float = fixed.CALIBRATION_FRACTION,
@@ -226,15 +255,19 @@ def _margin(model, df: DataFrame) -> DataFrame:
     return model.transform(df).withColumn("margin", vector_to_array("rawPrediction")[1])
 
 
+def softened_targets(counts: dict) -> tuple[float, float]:
+    """Targets of the positive and the negative rows."""
+    ones, zeros = counts.get(1.0, 0), counts.get(0.0, 0)
+    return (ones + 1) / (ones + 2), 1 / (zeros + 2)
+
+
 def _fit_sigmoid(held_out: DataFrame) -> tuple[float, float]:
     """Platt scaling: logistic fit of softened targets on the margin.
 
     A fractional target t is written as two rows, class 1 with weight t and
     class 0 with weight 1 - t.
     """
-    counts = class_counts(held_out)
-    high = (counts.get(1.0, 0) + 1) / (counts.get(1.0, 0) + 2)
-    low = 1 / (counts.get(0.0, 0) + 2)
+    high, low = softened_targets(class_counts(held_out))
     target = F.when(F.col("label") == 1, F.lit(high)).otherwise(F.lit(low))
     sides = F.array(
         F.struct(F.lit(1.0).alias("label"), target.alias("weight")),
@@ -250,13 +283,15 @@ def fit_calibrated(
     train: DataFrame,
     fraction: float = fixed.CALIBRATION_FRACTION,
     folds: int = fixed.CALIBRATION_FOLDS,
+    seed: int = fixed.SEED,
     **logistic,
 ) -> list:
     """Per fold: a logistic model of the other folds and its sigmoid.
 
     ``folds`` is a small constant, so this driver loop is three model fits.
     """
-    sample = stage(with_folds(calibration_sample(train, fraction), folds), "calibration")
+    sample = calibration_sample(train, fraction, seed=seed)
+    sample = stage(with_folds(sample, folds, seed=seed + 1), "calibration")
     fitted = []
     for fold in range(folds):
         model = fit_logistic(sample.where(F.col("fold") != fold), **logistic)
@@ -264,6 +299,30 @@ def fit_calibrated(
     return fitted
 
 
+def calibration_balance(train: DataFrame, **options) -> DataFrame:
+    """``(fold, n_rows, gap)``: the mean calibrated score of each fold's held-out rows
+    less the mean of the targets that its sigmoid was fitted to."""
+    fitted = fit_calibrated(train, **options)
+    sample = with_folds(calibration_sample(train), len(fitted))
+    parts = []
+    for fold, (model, (slope, offset)) in enumerate(fitted):
+        held = sample.where(F.col("fold") == fold)
+        high, low = softened_targets(class_counts(held))
+        target = F.when(F.col("label") == 1, high).otherwise(low)
+        p = 1 / (1 + F.exp(-(F.col("margin") * slope + offset)))
+        parts.append(
+            _margin(model, held).agg(
+                F.lit(fold).alias("fold"),
+                F.count(F.lit(1)).alias("n_rows"),
+                F.round(F.avg(p) - F.avg(target), 3).alias("gap"),
+            )
+        )
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.unionAll(part)
+    return table
+
+
 def score_calibrated(fitted: list, df: DataFrame, name: str) -> DataFrame:
     """Mean of the folds' calibrated probabilities."""
     total = F.lit(0.0)

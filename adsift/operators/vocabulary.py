@@ -18,12 +18,9 @@ from pyspark.sql import functions as F
 
 from adsift.functions import fixed_values as fixed
 from adsift.functions import text
+from adsift.operators.bitmap import bit_is_set, bit_of, bitmap_of
 from adsift.sources.storage import stage
 
-# Words that may form a pair are pushed into the second pass up to this number.
-PAIR_WORDS_LIMIT = 50_000
-
-
 def with_words(
     df: DataFrame,
     source: str = "desc_clean",
@@ -34,20 +31,18 @@ def with_words(
     """Add the array of words of a text.
 
     Version 2 strips accents and splits cleaned text at its blanks; version 1
-    (``accents=True``) picks the words of the raw text.
+    (``accents=True``) picks the words of the raw text.  Texts with a character
+    that falls apart into several are worked on in a branch of their own, the
+    only one that passes through Python.
     """
     df = df.withColumn("_text", F.lower(F.coalesce(F.col(source), F.lit(""))))
     if accents:
         return df.withColumn(name, text.words(F.col("_text"))).drop("_text")
     split = text.words_of_clean if cleaned else text.words
-    found = F.when(F.col("_odd").isNull(), split(F.col("_plain"))).otherwise(
-        text.words(F.col("_odd"))
-    )
-    return (
-        text.add_plain_text(df, "_text", "_plain", "_odd")
-        .withColumn(name, found)
-        .drop("_text", "_plain", "_odd")
-    )
+    odd = text.falls_apart(F.col("_text"))
+    plain = df.where(~odd).withColumn(name, split(text.without_accents(F.col("_text"))))
+    apart = df.where(odd).withColumn(name, text.words(text.decomposed(F.col("_text"))))
+    return plain.unionAll(apart).drop("_text")
 
 
 def terms_of(words, ngram: int = 2):
@@ -79,14 +74,16 @@ def count_terms(df: DataFrame, terms) -> DataFrame:
     )
 
 
-def _pair_counts(df: DataFrame, words: str, able: list[str] | None) -> DataFrame:
-    """Counts of the adjacent pairs, of the given words alone if there are any."""
-    tokens = F.col(words)
-    if able is not None:
-        # Words hold no quotes, see the pattern that makes them.
-        listed = ", ".join(f"'{word}'" for word in able) or "NULL"
-        tokens = F.expr(f"transform({words}, w -> IF(w IN ({listed}), w, NULL))")
-    marked = df.select(tokens.alias("_words"))
+def _pair_counts(df: DataFrame, words: str, able: DataFrame) -> DataFrame:
+    """Counts of the adjacent pairs of the words that a table may hold.
+
+    The table is a bitmap in the scan: a pair of other words is mostly left out,
+    and the caller's bound takes off the rest.
+    """
+    bitmap = bitmap_of(able)
+    kept = F.transform(words, lambda w: F.when(bit_is_set(bitmap, bit_of(w)), w))
+    # A column of its own, since the pairs read it twice.
+    marked = df.select(kept.alias("_words"))
     return count_terms(marked, F.array_compact(text.bigrams(F.col("_words"))))
 
 
@@ -129,9 +126,7 @@ def fit_vocabulary(
     floor = _count_at_rank(found, max_features)
     found = found.where(F.col("tf") >= floor)
     if min(2, ngram) == 2:
-        able = found.select("term")
-        listed = [r["term"] for r in able.limit(PAIR_WORDS_LIMIT + 1).collect()]
-        pairs = _pair_counts(df, words, listed if len(listed) <= PAIR_WORDS_LIMIT else None)
+        pairs = _pair_counts(df, words, found.select("term"))
         found = found.unionByName(
             pairs.where((F.col("df") >= min_df) & (F.col("tf") >= floor))
         )
@@ -150,9 +145,17 @@ class TextModel:
     ngram: int = 2
 
     @classmethod
-    def fit(cls, df: DataFrame, words: str = "words", ngram: int = 2, **limits) -> TextModel:
+    def fit(
+        cls,
+        df: DataFrame,
+        words: str = "words",
+        ngram: int = 2,
+        documents: int | None = None,
+        **limits,
+    ) -> TextModel:
+        """Fit on rows of words; ``documents`` is their number, if it is known."""
         vocabulary = fit_vocabulary(df, words, ngram=ngram, **limits)
-        return cls.from_vocabulary(vocabulary, df.count(), ngram)
+        return cls.from_vocabulary(vocabulary, df.count() if documents is None else documents, ngram)
 
     @classmethod
     def from_vocabulary(cls, vocabulary: DataFrame, documents: int, ngram: int = 2):
@@ -185,12 +188,23 @@ def vector_entries(df: DataFrame, vector: str = "tfidf", key: str = "job_id") ->
     return df.select(key, F.inline(cells).alias("term_id", "weight"))
 
 
-def tokens_of_documents(df: DataFrame, words: str = "words", key: str = "job_id") -> DataFrame:
-    """Word and pair counts of each text."""
-    pairs = text.bigrams(F.col(words))
-    return df.select(
-        key,
-        F.size(words).alias("n_words"),
-        F.size(pairs).alias("n_pairs"),
-        F.concat_ws("|", F.slice(F.array_sort(F.array_distinct(pairs)), 1, 3)).alias("first_pairs"),
+def terms_of_documents(
+    df: DataFrame, words: str = "words", key: str = "job_id", ngram: int = 2
+) -> DataFrame:
+    """``(key, term, n)``: every term of each text and how often it stands there.
+
+    Row-local: a sorted array's runs are told apart by comparing neighbours.
+    """
+    rows = df.select(key, F.sort_array(terms_of(F.col(words), ngram)).alias("t"))
+    last = F.size("t") - 1
+    places = F.sequence(F.lit(0), F.greatest(last, F.lit(0)))
+    ends = F.filter(places, lambda i: (i == last) | (F.get("t", i) != F.get("t", i + 1)))
+    rows = rows.where(F.size("t") > 0).withColumn("ends", ends)
+    runs = F.transform(
+        "ends",
+        lambda end, k: F.struct(
+            F.get("t", end).alias("term"),
+            (end - F.coalesce(F.get("ends", k - 1), F.lit(-1))).cast("long").alias("n"),
+        ),
     )
+    return rows.select(key, F.inline(runs))

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+import json
+from dataclasses import dataclass, field
+
+import numpy as np
+from pyspark.ml.classification import (
+    GBTClassificationModel,
+    LogisticRegressionModel,
+    RandomForestClassificationModel,
+)
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +18,10 @@ from adsift.functions import fixed_values as fixed
 from adsift.operators import evaluation, fitted, labeling, reduction, training, vocabulary
 from adsift.operators.features import fit_date_formats, row_features
 from adsift.sources import postings as source
-from adsift.sources.storage import stage, write_table
+from adsift.sources.storage import stage, staged_job, write_table
+
+#: Labelled rows that the classifiers are fitted on, at most.
+FIT_ROWS = 200_000
 
 
 # --- labelling ------------------------------------------------------------------
@@ -22,12 +32,18 @@ def label_job(
     desc_threshold: int = fixed.DESC_THRESHOLD,
     min_flags: int = fixed.MIN_FLAGS,
 ) -> DataFrame:
-    """Raw postings to labelled ones: key, dedup, rules, both labels."""
-    clean = source.tolerant_schema(source.surrogate_key(postings))
-    labelled = labeling.label_postings(
-        source.dedup_postings(clean), desc_threshold, min_flags
-    )
-    return labeling.tune_label(labelled)
+    """Raw postings to labelled ones: dedup, key, rules, both labels.
+
+    Copies go before the rows are numbered, or each copy would have a number of
+    its own.  Keys that the input brings stay as they are; null or repeated
+    ones are an error.
+    """
+    unique = source.dedup_postings(source.tolerant_schema(postings))
+    if "job_id" in unique.columns:
+        keyed = source.require_keys(stage(unique, "unique-postings"))
+    else:
+        keyed = source.surrogate_key(unique)
+    return labeling.tune_label(labeling.label_postings(keyed, desc_threshold, min_flags))
 
 
 def write_label_outputs(labelled: DataFrame, out: str) -> dict[str, DataFrame]:
@@ -58,6 +74,8 @@ class FeatureState:
     moments: dict[str, tuple[float, float]]
     codes: DataFrame
     text: vocabulary.TextModel
+    formats: dict | None = None
+    version: int = 2
 
     def save(self, spark: SparkSession, path: str) -> None:
         numbers = [("index_max", self.index_max, None)]
@@ -74,62 +92,99 @@ class FeatureState:
             f"{path}/terms",
         )
         write_table(self.codes, f"{path}/codes")
+        options = {"formats": self.formats, "version": self.version, "ngram": self.text.ngram}
+        _save_json(spark, options, f"{path}/options")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, ngram: int = 2) -> FeatureState:
+    def load(cls, spark: SparkSession, path: str) -> FeatureState:
         numbers = {r["name"]: r for r in spark.read.parquet(f"{path}/numbers").collect()}
         top = numbers.pop("index_max")["value"]
         terms = spark.read.parquet(f"{path}/terms").collect()
         terms.sort(key=lambda r: r["term_id"])
+        options = _load_json(spark, f"{path}/options")
         return cls(
             top,
-            {c: (r["value"], r["scale"]) for c, r in numbers.items()},
+            {c: (r["value"], r["scale"]) for c, r in sorted(numbers.items(), key=_scaled_place)},
             spark.read.parquet(f"{path}/codes"),
-            vocabulary.TextModel([r["term"] for r in terms], [r["idf"] for r in terms], ngram),
+            vocabulary.TextModel(
+                [r["term"] for r in terms], [r["idf"] for r in terms], options["ngram"]
+            ),
+            options["formats"],
+            options["version"],
         )
 
 
-def prepare_rows(labelled: DataFrame, version: int = 2) -> DataFrame:
+def _scaled_place(item: tuple) -> int:
+    return fixed.SCALED_COLUMNS.index(item[0])
+
+
+def _save_json(spark: SparkSession, value, path: str) -> None:
+    write_table(spark.createDataFrame([(json.dumps(value),)], "json string"), path)
+
+
+def _load_json(spark: SparkSession, path: str):
+    return json.loads(spark.read.parquet(path).first()["json"])
+
+
+def prepare_rows(labelled: DataFrame, version: int = 2, formats: dict | None = None) -> DataFrame:
     """Row features and the words of each posting, written once.
 
     The only pass over the raw texts; all fits and the weighting read this
-    table, most of them a few narrow columns of it.
+    table, most of them a few narrow columns of it.  ``formats`` are the date
+    formats of each column, from ``fit_formats`` or a saved state.
     """
     labelled = source.default_label(labelled)
-    formats = fit_date_formats(labelled) if version == 2 else None
     rows = row_features(labelled, version, formats)
     text_column = "desc_clean" if version == 2 else "job_description"
     rows = vocabulary.with_words(rows, text_column, accents=version == 1)
     return stage(rows.drop("desc_clean", "job_description"), "row-features")
 
 
-def fit_features(rows: DataFrame, version: int = 2, **limits) -> FeatureState:
+def fit_formats(labelled: DataFrame, version: int = 2) -> dict | None:
+    """One format for each date column in version 2; each cell's own in version 1."""
+    return fit_date_formats(labelled) if version == 2 else None
+
+
+def fit_features(
+    rows: DataFrame, version: int = 2, formats: dict | None = None, **limits
+) -> FeatureState:
+    """Fit on prepared rows: one pass for the numbers, one for the categories, and
+    the passes of the vocabulary."""
     encoded = fixed.ENCODED_COLUMNS if version == 2 else fixed.ENCODED_COLUMNS_V1
     if version == 1:
         limits.setdefault("max_features", fixed.MAX_FEATURES_V1)
+    numbers = fitted.fit_numbers(rows)
     return FeatureState(
-        fitted.fit_index_max(rows) if version == 2 else 1.0,
-        fitted.fit_scaler(rows),
+        numbers.index_max,
+        numbers.moments,
         fitted.fit_category_codes(rows, encoded),
-        vocabulary.TextModel.fit(rows, **limits),
+        vocabulary.TextModel.fit(rows, documents=numbers.rows, **limits),
+        formats,
+        version,
     )
 
 
-def apply_features(rows: DataFrame, state: FeatureState, version: int = 2) -> DataFrame:
+def apply_features(rows: DataFrame, state: FeatureState) -> DataFrame:
     """Meta features and the ``tfidf`` vector of each posting, on one row."""
-    if version == 2:
+    if state.version == 2:
         rows = fitted.apply_index(rows, state.index_max)
     rows = fitted.apply_scaler(fitted.apply_category_codes(rows, state.codes), state.moments)
     vectors = state.text.transform(rows)
-    meta = fitted.meta_features(vectors, version).columns
+    meta = fitted.meta_features(vectors, state.version).columns
     return vectors.select(*meta, "tfidf")
 
 
 def feature_job(labelled: DataFrame, version: int = 2, **limits):
     """Labelled postings to the feature table and its fitted state."""
-    rows = prepare_rows(labelled, version)
-    state = fit_features(rows, version, **limits)
-    return apply_features(rows, state, version), state
+    formats = fit_formats(labelled, version)
+    rows = prepare_rows(labelled, version, formats)
+    state = fit_features(rows, version, formats, **limits)
+    return apply_features(rows, state), state
+
+
+def features_of(labelled: DataFrame, state: FeatureState) -> DataFrame:
+    """The features of new postings by a fitted or loaded state."""
+    return apply_features(prepare_rows(labelled, state.version, state.formats), state)
 
 
 def write_feature_outputs(
@@ -152,11 +207,21 @@ def write_feature_outputs(
 
 @dataclass
 class Parts:
-    """Assembled rows, split, with the dense feature names."""
+    """Assembled rows, split, with the dense feature names and the SVD, if any."""
 
     train: DataFrame
     test: DataFrame
     names: list[str]
+    components: np.ndarray | None = None
+
+
+def assembled_rows(
+    features: DataFrame, components: np.ndarray | None = None, names: list[str] | None = None
+) -> tuple[DataFrame, list[str]]:
+    """Feature vectors, the text part reduced if there are components."""
+    if components is None:
+        return training.assemble(features, "tfidf", names=names)
+    return training.assemble(reduction.apply_svd(features, components), "svd", names=names)
 
 
 def training_parts(
@@ -166,57 +231,102 @@ def training_parts(
     seed: int = fixed.SEED,
 ) -> Parts:
     """Assemble, optionally reduce the text part, split; written once."""
-    text_column = "tfidf"
+    components = None
     if svd_dim:
         features = stage(features, "features")
         size = features.schema["tfidf"].metadata.get("ml_attr", {}).get("num_attrs")
         size = size or features.select("tfidf").first()[0].size
-        components = reduction.fit_svd(features, size, svd_dim)
-        features = reduction.apply_svd(features, components)
-        text_column = "svd"
-    assembled, names = training.assemble(features, text_column)
+        components = reduction.fit_svd(features, size, svd_dim, seed=seed)
+    assembled, names = assembled_rows(features, components)
     rows = stage(assembled, "assembled")
     split = training.stratified_split(rows, test_size=test_size, seed=seed)
     return Parts(
         split.where(F.col("split") == "train").drop("split"),
         split.where(F.col("split") == "test").drop("split"),
         names,
+        components,
     )
 
 
+@dataclass
+class Models:
+    """The three classifiers, with all that scoring new feature rows needs."""
+
+    logistic: LogisticRegressionModel | list
+    forest: RandomForestClassificationModel
+    boosted: GBTClassificationModel
+    components: np.ndarray | None = None
+    names: list[str] = field(default_factory=list)
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        folds = self.logistic if isinstance(self.logistic, list) else [(self.logistic, None)]
+        for i, (model, _) in enumerate(folds):
+            model.write().overwrite().save(f"{path}/LogisticRegression-{i}")
+        self.forest.write().overwrite().save(f"{path}/RandomForest")
+        self.boosted.write().overwrite().save(f"{path}/GradientBoosting")
+        if self.components is not None:
+            reduction.save_components(spark, self.components, f"{path}/components")
+        options = {
+            "sigmoids": [s for _, s in folds], "svd": self.components is not None, "names": self.names,
+        }
+        _save_json(spark, options, f"{path}/options")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Models:
+        options = _load_json(spark, f"{path}/options")
+        folds = [
+            (LogisticRegressionModel.load(f"{path}/LogisticRegression-{i}"), s and tuple(s))
+            for i, s in enumerate(options["sigmoids"])
+        ]
+        return cls(
+            folds[0][0] if folds[0][1] is None else folds,
+            RandomForestClassificationModel.load(f"{path}/RandomForest"),
+            GBTClassificationModel.load(f"{path}/GradientBoosting"),
+            reduction.load_components(spark, f"{path}/components") if options["svd"] else None,
+            options["names"],
+        )
+
+    def score(self, rows: DataFrame) -> DataFrame:
+        """``(job_id, label, score, model)`` of assembled rows, one for each model."""
+        name = "LogisticRegression"
+        if isinstance(self.logistic, list):
+            table = training.score_calibrated(self.logistic, rows, name)
+        else:
+            table = training.score(self.logistic, rows, name)
+        table = table.unionByName(training.score(self.forest, rows, "RandomForest"))
+        return table.unionByName(training.score(self.boosted, rows, "GradientBoosting"))
+
+    def score_features(self, features: DataFrame) -> DataFrame:
+        return self.score(assembled_rows(features, self.components, self.names)[0])
+
+
 def fit_models(
     parts: Parts,
     version: int = 2,
     calibrate: bool = False,
     trees: int | None = None,
-    max_depth: int = 15,
+    max_depth: int = fixed.FOREST_DEPTH,
     rounds: int | None = None,
-    max_iter: int = 5000,
-) -> dict:
-    """The three classifiers by report name."""
-    logistic = (
-        training.fit_calibrated(parts.train, version=version, max_iter=max_iter)
-        if calibrate
-        else training.fit_logistic(parts.train, version, max_iter)
+    max_iter: int = fixed.LOGISTIC_ITERATIONS,
+    calibration_share: float = fixed.CALIBRATION_FRACTION,
+    seed: int = fixed.SEED,
+    fit_rows: int | None = FIT_ROWS,
+) -> Models:
+    """Fit the three classifiers on at most ``fit_rows`` training rows."""
+    train = stage(training.bounded_rows(parts.train, fit_rows), "fit-rows")
+    if calibrate:
+        logistic = training.fit_calibrated(
+            train, calibration_share, seed=seed, version=version, max_iter=max_iter
+        )
+    else:
+        logistic = training.fit_logistic(train, version, max_iter)
+    return Models(
+        logistic,
+        training.fit_forest(train, version, trees, max_depth, seed),
+        training.fit_boosted(train, version, rounds, seed),
+        parts.components,
+        parts.names,
     )
-    return {
-        "LogisticRegression": logistic,
-        "RandomForest": training.fit_forest(parts.train, version, trees, max_depth),
-        "GradientBoosting": training.fit_boosted(parts.train, version, rounds),
-    }
-
-
-def score_models(models: dict, rows: DataFrame) -> DataFrame:
-    scored = [
-        training.score_calibrated(m, rows, name)
-        if isinstance(m, list)
-        else training.score(m, rows, name)
-        for name, m in models.items()
-    ]
-    table = scored[0]
-    for part in scored[1:]:
-        table = table.unionByName(part)
-    return table
 
 
 def metrics_table(scores: DataFrame, version: int = 2) -> DataFrame:
@@ -227,20 +337,26 @@ def metrics_table(scores: DataFrame, version: int = 2) -> DataFrame:
     return report
 
 
-def training_job(features: DataFrame, out: str, version: int = 2, **options) -> DataFrame:
-    """Fit, score, report; writes models, importances and the metrics table."""
-    svd_dim = options.pop("svd_dim", None)
-    parts = training_parts(features, svd_dim)
-    models = fit_models(parts, version, **options)
+def training_job(
+    features: DataFrame,
+    out: str,
+    version: int = 2,
+    svd_dim: int | None = None,
+    test_size: float = fixed.TEST_SIZE,
+    seed: int = fixed.SEED,
+    **options,
+) -> DataFrame:
+    """Fit, score, report; writes models, importances and the metrics table, and
+    leaves nothing staged."""
     spark = features.sparkSession
-    for name, model in models.items():
-        fits = [m for m, _ in model] if isinstance(model, list) else [model]
-        for i, fit in enumerate(fits):
-            fit.write().overwrite().save(f"{out}/models/{name}-{i}")
-        if name != "LogisticRegression":
+    with staged_job():
+        parts = training_parts(features, svd_dim, test_size, seed)
+        models = fit_models(parts, version, seed=seed, **options)
+        models.save(spark, f"{out}/models")
+        for name, model in (("RandomForest", models.forest), ("GradientBoosting", models.boosted)):
             table = training.feature_importance(
                 spark, model, parts.names, used_only=name == "GradientBoosting"
             )
             write_table(table, f"{out}/importance/{name}")
-    scores = stage(score_models(models, parts.test), "scores")
-    return write_table(metrics_table(scores, version), f"{out}/metrics")
+        scores = stage(models.score(parts.test), "scores")
+        return write_table(metrics_table(scores, version), f"{out}/metrics")

@@ -61,6 +61,9 @@ P = "p AS (SELECT job_id, " + ", ".join(
 ) + " FROM raw)"
 BASE = (RAW, P)
 
+REPEATED = """rep AS (SELECT * EXCLUDE (t) FROM (
+  SELECT *, unnest(range(0, greatest(job_id % 5 - 1, 1))) AS t FROM p))"""
+
 # --- labels -----------------------------------------------------------------------
 
 SALARY_TEXT = """sal AS (SELECT *, replace(lower(salary_range), ' ', '') AS s,
@@ -171,9 +174,13 @@ _PORTAL = "lower(coalesce(job_portal, ''))"
 _SKILLS = "lower(coalesce(skills_required, ''))"
 _SKILL_NAMES = {s: "has_" + s.replace(" ", "_") for s in fixed.SKILLS}
 
+# Version 2 reads a column by one format, which its first value sets: ISO dates here.
+_ISO_DATE = """CASE WHEN regexp_matches(posted_date, '^[0-9]{4}-[0-9]{2}-[0-9]{2}$')
+    THEN TRY_CAST(posted_date AS DATE) END"""
+
 # Dates, numbers and categories of one posting.
 FIELDS = f"""x AS (SELECT *,
-  TRY_CAST(posted_date AS DATE) AS posted, TRY_CAST(application_deadline AS DATE) AS deadline,
+  {_ISO_DATE} AS posted, TRY_CAST(application_deadline AS DATE) AS deadline,
   TRY_CAST({_NUMS}[1] AS DOUBLE) AS min_salary,
   TRY_CAST(coalesce({_NUMS}[2], {_NUMS}[1]) AS DOUBLE) AS max_salary,
   TRY_CAST({_EXPS}[1] AS DOUBLE) AS min_experience,
@@ -267,6 +274,10 @@ LABEL_FEATURES = (*TO_LABELS, *_features("l", "coalesce(number_of_applicants, 0e
 FIELD_STEPS = (*BASE, FIELDS.replace("{source}", "p"), MORE_FIELDS, CATEGORIES)
 CLEAN_STEPS = (*BASE, CLEANED.replace("{source}", "p"))
 
+# Each cell by its own format: those that the fixture has.
+_ANY_DATE = """coalesce(TRY_CAST(posted_date AS DATE),
+    CAST(try_strptime(posted_date, '%d %b %Y') AS DATE),
+    CAST(try_strptime(posted_date, '%Y/%m/%d') AS DATE))"""
 _DATES = (
     "job_id, posted_year, posted_month, posted_dayofweek, days_to_deadline, is_urgent,"
     " is_long_term"
@@ -312,9 +323,13 @@ TERMS = """t AS (SELECT job_id, term, count(*) AS n FROM (
 VOCABULARY = f"""v AS (SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INT) AS term_id,
   df, tf FROM (SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS tf FROM t GROUP BY term
     HAVING count(*) >= {fixed.MIN_DF} ORDER BY tf DESC, term LIMIT {fixed.MAX_FEATURES}))"""
+WEIGHTS = """tw AS (SELECT job_id, term_id,
+    weight / sqrt(sum(weight * weight) OVER (PARTITION BY job_id)) AS weight
+  FROM (SELECT job_id, term_id,
+    n * (ln((1 + (SELECT count(*) FROM p)) / (1e0 + df)) + 1) AS weight FROM t JOIN v USING (term)))"""
 TEXT_STEPS = (*CLEAN_STEPS, WORDS, PAIRS, TERMS, VOCABULARY)
-_TOKENS = """SELECT job_id, CAST(len(words) AS INT) AS n_words, CAST(len(pairs) AS INT) AS n_pairs,
-  array_to_string(list_sort(list_distinct(pairs))[1:3], '|') AS first_pairs FROM g"""
+_TOKENS = """SELECT job_id, term, count(*) AS n FROM (
+  SELECT job_id, unnest(list_concat(words, pairs)) AS term FROM g) GROUP BY ALL"""
 
 # --- split and evaluation ---------------------------------------------------------
 
@@ -329,6 +344,12 @@ quota AS (SELECT label, floor(exact) + CASE WHEN
 DRAWN = f"""drawn AS (SELECT lr.*, row_number() OVER (PARTITION BY label
     ORDER BY md5(CAST(job_id AS VARCHAR) || ':{fixed.SEED}'), job_id) AS place FROM lr)"""
 
+# Rows that the model queries fit on: of the training part, the first in a hash order.
+FIT_ROWS = 300
+FITTED_ON = f"""fit AS (SELECT job_id, label FROM drawn JOIN quota USING (label) WHERE place > quota
+  QUALIFY row_number() OVER (ORDER BY md5(CAST(job_id AS VARCHAR) || ':{fixed.SEED + 2}'), job_id)
+    <= {FIT_ROWS})"""
+
 SCORES = """sc AS (
   SELECT job_id, fake_label_tuned AS label, 'TriggerIndex' AS model,
     round(fraud_trigger_index_raw, 4) AS score FROM q
@@ -379,6 +400,13 @@ _META_SELECT = ", ".join(
     f"round({c}, 6) AS {c}" if c in _META_DOUBLES else c for c in _META
 )
 
+_META_RAW = ", ".join(_META)
+_RAW_SCALES = _SCALES.replace("round(", "").replace(", 6) AS", " AS")
+_DENSE_SUM = " + ".join(
+    f"coalesce(CAST({c} AS DOUBLE), 0e0)"
+    for c in [*_META, *[f"{c}_enc" for c in fixed.ENCODED_COLUMNS], *[f"{c}_scaled" for c in _SCALED]]
+)
+
 _PROFILE = " UNION ALL ".join(
     f"SELECT {i} AS position, '{c}' AS column_name, count(*) AS row_count,"
     f" count(*) FILTER ({c} IS NULL) AS null_count FROM p"
@@ -411,14 +439,26 @@ ORACLES = {
     "surrogate_key": "SELECT count(*) AS n_rows, 1 AS first_id, count(*) AS last_id,"
     " count(*) AS n_ids FROM documents",
     "default_label": "SELECT doc_id AS job_id, 0 AS fake_label FROM documents",
-    "dedup_postings": _chain(
-        "SELECT DISTINCT * FROM (SELECT * FROM p UNION ALL SELECT * FROM p)", *BASE
-    ),
+    "dedup_postings": _chain("SELECT DISTINCT * FROM rep", *BASE, REPEATED),
     "dedup_counts": _chain(
-        """SELECT (SELECT count(*) FROM dbl) AS rows_loaded,
-        (SELECT count(*) FROM (SELECT DISTINCT * FROM dbl)) AS rows_after_dedup""",
-        *BASE,
-        "dbl AS (SELECT * FROM p UNION ALL SELECT * FROM p)",
+        """SELECT (SELECT count(*) FROM rep) AS rows_loaded,
+        (SELECT count(*) FROM (SELECT DISTINCT * FROM rep)) AS rows_after_dedup""",
+        *BASE, REPEATED,
+    ),
+    "label_job_keyless": _chain(
+        """SELECT md5(coalesce(job_description, '')) AS text_md5, company_name, job_title,
+        salary_range, num_flags, fake_label, fake_label_tuned, triggered_rules,
+        count(*) OVER () AS last_id, count(*) OVER () AS n_ids FROM l""",
+        *BASE, REPEATED, "once AS (SELECT DISTINCT * EXCLUDE (job_id) FROM rep)",
+        SALARY_TEXT.replace("FROM p", "FROM once"), DERIVED, FLAGS, LABELS,
+    ),
+    "label_job_text_ids": _chain(
+        """SELECT job_id, triggered_rules, label,
+        CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split
+        FROM drawn JOIN quota USING (label)""",
+        *TO_LABELS,
+        "lr AS (SELECT 'JOB-' || job_id AS job_id, triggered_rules, fake_label_tuned AS label FROM l)",
+        QUOTAS, DRAWN,
     ),
     "salary_bounds_label": _chain(
         "SELECT job_id, salary_lower_lpa, salary_upper_lpa FROM d", *BASE, SALARY_TEXT, DERIVED
@@ -463,7 +503,10 @@ ORACLES = {
         f"SELECT {_COMPACT}, fake_label_tuned, triggered_rules, num_flags FROM l", *TO_LABELS
     ),
     "date_features": _chain(f"SELECT {_DATES} FROM z", *FIELD_STEPS),
-    "date_features_v1": _chain(f"SELECT {_DATES} FROM z", *FIELD_STEPS),
+    "date_features_v1": _chain(
+        f"SELECT {_DATES} FROM z", *BASE, FIELDS.replace("{source}", "p").replace(
+            _ISO_DATE, _ANY_DATE), MORE_FIELDS, CATEGORIES
+    ),
     "salary_features": _chain(
         "SELECT job_id, min_salary, max_salary, avg_salary, salary_category FROM z", *FIELD_STEPS
     ),
@@ -525,12 +568,50 @@ ORACLES = {
     "tokens_ngrams_v1": _chain(_TOKENS, *BASE, WORDS_V1, PAIRS),
     "vocabulary": _chain("SELECT term, term_id, df, tf FROM v", *TEXT_STEPS),
     "tfidf": _chain(
-        """SELECT job_id, term_id,
-        round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY job_id)), 6) AS weight
-        FROM (SELECT job_id, term_id,
-          n * (ln((1 + (SELECT count(*) FROM p)) / (1e0 + df)) + 1) AS weight
-          FROM t JOIN v USING (term))""",
-        *TEXT_STEPS,
+        "SELECT job_id, term_id, round(weight, 6) AS weight FROM tw", *TEXT_STEPS, WEIGHTS
+    ),
+    "svd_energy": _chain(
+        f"""SELECT round(sum(energy), 4) AS energy, round(sum(energy) FILTER (place <= {fixed.SVD_DIM}), 4)
+          AS strongest_terms, true AS within_energy, true AS no_less_than_terms
+        FROM (SELECT energy, row_number() OVER (ORDER BY energy DESC) AS place FROM (
+          SELECT term_id, sum(weight * weight) AS energy FROM tw GROUP BY term_id))""",
+        *TEXT_STEPS, WEIGHTS,
+    ),
+    "assembled_features": _chain(
+        f"""SELECT m.job_id, m.fake_label AS label, round({_DENSE_SUM}, 4) AS dense_sum,
+        coalesce(n, 0) AS text_entries, coalesce(norm, 0e0) AS text_norm
+        FROM (SELECT job_id, fake_label, {_META_RAW}, {_CODES}, {_RAW_SCALES} FROM m0) m
+        LEFT JOIN (SELECT job_id, CAST(count(*) AS INT) AS n,
+          round(sqrt(sum(weight * weight)), 6) AS norm FROM tw GROUP BY job_id) e
+        ON m.job_id = e.job_id""",
+        *LABEL_FEATURES,
+        f"m0 AS (SELECT * REPLACE (fake_label_tuned AS fake_label),"
+        f" {_INDEX} AS fraud_trigger_index FROM q)",
+        WORDS, PAIRS, TERMS, VOCABULARY, WEIGHTS,
+    ),
+    "lr_balance": _chain(
+        f"""SELECT least({FIT_ROWS}, sum(n - quota)) AS n_fit, 1e0 AS means, sum(quota) AS n_test
+        FROM cls JOIN quota USING (label)""",
+        *TO_LABELS, LABEL_ROWS, QUOTAS,
+    ),
+    "calibration_balance": _chain(
+        f"""SELECT fold, count(*) AS n_rows, 0e0 AS gap FROM (
+          SELECT CAST(place > n // 3 AS INT) + CAST(place > n * 2 // 3 AS INT) AS fold FROM (
+            SELECT *, count(*) OVER (PARTITION BY label) AS n, row_number() OVER (
+              PARTITION BY label ORDER BY md5(CAST(job_id AS VARCHAR) || ':{fixed.SEED + 1}'), job_id) AS place
+            FROM (SELECT job_id, label FROM fit QUALIFY row_number() OVER (
+              ORDER BY md5(CAST(job_id AS VARCHAR) || ':{fixed.SEED}'), job_id)
+              <= least(count(*) OVER (), greatest(100,
+                floor(count(*) OVER () * {fixed.CALIBRATION_FRACTION}e0)))))) GROUP BY fold""",
+        *TO_LABELS, LABEL_ROWS, QUOTAS, DRAWN, FITTED_ON,
+    ),
+    "importance_sums": """SELECT 'RandomForest' AS model, 1e0 AS total, false AS used_only, true AS each_once
+      UNION ALL SELECT 'GradientBoosting', 1e0, true, true""",
+    "score_rows": _chain(
+        """SELECT model, n AS n_rows, n AS n_ids, positives, n AS in_range FROM (
+          SELECT sum(quota) AS n, sum(quota) FILTER (label = 1) AS positives FROM quota),
+        (VALUES ('LogisticRegression'), ('RandomForest')) v(model)""",
+        *TO_LABELS, LABEL_ROWS, QUOTAS,
     ),
     "stratified_split": _chain(
         """SELECT job_id, label, CASE WHEN place <= quota THEN 'test' ELSE 'train' END AS split

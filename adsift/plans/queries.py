@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +15,9 @@ from adsift.sources import postings as source
 from adsift.sources.fixture import job_postings
 from adsift.sources.storage import stage
 
-# Sizes of the model queries; the jobs default to the full ones.
-TREES = 20
-DEPTH = 6
-ROUNDS = 10
-ITERATIONS = 50
-SVD_DIM = 10
+# Labelled rows that the model queries fit classifiers on; trees, depth, rounds,
+# iterations and rank are those of the jobs.
+FIT_ROWS = 300
 DIGITS = 6
 
 
@@ -61,17 +59,39 @@ def default_label(spark, sf):
     return source.default_label(postings(spark, sf)).select("job_id", "fake_label")
 
 
-def _doubled(spark, sf):
+def _repeated(spark, sf):
+    """Some of the postings stand there twice or three times."""
+    times = F.greatest(F.col("job_id") % 5 - 1, F.lit(1)).cast("int")
     rows = postings(spark, sf)
-    return rows.unionByName(rows)
+    return rows.withColumn("_time", F.explode(F.sequence(F.lit(1), times))).drop("_time")
 
 
 def dedup_postings(spark, sf):
-    return source.dedup_postings(_doubled(spark, sf))
+    return source.dedup_postings(_repeated(spark, sf))
 
 
 def dedup_counts(spark, sf):
-    return source.dedup_counts(_doubled(spark, sf))
+    return source.dedup_counts(_repeated(spark, sf))
+
+
+def label_job_keyless(spark, sf):
+    """Labelled postings of an input without keys, with how many keys they got."""
+    table = jobs.label_job(_repeated(spark, sf).drop("job_id"))
+    keys = table.agg(F.max("job_id").alias("last_id"), F.count_distinct("job_id").alias("n_ids"))
+    return table.join(F.broadcast(keys)).select(
+        F.md5(F.coalesce("job_description", F.lit(""))).alias("text_md5"),
+        "company_name", "job_title", "salary_range", "num_flags", "fake_label",
+        "fake_label_tuned", "triggered_rules", "last_id", "n_ids",
+    )
+
+
+def label_job_text_ids(spark, sf):
+    """Labels and split of postings whose keys are text."""
+    named = _repeated(spark, sf).withColumn("job_id", F.concat(F.lit("JOB-"), F.col("job_id")))
+    table = jobs.label_job(named).select(
+        "job_id", "triggered_rules", F.col("fake_label_tuned").alias("label")
+    )
+    return training.stratified_split(stage(table, "labels"))
 
 
 # --- label derivations ----------------------------------------------------------
@@ -251,8 +271,14 @@ def portal_features(spark, sf):
     )
 
 
+def _features(spark, sf, rows: DataFrame | None = None) -> DataFrame:
+    """Row features with the date formats that the whole table fits."""
+    rows = postings(spark, sf) if rows is None else rows
+    return features.row_features(rows, 2, jobs.fit_formats(postings(spark, sf)))
+
+
 def composite_features(spark, sf):
-    return features.row_features(postings(spark, sf)).select(
+    return _features(spark, sf).select(
         "job_id", "number_of_applicants",
         *_rounded(
             "competition_index", "salary_exp_ratio", "skill_demand_score", "job_attractiveness"
@@ -284,33 +310,34 @@ _SCALED = [c for c in fixed.SCALED_COLUMNS if c != "education_level"]
 
 
 def standardize(spark, sf):
-    rows = features.row_features(postings(spark, sf)).select("job_id", *_SCALED)
+    rows = _features(spark, sf).select("job_id", *_SCALED)
     rows = stage(rows, "numbers")
     scaled = fitted.apply_scaler(rows, fitted.fit_scaler(rows))
     return scaled.select("job_id", *_rounded(*[f"{c}_scaled" for c in _SCALED]))
 
 
-def _feature_rows(spark, sf) -> DataFrame:
-    return jobs.prepare_rows(labeling.use_tuned_label(labelled(spark, sf)))
+def _tuned(spark, sf) -> DataFrame:
+    return labeling.use_tuned_label(labelled(spark, sf))
 
 
 def meta_features(spark, sf):
-    rows = features.row_features(labeling.use_tuned_label(labelled(spark, sf)))
+    rows = _features(spark, sf, _tuned(spark, sf))
     rows = stage(rows.drop("desc_clean", "job_description"), "row-features")
-    rows = fitted.apply_index(rows, fitted.fit_index_max(rows))
+    numbers = fitted.fit_numbers(rows)
+    rows = fitted.apply_index(rows, numbers.index_max)
     rows = fitted.apply_category_codes(rows, fitted.fit_category_codes(rows))
-    table = fitted.meta_features(fitted.apply_scaler(rows, fitted.fit_scaler(rows)))
+    table = fitted.meta_features(fitted.apply_scaler(rows, numbers.moments))
     doubles = {c for c, kind in table.dtypes if kind == "double"}
     return table.select(*[_rounded(c)[0] if c in doubles else c for c in table.columns])
 
 
 def feature_groups(spark, sf):
-    rows = features.row_features(labeling.use_tuned_label(labelled(spark, sf)))
+    rows = _features(spark, sf, _tuned(spark, sf))
     return fitted.feature_group_counts(fitted.apply_index(rows, 1.0))
 
 
 def feature_group_select(spark, sf):
-    rows = features.row_features(postings(spark, sf))
+    rows = _features(spark, sf)
     return fitted.select_group(rows, "salary_experience").withColumn(
         "salary_exp_ratio", F.round("salary_exp_ratio", DIGITS)
     )
@@ -327,12 +354,12 @@ def _word_rows(spark, sf) -> DataFrame:
 
 def tokens_ngrams(spark, sf):
     rows = features.add_clean_text(postings(spark, sf).select("job_id", "job_description"))
-    return vocabulary.tokens_of_documents(vocabulary.with_words(rows))
+    return vocabulary.terms_of_documents(vocabulary.with_words(rows))
 
 
 def tokens_ngrams_v1(spark, sf):
     rows = postings(spark, sf).select("job_id", "job_description")
-    return vocabulary.tokens_of_documents(
+    return vocabulary.terms_of_documents(
         vocabulary.with_words(rows, "job_description", accents=True)
     )
 
@@ -347,12 +374,37 @@ def tfidf(spark, sf):
     return vocabulary.vector_entries(vectors).withColumn("weight", F.round("weight", DIGITS))
 
 
-def svd_features(spark, sf):
+def _reduced(spark, sf):
     rows = _word_rows(spark, sf)
     model = vocabulary.TextModel.fit(rows)
     vectors = stage(model.transform(rows).select("job_id", "tfidf"), "vectors")
-    components = reduction.fit_svd(vectors, len(model.terms), SVD_DIM)
-    return reduction.apply_svd(vectors, components).select("job_id", "svd")
+    components = reduction.fit_svd(vectors, len(model.terms), fixed.SVD_DIM)
+    return vectors, reduction.apply_svd(vectors, components)
+
+
+def svd_features(spark, sf):
+    return _reduced(spark, sf)[1].select("job_id", "svd")
+
+
+def svd_energy(spark, sf):
+    """The energy of the TF-IDF rows, that of the strongest terms, and whether the
+    captured share lies between: no projection of a rank holds more than the whole,
+    the best one no less than as many single terms."""
+    vectors, reduced = _reduced(spark, sf)
+    squares = F.aggregate("svd", F.lit(0.0), lambda a, x: a + x * x)
+    captured = reduced.agg(F.sum(squares).alias("captured"))
+    by_term = reduction.gram_diagonal(vectors)
+    # As many terms as the vocabulary has at most.
+    strongest = by_term.orderBy(F.desc("energy")).limit(fixed.SVD_DIM)
+    top = strongest.agg(F.sum("energy").alias("top"))
+    whole = by_term.agg(F.sum("energy").alias("whole"))
+    table = whole.join(top).join(captured)
+    return table.select(
+        F.round("whole", 4).alias("energy"),
+        F.round("top", 4).alias("strongest_terms"),
+        (F.col("captured") <= F.col("whole") * (1 + 1e-9)).alias("within_energy"),
+        (F.col("captured") >= F.col("top") * (1 - 1e-9)).alias("no_less_than_terms"),
+    )
 
 
 # --- split, weights, models -----------------------------------------------------
@@ -382,48 +434,124 @@ def calibration_folds(spark, sf):
     return training.with_folds(_label_rows(spark, sf))
 
 
+def _feature_table(spark, sf) -> DataFrame:
+    return jobs.feature_job(_tuned(spark, sf))[0]
+
+
+def assembled_features(spark, sf):
+    """What assembly makes of each row: the sum of the dense part, and the entries
+    and length of the text part."""
+    assembled, names = training.assemble(_feature_table(spark, sf))
+    rows = assembled.withColumn("x", vector_to_array("features"))
+    dense = F.slice("x", F.lit(1), F.lit(len(names)))
+    rows = rows.withColumns(
+        {"dense": dense, "text": F.slice("x", F.lit(len(names) + 1), F.size("x"))}
+    )
+    squares = F.aggregate("text", F.lit(0.0), lambda a, x: a + x * x)
+    return rows.select(
+        "job_id",
+        F.col("label").cast("int").alias("label"),
+        F.round(F.aggregate("dense", F.lit(0.0), lambda a, x: a + x), 4).alias("dense_sum"),
+        F.size(F.filter("text", lambda x: x != 0)).alias("text_entries"),
+        F.round(F.sqrt(squares), 6).alias("text_norm"),
+    )
+
+
 def _parts(spark, sf) -> jobs.Parts:
-    features_table, _ = jobs.feature_job(labeling.use_tuned_label(labelled(spark, sf)))
-    return jobs.training_parts(features_table)
+    return jobs.training_parts(_feature_table(spark, sf))
+
+
+def _fit_rows(parts: jobs.Parts) -> DataFrame:
+    return stage(training.bounded_rows(parts.train, FIT_ROWS), "fit-rows")
 
 
 def lr_scores(spark, sf):
     parts = _parts(spark, sf)
-    return training.score(
-        training.fit_logistic(parts.train, max_iter=ITERATIONS), parts.test, "LogisticRegression"
-    )
+    model = training.fit_logistic(_fit_rows(parts))
+    return training.score(model, parts.test, "LogisticRegression")
+
+
+def lr_balance(spark, sf):
+    """At the optimum of a fit with balanced classes and a free intercept, the mean
+    scores of both classes add up to 1 on the rows of the fit."""
+    parts = _parts(spark, sf)
+    rows = _fit_rows(parts)
+    scored = training.score(training.fit_logistic(rows), rows, "LogisticRegression")
+    mean = lambda c: F.avg(F.when(F.col("label") == c, F.col("score")))
+    found = scored.agg(F.count(F.lit(1)).alias("n_fit"), F.round(mean(0) + mean(1), 1).alias("means"))
+    tests = parts.test.agg(F.count(F.lit(1)).alias("n_test"))
+    return found.join(tests)
 
 
 def calibrated_scores(spark, sf):
     parts = _parts(spark, sf)
-    models = training.fit_calibrated(parts.train, max_iter=ITERATIONS)
+    models = training.fit_calibrated(_fit_rows(parts))
     return training.score_calibrated(models, parts.test, "LogisticRegression")
 
 
+def calibration_balance(spark, sf):
+    """A fold's sigmoid gives its held-out rows the mean of their softened targets."""
+    return training.calibration_balance(_fit_rows(_parts(spark, sf)))
+
+
 def rf_scores(spark, sf):
     parts = _parts(spark, sf)
-    model = training.fit_forest(parts.train, trees=TREES, max_depth=DEPTH)
-    return training.score(model, parts.test, "RandomForest")
+    return training.score(training.fit_forest(_fit_rows(parts)), parts.test, "RandomForest")
 
 
 def gbt_scores(spark, sf):
     parts = _parts(spark, sf)
-    return training.score(
-        training.fit_boosted(parts.train, rounds=ROUNDS), parts.test, "GradientBoosting"
+    return training.score(training.fit_boosted(_fit_rows(parts)), parts.test, "GradientBoosting")
+
+
+def _importances(spark, sf) -> tuple[DataFrame, DataFrame]:
+    parts = _parts(spark, sf)
+    rows = _fit_rows(parts)
+    forest = training.feature_importance(spark, training.fit_forest(rows), parts.names)
+    boosted = training.feature_importance(
+        spark, training.fit_boosted(rows), parts.names, used_only=True
     )
+    return forest, boosted
 
 
 def feature_importance(spark, sf):
     parts = _parts(spark, sf)
-    model = training.fit_forest(parts.train, trees=TREES, max_depth=DEPTH)
-    return training.feature_importance(spark, model, parts.names)
+    return training.feature_importance(spark, training.fit_forest(_fit_rows(parts)), parts.names)
+
+
+def importance_sums(spark, sf):
+    """Importances add up to 1; forests list every feature, boosted trees those used."""
+    model = lambda name: F.lit(name).alias("model")
+    forest, boosted = _importances(spark, sf)
+    table = forest.select(model("RandomForest"), "*").unionAll(
+        boosted.select(model("GradientBoosting"), "*")
+    )
+    return table.groupBy("model").agg(
+        F.round(F.sum("importance"), 6).alias("total"),
+        (F.min("importance") > 0).alias("used_only"),
+        (F.count(F.lit(1)) == F.count_distinct("feature")).alias("each_once"),
+    )
 
 
 def model_report(spark, sf):
     parts = _parts(spark, sf)
-    models = jobs.fit_models(parts, trees=TREES, max_depth=DEPTH, rounds=ROUNDS, max_iter=ITERATIONS)
-    scores = stage(jobs.score_models(models, parts.test), "scores")
-    return jobs.metrics_table(scores)
+    models = jobs.fit_models(parts, fit_rows=FIT_ROWS)
+    return jobs.metrics_table(stage(models.score(parts.test), "scores"))
+
+
+def score_rows(spark, sf):
+    """Each model scores each test row once, with a probability."""
+    parts = _parts(spark, sf)
+    rows = _fit_rows(parts)
+    scores = training.score_calibrated(
+        training.fit_calibrated(rows), parts.test, "LogisticRegression"
+    ).unionByName(training.score(training.fit_forest(rows), parts.test, "RandomForest"))
+    return scores.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_distinct("job_id").alias("n_ids"),
+        F.sum("label").cast("long").alias("positives"),
+        F.count_if(F.col("score").between(0, 1)).alias("in_range"),
+    )
 
 
 # --- evaluation, on a score without a model -------------------------------------
@@ -431,7 +559,7 @@ def model_report(spark, sf):
 
 def index_scores(spark, sf) -> DataFrame:
     """Two deterministic scores of each posting against the tuned label."""
-    rows = features.row_features(labelled(spark, sf))
+    rows = _features(spark, sf, labelled(spark, sf))
     index = F.round(F.col("fraud_trigger_index_raw"), 4)
     crowd = F.round(1 / (F.col("competition_index") + 1), 4)
     return stage(
@@ -499,6 +627,8 @@ QUERIES = {
     "default_label": default_label,
     "dedup_postings": dedup_postings,
     "dedup_counts": dedup_counts,
+    "label_job_keyless": label_job_keyless,
+    "label_job_text_ids": label_job_text_ids,
     "salary_bounds_label": salary_bounds_label,
     "experience_years": experience_years,
     "word_count_whitespace": word_count_whitespace,
@@ -538,16 +668,22 @@ QUERIES = {
     "vocabulary": vocabulary_terms,
     "tfidf": tfidf,
     "svd_features": svd_features,
+    "svd_energy": svd_energy,
+    "assembled_features": assembled_features,
     "stratified_split": stratified_split,
     "class_weights": class_weights,
     "calibration_sample": calibration_sample,
     "calibration_folds": calibration_folds,
     "lr_scores": lr_scores,
+    "lr_balance": lr_balance,
     "calibrated_scores": calibrated_scores,
+    "calibration_balance": calibration_balance,
     "rf_scores": rf_scores,
     "gbt_scores": gbt_scores,
     "feature_importance": feature_importance,
+    "importance_sums": importance_sums,
     "model_report": model_report,
+    "score_rows": score_rows,
     "classification_metrics": classification_metrics,
     "roc_auc": roc_auc,
     "pr_curve": pr_curve,

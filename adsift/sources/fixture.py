@@ -54,6 +54,7 @@ _SKILLS = [
     "Python, SQL,  Excel", "JavaScript, C++", None,
     "Machine Learning, UI/UX, , AWS", "Communication",
 ]
+_MONTHS = ["Jan", "May", "Aug", "Dec"]
 _PHRASES = [
     "Registration fee applies. ", "Contact WhatsApp 98765 now! ",
     "Earn Rs. 50k weekly payout, apply through whatsapp. ",
@@ -77,7 +78,9 @@ SELECT
   {_pick(_EMAILS)} AS recruiter_email,
   CASE doc_id % 17 WHEN 0 THEN NULL WHEN 1 THEN 'abc'
        ELSE CAST((doc_id * 37) % 1400 AS STRING) END AS number_of_applicants,
-  CASE doc_id % 19 WHEN 0 THEN 'not a date' WHEN 1 THEN NULL
+  CASE doc_id % 19 WHEN 1 THEN NULL WHEN 2 THEN 'not a date'
+       WHEN 3 THEN CAST(doc_id % 28 + 1 AS STRING) || ' ' || {_pick(_MONTHS)} || ' 2024'
+       WHEN 4 THEN replace({_day('doc_id % 200')}, '-', '/')
        ELSE {_day('doc_id % 200')} END AS posted_date,
   CASE doc_id % 23 WHEN 0 THEN NULL
        ELSE {_day('doc_id % 200 + (doc_id * 7) % 50 - 3')} END AS application_deadline,

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adsift.functions import fixed_values as fixed
+from adsift.operators.bitmap import may_contain
+from adsift.sources.storage import stage
 
 POSTING_SCHEMA = T.StructType(
     [
@@ -19,13 +21,13 @@ _ROW_BITS = 33
 
 
 def scan_postings(
-    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = True
+    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False
 ) -> DataFrame:
     """Postings of a parquet or CSV location under their canonical names.
 
-    A quoted CSV field may span lines, which keeps Spark from splitting a file;
-    pass ``multi_line=False`` for exports with one record per line.  All CSV
-    columns are read as text, so no pass is spent on inferring types.
+    CSV files are split at their lines; pass ``multi_line=True`` for exports whose
+    quoted fields span lines, which makes each file one task.  All CSV columns
+    are read as text, so no pass is spent on inferring types.
     """
     if fmt == "csv":
         df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
@@ -40,15 +42,17 @@ def canonical_names(df: DataFrame) -> DataFrame:
 
 
 def tolerant_schema(df: DataFrame) -> DataFrame:
-    """Null tokens become null; columns the input lacks get their default."""
+    """Null tokens become null; columns the input lacks get their default.
+
+    A key is kept as it comes, whatever its type.
+    """
     types = dict(df.dtypes)
     tokens = ", ".join(f"'{token}'" for token in fixed.NULL_TOKENS)
     columns = {}
     for name in POSTING_SCHEMA.names:
         if name == "job_id":
-            if name in types:
-                columns[name] = F.col(name).try_cast("bigint")
-        elif name not in types:
+            continue
+        if name not in types:
             columns[name] = F.lit(fixed.ABSENT_DEFAULTS.get(name)).cast("string")
         else:
             columns[name] = F.expr(f"CASE WHEN string({name}) NOT IN ({tokens}) THEN string({name}) END")
@@ -58,14 +62,15 @@ def tolerant_schema(df: DataFrame) -> DataFrame:
 def surrogate_key(df: DataFrame) -> DataFrame:
     """``job_id`` 1..n in file order, where the input has none.
 
-    Apply it to a scan.  A generated id holds the partition and the row's place
-    in it; adding the row counts of all earlier partitions makes the numbers
+    The rows are written first, since their places must not change between the
+    two passes.  A generated id holds the partition and the row's place in it;
+    adding the row counts of all earlier partitions makes the numbers
     consecutive without moving a row.  Only the counts are joined back, one row
-    for each input partition.
+    for each partition.
     """
     if "job_id" in df.columns:
         return df
-    placed = df.withColumn("_place", F.monotonically_increasing_id())
+    placed = stage(df.withColumn("_place", F.monotonically_increasing_id()), "placed")
     partition = F.shiftright("_place", _ROW_BITS)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -82,6 +87,14 @@ def surrogate_key(df: DataFrame) -> DataFrame:
     )
 
 
+def require_keys(df: DataFrame, key: str = "job_id") -> DataFrame:
+    """The table as it is, or an error if a key is null or stands twice."""
+    found = df.groupBy(key).count().where(F.col(key).isNull() | (F.col("count") > 1)).limit(5).collect()
+    if found:
+        raise ValueError(f"null or repeated keys, such as {[r[key] for r in found]}")
+    return df
+
+
 def default_label(df: DataFrame) -> DataFrame:
     """``fake_label`` 0 where the input carries no label."""
     if "fake_label" in df.columns:
@@ -89,24 +102,35 @@ def default_label(df: DataFrame) -> DataFrame:
     return df.withColumn("fake_label", F.lit(0))
 
 
+def row_digest(df: DataFrame) -> Column:
+    """256 bits for a whole row: the JSON of its fields tells nulls, which it leaves
+    out, from any text."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+
+
+def _digest_counts(df: DataFrame) -> DataFrame:
+    return df.select(row_digest(df).alias("digest")).groupBy("digest").agg(
+        F.count(F.lit(1)).alias("copies")
+    )
+
+
 def dedup_postings(df: DataFrame) -> DataFrame:
     """One of each set of equal rows, nulls being equal.
 
-    A plain hash aggregation: copies of a row are dropped within each task
-    before the shuffle, so a posting repeated without end stays cheap.
+    Digests are counted first.  Rows whose digest stands once, most of them, pass
+    through where they are; only those that may have a copy are regrouped whole,
+    copies folding within each task before the shuffle.
     """
-    return df.dropDuplicates()
+    repeated = _digest_counts(df).where(F.col("copies") > 1).select("digest")
+    may_repeat = may_contain(repeated, row_digest(df))
+    return df.where(~may_repeat).unionAll(df.where(may_repeat).dropDuplicates())
 
 
 def dedup_counts(df: DataFrame) -> DataFrame:
-    """Row numbers before and after dedup, from a single aggregation."""
-    return (
-        df.groupBy(*[F.col(c) for c in df.columns])
-        .agg(F.count(F.lit(1)).alias("_copies"))
-        .agg(
-            F.coalesce(F.sum("_copies"), F.lit(0)).alias("rows_loaded"),
-            F.count(F.lit(1)).alias("rows_after_dedup"),
-        )
+    """Row numbers before and after dedup; only digests move."""
+    return _digest_counts(df).agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows_loaded"),
+        F.count(F.lit(1)).alias("rows_after_dedup"),
     )
 
 

@@ -198,3 +198,32 @@ def test_digits_of_other_scripts(spark):
     df = posting_rows(spark, [{"salary_range": "१२ LPA"}])
     got = df.withColumn("d", parsing.ascii_digits(F.col("salary_range")))
     assert column(got, "d") == ["12 LPA"]
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["2024-01-05", "2024-01-05 10:20:30", "2024-01-05T10:20:30.123", "2024-01-05T10:20:30Z",
+     "2024-01-05 10:20:30+05:30", "2024-01-05 10:20:30.5", "05-Jan-2024", "Jan 5 2024", "20240105", "2024-1-5",
+     "January 5 2024", "5 Jan 2024", "2024/01/05", "Jan 5, 2024"],
+)
+def test_date_forms(spark, text):
+    df = posting_rows(spark, [{"posted_date": text}])
+    names = "posted_year", "posted_month", "posted_dayofweek"
+    assert column(features.add_date_features(df), *names) == [(2024, 1, 4)]
+
+
+def test_constants_against_golden_texts(spark):
+    """Literal cases, so that a constant changed by mistake shows without the oracle."""
+    rows = [
+        ({"job_description": "Earn Rs. 50k weekly payout, apply through whatsapp. "}, 3),
+        ({"job_description": "Coffee and feedback culture."}, 0),
+    ]
+    df = features.add_clean_text(posting_rows(spark, [r for r, _ in rows]))
+    got = features.add_india_signals(df)
+    assert column(got, "india_scam_keyword_count") == [n for _, n in rows]
+    assert column(df, "desc_clean")[0] == "earn rs k weekly payout apply through whatsapp"
+    mails = ["x@yahoo.co.in", "a@YAHOO.com", "x@outlook.com"]
+    got = features.add_india_signals(
+        features.add_clean_text(posting_rows(spark, [{"recruiter_email": m} for m in mails]))
+    )
+    assert column(got, "mentions_gmail_or_free_email") == [1, 0, 0]

@@ -1,10 +1,9 @@
 import os
 
 import pytest
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import functions as F
 
-from adsift.operators import labeling
+from adsift.operators import labeling, training
 from adsift.plans import jobs
 from adsift.sources.fixture import job_postings
 from conftest import SMALL
@@ -32,11 +31,30 @@ def test_label_outputs(labelled):
     assert labelled["rule_counts"].count() == 9
 
 
-def test_label_job_makes_keys_and_drops_copies(spark):
+def test_label_job_drops_copies(spark):
     rows = job_postings(spark, SMALL)
     assert jobs.label_job(rows.unionByName(rows)).count() == 200
 
 
+def test_label_job_drops_copies_before_it_makes_keys(spark):
+    rows = job_postings(spark, SMALL).drop("job_id")
+    some = rows.where(F.length("job_title") > 11)
+    found = jobs.label_job(rows.unionByName(some).unionByName(some))
+    ids = [r["job_id"] for r in found.collect()]
+    assert sorted(ids) == list(range(1, rows.distinct().count() + 1))
+
+
+def test_label_job_keeps_text_keys_and_refuses_bad_ones(spark):
+    rows = job_postings(spark, SMALL).withColumn("job_id", F.concat(F.lit("JOB-"), "job_id"))
+    found = jobs.label_job(rows)
+    assert found.where(F.col("job_id").startswith("JOB-")).count() == 200
+    split = training.stratified_split(found.withColumn("label", F.col("fake_label")))
+    assert split.where("split = 'test'").count() == 40
+    for bad in (F.lit(None).cast("string"), F.lit("same")):
+        with pytest.raises(ValueError):
+            jobs.label_job(rows.withColumn("job_id", bad))
+
+
 def test_feature_outputs(spark, built):
     tables, state, out = built
     meta = tables["meta"]
@@ -55,8 +73,9 @@ def test_feature_outputs(spark, built):
 
 def test_loaded_state_scores_new_rows_alike(spark, labelled, built):
     tables, _, out = built
-    rows = jobs.prepare_rows(labeling.use_tuned_label(labelled["labelled"]))
-    again = jobs.apply_features(rows, jobs.FeatureState.load(spark, f"{out}/state"))
+    state = jobs.FeatureState.load(spark, f"{out}/state")
+    assert state.formats["posted_date"][0][1] == "yyyy-MM-dd" and state.text.ngram == 2
+    again = jobs.features_of(labeling.use_tuned_label(labelled["labelled"]), state)
     a, b = tables["meta"], again.drop("tfidf")
     assert a.exceptAll(b.select(a.columns)).count() == 0
 
@@ -85,5 +104,34 @@ def test_training_job(spark, built, tmp_path, options):
         assert all(0 <= r[c] <= 1 for c in ("accuracy", "precision", "recall", "f1", "roc_auc"))
         if name.endswith("_Tuned"):
             assert r["f1"] >= rows[name[:-6]]["f1"] - 1e-9
-    assert LogisticRegressionModel.load(f"{tmp_path}/models/LogisticRegression-0")
     assert os.path.isdir(f"{tmp_path}/importance/RandomForest")
+
+
+@pytest.mark.parametrize("options", [{}, {"svd_dim": 5}])
+def test_reloaded_models_score_new_rows_alike(spark, labelled, built, tmp_path, options):
+    tables, state, out = built
+    parts = jobs.training_parts(tables["features"], **options)
+    models = jobs.fit_models(
+        parts, calibrate=True, trees=3, max_depth=3, rounds=2, max_iter=10, calibration_share=0.5
+    )
+    models.save(spark, str(tmp_path))
+    loaded = jobs.Models.load(spark, str(tmp_path))
+    new = jobs.features_of(
+        labeling.use_tuned_label(labelled["labelled"]).where("job_id % 3 = 0"),
+        jobs.FeatureState.load(spark, f"{out}/state"),
+    )
+    old = tables["features"].where("job_id % 3 = 0")
+    live = {(r["model"], r["job_id"]): r["score"] for r in models.score_features(old).collect()}
+    again = {(r["model"], r["job_id"]): r["score"] for r in loaded.score_features(new).collect()}
+    assert len(live) == 3 * old.count() and live == pytest.approx(again)
+
+
+def test_a_job_leaves_nothing_staged_and_takes_its_options(spark, built, tmp_path, monkeypatch):
+    from adsift.sources import storage
+
+    monkeypatch.setattr(storage, "scratch_dir", lambda spark: str(tmp_path / "scratch"))
+    jobs.training_job(
+        built[0]["features"], str(tmp_path / "out"), test_size=0.5, seed=7, fit_rows=60,
+        calibrate=True, calibration_share=0.9, trees=2, max_depth=2, rounds=1, max_iter=5,
+    )
+    assert not os.listdir(tmp_path / "scratch" / "adsift")

@@ -26,7 +26,7 @@ def test_words_strip_accents(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "job_id long, t string")
     rows = vocabulary.with_words(df, "t", cleaned=False).orderBy("job_id").collect()
     assert [r["words"] for r in rows] == [tokens_of(t) for t in texts]
-    clean = df.withColumn("t", text.clean_text(F.col("t")))
+    clean = text.add_clean_text(df, "t", "c").drop("t").withColumnRenamed("c", "t")
     rows = vocabulary.with_words(clean, "t").orderBy("job_id").collect()
     assert [r["words"] for r in rows] == [tokens_of(r["t"]) for r in rows]
     kept = vocabulary.with_words(df, "t", accents=True).orderBy("job_id").first()
@@ -62,13 +62,16 @@ def documents():
 
 
 @pytest.mark.parametrize(
-    "min_df,limit,ngram,pair_limit",
-    [(3, 5000, 2, 50_000), (3, 12, 2, 50_000), (1, 40, 2, 50_000), (2, 40, 2, 3), (3, 10, 1, 9)],
+    "min_df,limit,ngram,bits",
+    [(3, 5000, 2, 1 << 20), (3, 12, 2, 1 << 20), (1, 40, 2, 64), (2, 40, 2, 128), (3, 10, 1, 64)],
 )
 def test_vocabulary_equals_full_counting(
-    spark, documents, monkeypatch, min_df, limit, ngram, pair_limit
+    spark, documents, monkeypatch, min_df, limit, ngram, bits
 ):
-    monkeypatch.setattr(vocabulary, "PAIR_WORDS_LIMIT", pair_limit)
+    # However full the bitmap of able words is, the result is the same.
+    whole = vocabulary.bitmap_of, vocabulary.bit_of
+    monkeypatch.setattr(vocabulary, "bitmap_of", lambda words: whole[0](words, bits))
+    monkeypatch.setattr(vocabulary, "bit_of", lambda word: whole[1](word, bits))
     df = spark.createDataFrame(list(enumerate(documents)), "job_id long, words array<string>")
     got = vocabulary.fit_vocabulary(df, min_df=min_df, max_features=limit, ngram=ngram)
     rows = [tuple(r) for r in got.orderBy("term_id").collect()]
@@ -111,6 +114,46 @@ def test_tfidf_plan_has_no_shuffle(spark, documents):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_terms_of_each_text(spark, documents):
+    df = spark.createDataFrame(list(enumerate(documents)), "job_id long, words array<string>")
+    got = {(r["job_id"], r["term"]): r["n"] for r in vocabulary.terms_of_documents(df).collect()}
+    wanted = {}
+    for i, words in enumerate(documents):
+        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        wanted |= {(i, t): n for t, n in collections.Counter(terms).items()}
+    assert got == wanted
+
+
+def test_only_odd_texts_go_to_python(spark):
+    df = spark.createDataFrame([(1, "plain"), (2, "½ cup")], "job_id long, t string")
+    plan = vocabulary.with_words(df, "t", cleaned=False)._jdf.queryExecution().executedPlan().toString()
+    plain, odd = plan.split("ArrowEvalPython")
+    assert "Filter" in odd and "RLIKE" in odd
+
+
+def test_svd_parts_do_not_grow_with_the_splits(spark, documents, monkeypatch):
+    seen = []
+    plain = type(spark.range(1)).mapInPandas
+
+    def counted(df, func, schema):
+        seen.append(df.rdd.getNumPartitions())
+        return plain(df, func, schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInPandas", counted)
+    df = spark.createDataFrame(list(enumerate(documents)), "job_id long, words array<string>")
+    vectors = vocabulary.TextModel.fit(df, max_features=10).transform(df).select("job_id", "tfidf")
+    for splits in (3, 60):
+        reduction.fit_svd(vectors.repartition(splits), 10, 3, iterations=1)
+    most = reduction.PARTS_PER_CORE * spark.sparkContext.defaultParallelism
+    assert set(seen) == {3, most} and most < 60
+
+
+def test_components_are_kept(spark, tmp_path):
+    matrix = np.arange(12.0).reshape(4, 3)
+    reduction.save_components(spark, matrix, str(tmp_path / "c"))
+    assert np.array_equal(reduction.load_components(spark, str(tmp_path / "c")), matrix)
+
+
 def test_svd_matches_numpy(spark, documents, monkeypatch):
     df = spark.createDataFrame(list(enumerate(documents)), "job_id long, words array<string>")
     model = vocabulary.TextModel.fit(df, max_features=40)

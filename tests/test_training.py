@@ -33,6 +33,19 @@ def test_split_is_exact_disjoint_complete_and_stable(spark):
     assert "Exchange" not in split._jdf.queryExecution().executedPlan().toString()
 
 
+def test_labels_must_be_binary(spark):
+    for bad in (None, 2):
+        df = spark.createDataFrame([(1, 0), (2, 1), (3, bad)], "job_id long, label int")
+        with pytest.raises(ValueError):
+            training.class_counts(df)
+
+
+def test_fit_rows_are_bounded_exactly(spark):
+    df = labelled(spark)
+    assert training.bounded_rows(df, 130).count() == 130
+    assert training.bounded_rows(df, None) is df and training.bounded_rows(df, 2000) is df
+
+
 def test_weights(spark):
     assert training.balanced_weights({0: 25, 1: 75}) == {0: 2.0, 1: pytest.approx(2 / 3)}
     assert training.positive_scale({0: 30, 1: 10}) == 3.0
