@@ -314,7 +314,7 @@ def calibration_balance(train: DataFrame, **options) -> DataFrame:
             _margin(model, held).agg(
                 F.lit(fold).alias("fold"),
                 F.count(F.lit(1)).alias("n_rows"),
-                F.round(F.avg(p) - F.avg(target), 3).alias("gap"),
+                (F.round(F.avg(p) - F.avg(target), 3) + 0.0).alias("gap"),
             )
         )
     table = parts[0]

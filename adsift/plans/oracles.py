@@ -590,7 +590,8 @@ ORACLES = {
         WORDS, PAIRS, TERMS, VOCABULARY, WEIGHTS,
     ),
     "lr_balance": _chain(
-        f"""SELECT least({FIT_ROWS}, sum(n - quota)) AS n_fit, 1e0 AS means, sum(quota) AS n_test
+        f"""SELECT CAST(least({FIT_ROWS}, sum(n - quota)) AS BIGINT) AS n_fit, 1e0 AS means,
+        CAST(sum(quota) AS BIGINT) AS n_test
         FROM cls JOIN quota USING (label)""",
         *TO_LABELS, LABEL_ROWS, QUOTAS,
     ),
@@ -609,7 +610,8 @@ ORACLES = {
       UNION ALL SELECT 'GradientBoosting', 1e0, true, true""",
     "score_rows": _chain(
         """SELECT model, n AS n_rows, n AS n_ids, positives, n AS in_range FROM (
-          SELECT sum(quota) AS n, sum(quota) FILTER (label = 1) AS positives FROM quota),
+          SELECT CAST(sum(quota) AS BIGINT) AS n,
+            CAST(sum(quota) FILTER (label = 1) AS BIGINT) AS positives FROM quota),
         (VALUES ('LogisticRegression'), ('RandomForest')) v(model)""",
         *TO_LABELS, LABEL_ROWS, QUOTAS,
     ),
