@@ -427,6 +427,13 @@ _GROUP_ROWS = " UNION ALL ".join(
     for g, f in _GROUPS
 )
 
+META_SQL = _chain(
+    f"SELECT job_id, fake_label, {_META_SELECT}, {_CODES}, {_SCALES} FROM m",
+    *LABEL_FEATURES,
+    f"m AS (SELECT * REPLACE (fake_label_tuned AS fake_label),"
+    f" {_INDEX} AS fraud_trigger_index FROM q)",
+)
+
 ORACLES = {
     "input_profile": _chain(_PROFILE, *BASE),
     "description_samples": _chain(
@@ -436,6 +443,13 @@ ORACLES = {
         *BASE,
     ),
     "null_tokens": _chain("SELECT job_id, job_location, company_name, job_type FROM p", *BASE),
+    "scan_csv": _chain(
+        r"""SELECT job_id, job_title, company_name, salary_range,
+        md5(regexp_replace(trim(job_description), '\s+', ' ', 'g')) AS text_md5 FROM p""",
+        *BASE,
+    ),
+    "absent_columns": "SELECT doc_id AS job_id, 'Unknown' AS company_size, '' AS skills_required,"
+    " '' AS job_portal, CAST(NULL AS VARCHAR) AS salary_range FROM documents",
     "surrogate_key": "SELECT count(*) AS n_rows, 1 AS first_id, count(*) AS last_id,"
     " count(*) AS n_ids FROM documents",
     "default_label": "SELECT doc_id AS job_id, 0 AS fake_label FROM documents",
@@ -550,12 +564,8 @@ ORACLES = {
     "category_encode": _chain(f"SELECT job_id, {_CODES} FROM z", *FIELD_STEPS),
     "category_encode_v1": _chain(f"SELECT job_id, {_CODES_V1} FROM z", *FIELD_STEPS),
     "standardize": _chain(f"SELECT job_id, {_SCALES} FROM q", *FEATURES),
-    "meta_features": _chain(
-        f"SELECT job_id, fake_label, {_META_SELECT}, {_CODES}, {_SCALES} FROM m",
-        *LABEL_FEATURES,
-        f"m AS (SELECT * REPLACE (fake_label_tuned AS fake_label),"
-        f" {_INDEX} AS fraud_trigger_index FROM q)",
-    ),
+    "meta_features": META_SQL,
+    "reloaded_features": META_SQL,
     "feature_groups": _chain(
         _GROUP_ROWS, *FEATURES, "m AS (SELECT *, 0 AS fraud_trigger_index FROM q)"
     ),

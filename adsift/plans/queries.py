@@ -13,7 +13,7 @@ from adsift.operators import vocabulary
 from adsift.plans import jobs
 from adsift.sources import postings as source
 from adsift.sources.fixture import job_postings
-from adsift.sources.storage import stage
+from adsift.sources.storage import scratch_path, stage
 
 # Labelled rows that the model queries fit classifiers on; trees, depth, rounds,
 # iterations and rank are those of the jobs.
@@ -44,6 +44,28 @@ def null_tokens(spark, sf):
     return postings(spark, sf).select("job_id", "job_location", "company_name", "job_type")
 
 
+def scan_csv(spark, sf):
+    """Postings written as a quoted export, texts with line breaks included, and scanned."""
+    path = scratch_path(spark, "export")
+    named = {b: a for a, b in fixed.SOURCE_COLUMNS.items()}
+    rows = job_postings(spark, sf)
+    blanks = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    rows.withColumnsRenamed(named).write.csv(path, header=True, escape='"', **blanks)
+    read = source.tolerant_schema(source.scan_postings(spark, path, "csv", multi_line=True))
+    return read.select(
+        F.col("job_id").cast("long").alias("job_id"), "job_title", "company_name", "salary_range",
+        F.md5(F.regexp_replace(F.trim("job_description"), r"\s+", " ")).alias("text_md5"),
+    )
+
+
+def absent_columns(spark, sf):
+    """What columns that the input lacks are taken for."""
+    few = job_postings(spark, sf).select("job_id", "job_title")
+    return source.tolerant_schema(few).select(
+        "job_id", "company_size", "skills_required", "job_portal", "salary_range"
+    )
+
+
 def surrogate_key(spark, sf):
     documents = spark.read.parquet(f"{sf}/documents.parquet")
     keyed = source.surrogate_key(documents.select(F.col("text").alias("job_description")))
@@ -331,6 +353,16 @@ def meta_features(spark, sf):
     return table.select(*[_rounded(c)[0] if c in doubles else c for c in table.columns])
 
 
+def reloaded_features(spark, sf):
+    """Features by a state that was saved and loaded."""
+    tuned = _tuned(spark, sf)
+    path = scratch_path(spark, "state")
+    jobs.feature_job(tuned)[1].save(spark, path)
+    table = jobs.features_of(tuned, jobs.FeatureState.load(spark, path)).drop("tfidf")
+    doubles = {c for c, kind in table.dtypes if kind == "double"}
+    return table.select(*[_rounded(c)[0] if c in doubles else c for c in table.columns])
+
+
 def feature_groups(spark, sf):
     rows = _features(spark, sf, _tuned(spark, sf))
     return fitted.feature_group_counts(fitted.apply_index(rows, 1.0))
@@ -623,6 +655,8 @@ QUERIES = {
     "input_profile": input_profile,
     "description_samples": description_samples,
     "null_tokens": null_tokens,
+    "scan_csv": scan_csv,
+    "absent_columns": absent_columns,
     "surrogate_key": surrogate_key,
     "default_label": default_label,
     "dedup_postings": dedup_postings,
@@ -661,6 +695,7 @@ QUERIES = {
     "category_encode_v1": category_encode_v1,
     "standardize": standardize,
     "meta_features": meta_features,
+    "reloaded_features": reloaded_features,
     "feature_groups": feature_groups,
     "feature_group_select": feature_group_select,
     "tokens_ngrams": tokens_ngrams,
