@@ -37,8 +37,10 @@ from adsift.llm.common import (
 
 #: Words of a shingle and percent of the union that linked sets share.
 WORDS, PERCENT = 5, 80
-#: First prefixes are longer by one in so many n-grams.
-EXTRA = 20
+#: Percent of a set by which the prefixes of the first step are longer than needed.
+FIRST_EXTRA = 5
+#: Bits of an n-gram's hash in the first step; equal ones are told apart in the second.
+_SHORT = 48
 #: Parts of a set that the suffix filter compares.
 SUFFIX_PARTS = 16
 
@@ -109,46 +111,67 @@ def _all_stars(edges: DataFrame) -> bool:
 # --- candidates -----------------------------------------------------------------
 
 
-def _classes(sets: DataFrame) -> DataFrame:
-    """``(c, d1, d2, n, prefix)``: one row for each different set that is not empty.
+def _least(percent: int) -> str:
+    """How many n-grams a set of ``n`` shares with any partner at least."""
+    return f"(({percent} * n + 99) div 100)"
 
-    A class is named by its least id and a digest, since ids may repeat.
+
+def _first_prefix(percent: int) -> tuple[Column, Column]:
+    """Of a set of ``n``: the length of its prefix in the first step, and how many
+    n-grams of it any partner's prefix shares at least; the smallest partner counts."""
+    least = _least(percent)
+    length = f"least(n, n - {least} + ({FIRST_EXTRA} * n) div 100 + 1)"
+    return F.expr(f"int({length})"), F.expr(f"int(({FIRST_EXTRA} * {least}) div 100 + 1)")
+
+
+def _classes(sets: DataFrame, odd: Column) -> tuple[DataFrame, DataFrame]:
+    """The classes ``(d1, d2, id, tag)``, and one row ``(id, tag, n, prefix)`` of each.
+
+    A class is named by its least id, and by a digest where ``odd`` says that rows
+    may share an id.  Only members of classes with several move.
     """
-    least = F.coalesce(F.min("doc_id"), F.lit(NO_ID))
-    return (
-        sets.where(F.col("n") > 0)
-        .groupBy("d1", "d2")
-        .agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), least.alias("id"))
-        .select(F.struct("id", F.col("d1").alias("tag")).alias("c"), "d1", "d2", "n", "prefix")
-    )
+    keyed = sets.where(F.col("n") > 0).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    found = keyed.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
+    found = stage(found.withColumn("tag", _tag(odd)), "join-classes")
+    hit = may_contain(found.where(F.col("members") > 1).select("d1"), F.col("d1"))
+    kept = ["id", "tag", "n", "prefix"]
+    several = keyed.where(hit).join(found.select("d1", "d2", "id", "tag"), ["d1", "d2", "id"])
+    single = keyed.where(~hit).withColumn("tag", _tag(odd))
+    rows = single.select(*kept).unionAll(several.dropDuplicates(["d1", "d2"]).select(*kept))
+    return found, rows
+
+
+def _tag(odd: Column) -> Column:
+    return F.when(odd, F.col("d1")).otherwise(F.lit(0).cast("long"))
 
 
 def _survivors(classes: DataFrame, percent: int) -> DataFrame:
-    """The classes that share enough of their hash-order prefixes with others."""
-    need = F.expr(f"(({percent} * n + 99) div 100) div {EXTRA} + 1")
-    rows = classes.select("c", need.cast("int").alias("need"), F.explode("prefix").alias("s"))
+    """``(id, tag)`` of the classes that share enough of their hash-order prefixes."""
+    need = _first_prefix(percent)[1]
+    rows = classes.select("id", "tag", need.alias("need"), F.explode("prefix").alias("s"))
     common = rows.groupBy("s").count().where(F.col("count") > 1).select("s")
     return (
         rows.join(common, "s", "left_semi")
-        .groupBy("c")
+        .groupBy("id", "tag")
         .agg(F.count(F.lit(1)).alias("shared"), F.first("need").alias("need"))
         .where(F.col("shared") >= F.col("need"))
-        .select("c")
+        .select("id", "tag")
     )
 
 
-def _whole_sets(docs: DataFrame, kept: DataFrame, words: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, kept: DataFrame, odd: Column, words: int) -> DataFrame:
     """``(c, n, set)`` of the classes that stay, from the text of one member each."""
     own = own_columns(docs, doc_id="long", text="string")
-    ident = F.coalesce(own["doc_id"], F.lit(NO_ID))
-    able = docs.select(ident.alias("id"), own["text"].alias("text"))
-    able = able.where(may_contain(kept.select("c.id"), F.col("id")))
-    texts = able.join(kept.select(F.col("c.id").alias("id")).distinct(), "id", "left_semi")
-    sets = _digests(
-        shingle_sets(texts.select(F.col("id").alias("doc_id"), "text"), words)
+    able = docs.select(F.coalesce(own["doc_id"], F.lit(NO_ID)).alias("id"), own["text"].alias("text"))
+    able = able.where(may_contain(kept.select("id"), F.col("id")))
+    texts = able.join(kept.select("id").distinct(), "id", "left_semi")
+    sets = _digests(shingle_sets(texts.select(F.col("id").alias("doc_id"), "text"), words))
+    sets = sets.withColumnRenamed("doc_id", "id").withColumn("tag", _tag(odd))
+    named = stage(
+        sets.select("id", "tag", "n", "set").join(kept, ["id", "tag"], "left_semi"), "join-whole"
     )
-    named = sets.select(F.struct(F.col("doc_id").alias("id"), F.col("d1").alias("tag")).alias("c"), "n", "set")
-    return named.join(kept, "c", "left_semi").dropDuplicates(["c"])
+    once = named.where(~odd).unionAll(named.where(odd).dropDuplicates(["id", "tag"]))
+    return once.select(F.struct("id", "tag").alias("c"), "n", "set")
 
 
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
@@ -158,38 +181,44 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     ``pos`` is the n-gram's place in the class's order, the n-grams of no other
     class being in front; ``parts`` are the numbers of the common ones by hash.
     """
-    rows = sets.select("c", "n", F.explode("set").alias("s"))
+    rows = sets.select("c.id", "c.tag", "n", F.explode("set").alias("s"))
     common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
+    part = F.pmod("s", F.lit(SUFFIX_PARTS))
+    parts = [F.count_if(part == b).cast("int").alias(f"p{b}") for b in range(SUFFIX_PARTS)]
+    least = F.expr(f"int({_least(percent)})")
     shared = (
         rows.join(common, "s")
-        .groupBy("c")
-        .agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("k", "s"))).alias("order"))
+        .groupBy("id", "tag", "n")
+        .agg(
+            F.count(F.lit(1)).cast("int").alias("m"),
+            F.collect_list(F.struct("k", "s")).alias("order"),
+            *parts,
+        )
+        .where(F.col("m") >= least)
     )
-    least = F.expr(f"int(({percent} * n + 99) div 100)")
-    able = shared.withColumns({"m": F.size("order"), "least": least}).where(F.col("m") >= F.col("least"))
-    part = F.transform("order", lambda x: F.pmod(x["s"], F.lit(SUFFIX_PARTS)))
-    able = able.withColumn("part", part)
-    parts = [F.size(F.filter("part", _equals(b))) for b in range(SUFFIX_PARTS)]
-    prefix = F.slice("order", F.lit(1), F.col("m") - F.col("least") + 1)
-    return able.select("c", "n", "m", F.array(*parts).alias("parts"), F.posexplode(prefix).alias("i", "x")).select(
+    prefix = F.slice(F.sort_array("order"), F.lit(1), F.col("m") - least + 1)
+    # Outer: a filter on the array would sort it once more.
+    return shared.select(
+        F.struct("id", "tag").alias("c"), "n", "m",
+        F.array(*[f"p{b}" for b in range(SUFFIX_PARTS)]).alias("parts"),
+        F.posexplode_outer(prefix).alias("i", "x"),
+    ).select(
         F.col("x.s").alias("s"), "c", "n", (F.col("n") - F.col("m") + F.col("i")).alias("pos"), "parts"
     )
 
 
-def _equals(value: int):
-    return lambda x: x == value
-
-
-def _may_link(a: str, b: str, percent: int) -> Column:
-    """Length, positional and suffix filter for two entries of a bucket."""
+def _may_link(a: str, b: str, percent: int, first: bool) -> Column:
+    """Length and suffix filter for two entries of a bucket, and the positional one
+    where the bucket is to be the first n-gram that the two have in common."""
     x, y = (lambda f, t=t: F.col(f"{t}.{f}") for t in (a, b))
     length = (100 * F.least(x("n"), y("n"))) >= percent * F.greatest(x("n"), y("n"))
     overlap = F.ceil(F.lit(percent) * (x("n") + y("n")) / F.lit(100 + percent))
-    after = 1 + F.least(x("n") - x("pos") - 1, y("n") - y("pos") - 1)
     bound = F.aggregate(
         F.zip_with(x("parts"), y("parts"), lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v
     )
-    return length & (after >= overlap) & (bound >= overlap)
+    after = 1 + F.least(x("n") - x("pos") - 1, y("n") - y("pos") - 1)
+    placed = after >= overlap if first else F.lit(True)
+    return length & placed & (bound >= overlap)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -224,7 +253,7 @@ def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def with_leaders(rows: DataFrame, leader: Column) -> DataFrame:
         lead = rows.groupBy("s").agg(leader.alias("x"))
         pairs = rows.select("s", entry.alias("y"), "label").join(lead, "s")
-        return pairs.where((F.col("label") != F.col("x.label")) & _may_link("x", "y", percent)).select(
+        return pairs.where((F.col("label") != F.col("x.label")) & _may_link("x", "y", percent, False)).select(
             F.col("x.c").alias("a"), F.col("y.c").alias("b")
         )
 
@@ -246,7 +275,7 @@ def _links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("own") != F.col("main")
     )
     third = outside.join(entries, "s").where(
-        (F.col("own") != F.col("label")) & _may_link("x", "y", percent)
+        (F.col("own") != F.col("label")) & _may_link("x", "y", percent, True)
     ).select(F.col("x.c").alias("a"), F.col("y.c").alias("b"))
     new = _ordered(third).join(done, ["a", "b"], "left_anti")
     done = done.unionAll(stage(_verified(new, sets, percent), "join-done"))
@@ -258,18 +287,21 @@ def _prepared(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     own = own_columns(docs, doc_id="long", text="string")
     rows = docs.select(own["doc_id"].alias("doc_id"), own["text"].alias("text"))
     sets = _digests(shingle_sets(rows, words))
-    length = F.expr(f"int(n - ({percent} * n + 99) div 100 + n div {EXTRA} + 1)")
-    sets = sets.withColumn("prefix", F.slice("set", F.lit(1), length))
-    sets = stage(sets.drop("set"), "join-sets")
-    kept = stage(_survivors(_classes(sets), percent), "join-kept")
-    whole = stage(_whole_sets(docs, kept, words), "join-whole")
+    short = F.transform(
+        F.slice("set", F.lit(1), _first_prefix(percent)[0]),
+        lambda x: F.call_function("shiftrightunsigned", x, F.lit(64 - _SHORT)),
+    )
+    sets = stage(sets.withColumn("prefix", short).drop("set"), "join-sets")
+    ident = F.coalesce("doc_id", F.lit(NO_ID))
+    repeated = sets.groupBy(ident.alias("id")).count().where(F.col("count") > 1).select("id")
+    odd = may_contain(repeated, F.col("id"))
+    classes, rows = _classes(sets, odd)
+    kept = stage(_survivors(rows, percent), "join-kept")
+    whole = _whole_sets(docs, kept, odd, words)
     edges = _links(_rare_first(whole, percent), whole, percent)
     labels = stage(components(edges).select(F.col("v").alias("c"), "label"), "join-labels")
-    ident = F.coalesce(F.min("doc_id"), F.lit(NO_ID))
     named = (
-        sets.where(F.col("n") > 0)
-        .groupBy("d1", "d2")
-        .agg(F.struct(ident.alias("id"), F.first("d1").alias("tag")).alias("c"))
+        classes.select("d1", "d2", F.struct("id", "tag").alias("c"))
         .join(labels, "c", "left")
         .select("d1", "d2", F.coalesce("label", "c").alias("label"))
     )
