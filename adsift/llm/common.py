@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from adsift.operators.bitmap import may_contain as may_contain
 from adsift.sources.storage import scratch_path as scratch_path
 from adsift.sources.storage import stage as stage
 
@@ -79,44 +80,10 @@ def private(docs: DataFrame, name: str) -> str:
     return name
 
 
-#: Bits of a bitmap of ids: 16,384 longs, 128 KB, whatever the number of ids.
-BITMAP_BITS = 1 << 20
 #: Stands for a null id among ids, behind all others.
 NO_ID = (1 << 63) - 1
 
 
-def constant_longs(values: list[int]) -> Column:
-    """An array as one constant, which the optimizer folds; thousands of literals
-    would not do."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
-def collected_bitmap(bit_rows: DataFrame, bits: int) -> list[int]:
-    """The bits of column ``bit`` as longs; ``bits`` / 64 rows come to the driver."""
-    cells = bit_rows.groupBy(F.expr("int(bit div 64)").alias("cell")).agg(
-        F.bit_or(F.expr("shiftleft(1L, int(bit % 64))"))
-    )
-    dense = [0] * (bits // 64)
-    for cell, value in cells.collect():
-        dense[cell] = value
-    return dense
-
-
-def bit_is_set(bitmap: Column, bit: Column) -> Column:
-    cell = F.get(bitmap, F.call_function("shiftright", bit, F.lit(6)).cast("int"))
-    return F.getbit(cell, bit.bitwiseAND(F.lit(63)).cast("int")) == 1
-
-
-def may_contain(ids: DataFrame, asked: Column, bits: int = BITMAP_BITS) -> Column:
-    """Whether the first column of ``ids`` may have a value: never wrongly false.
-
-    A join has to follow; this keeps most other rows from moving for it.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits).cast("long"))
-    known = ids.select(place(F.col(ids.columns[0])).alias("bit"))
-    return bit_is_set(constant_longs(collected_bitmap(known, bits)), place(asked))
-
-
 def text_digest(text: Column) -> Column:
     return F.coalesce(F.xxhash64(text), F.lit(0))
 

@@ -20,9 +20,6 @@ from pyspark.sql import functions as F
 from adsift.llm.common import (
     NO_ID,
     ascii_lower,
-    bit_is_set,
-    collected_bitmap,
-    constant_longs,
     joined_runs,
     own_columns,
     split_words,
@@ -30,6 +27,7 @@ from adsift.llm.common import (
     text_digest,
     without_rows,
 )
+from adsift.operators.bitmap import bit_is_set, collected_bitmap, constant_longs
 
 #: What separates the words: all of ASCII but digits and small letters.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
