@@ -126,7 +126,7 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 
 _RATES = ("symbol_rate", "line_rate", "repeat_rate", "long_rate")
-_LEAST = (0.05, 0.3, 0.2, 12.0)
+_LEAST = (0.05, 0.4, 0.35, 12.0)
 
 
 def _quartile(rate: str, share: float) -> str:

@@ -28,7 +28,7 @@ LEAST_ROWS = 100
 #: Fence: upper quartile + SPREAD x (upper quartile - median).
 SPREAD = 6.0
 #: A fence is never tighter than this, so groups without any spread keep normal texts.
-LEAST_FENCE = {"symbol_rate": 0.05, "line_rate": 0.3, "repeat_rate": 0.2, "long_rate": 12.0}
+LEAST_FENCE = {"symbol_rate": 0.05, "line_rate": 0.4, "repeat_rate": 0.35, "long_rate": 12.0}
 RATES = tuple(LEAST_FENCE)
 SYMBOLS = r"[^#*$%&|<>]+"
 
