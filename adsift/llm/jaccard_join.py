@@ -167,19 +167,30 @@ def _whole_sets(docs: DataFrame, kept: DataFrame, odd: Column, words: int) -> Da
     texts = able.join(kept.select("id").distinct(), "id", "left_semi")
     sets = _digests(shingle_sets(texts.select(F.col("id").alias("doc_id"), "text"), words))
     sets = sets.withColumnRenamed("doc_id", "id").withColumn("tag", _tag(odd))
-    named = stage(
-        sets.select("id", "tag", "n", "set").join(kept, ["id", "tag"], "left_semi"), "join-whole"
-    )
-    once = named.where(~odd).unionAll(named.where(odd).dropDuplicates(["id", "tag"]))
+    sets = sets.select("id", "tag", "n", "set")
+    # An id of one row names its class; only others need the digest and may repeat.
+    several = sets.where(odd).join(kept, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
+    once = sets.where(~odd).unionAll(several)
     return once.select(F.struct("id", "tag").alias("c"), "n", "set")
 
 
+def _place(count: Column, hashed: Column) -> Column:
+    """Rare n-grams first, in one number: 20 bits of the count, 43 of the hash.
+
+    N-grams that fall together are one entry of the join, and told apart when
+    pairs are verified.
+    """
+    high = F.call_function("shiftleft", F.least(count, F.lit((1 << 20) - 1)), F.lit(43))
+    return high.bitwiseOR(F.call_function("shiftrightunsigned", hashed, F.lit(21)))
+
+
 def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
     """``(s, c, n, pos, parts)``: the rare-first prefixes of all classes that can
     have a partner.
 
-    ``pos`` is the n-gram's place in the class's order, the n-grams of no other
-    class being in front; ``parts`` are the numbers of the common ones by hash.
+    An n-gram is named by its place in the order, its count followed by its hash;
+    ``pos`` is its place among the class's own, those of no other class being in
+    front; ``parts`` are the numbers of the common ones by hash.
     """
     rows = sets.select("c.id", "c.tag", "n", F.explode("set").alias("s"))
     common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > 1)
@@ -191,7 +202,7 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
         .groupBy("id", "tag", "n")
         .agg(
             F.count(F.lit(1)).cast("int").alias("m"),
-            F.collect_list(F.struct("k", "s")).alias("order"),
+            F.collect_list(_place(F.col("k"), F.col("s"))).alias("order"),
             *parts,
         )
         .where(F.col("m") >= least)
@@ -203,7 +214,7 @@ def _rare_first(sets: DataFrame, percent: int) -> DataFrame:
         F.array(*[f"p{b}" for b in range(SUFFIX_PARTS)]).alias("parts"),
         F.posexplode_outer(prefix).alias("i", "x"),
     ).select(
-        F.col("x.s").alias("s"), "c", "n", (F.col("n") - F.col("m") + F.col("i")).alias("pos"), "parts"
+        F.col("x").alias("s"), "c", "n", (F.col("n") - F.col("m") + F.col("i")).alias("pos"), "parts"
     )
 
 
@@ -297,7 +308,7 @@ def _prepared(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     odd = may_contain(repeated, F.col("id"))
     classes, rows = _classes(sets, odd)
     kept = stage(_survivors(rows, percent), "join-kept")
-    whole = _whole_sets(docs, kept, odd, words)
+    whole = stage(_whole_sets(docs, kept, odd, words), "join-whole")
     edges = _links(_rare_first(whole, percent), whole, percent)
     labels = stage(components(edges).select(F.col("v").alias("c"), "label"), "join-labels")
     named = (
