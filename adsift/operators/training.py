@@ -299,11 +299,13 @@ def fit_calibrated(
     return fitted
 
 
-def calibration_balance(train: DataFrame, **options) -> DataFrame:
+def calibration_balance(
+    train: DataFrame, fraction: float = fixed.CALIBRATION_FRACTION, **logistic
+) -> DataFrame:
     """``(fold, n_rows, gap)``: the mean calibrated score of each fold's held-out rows
     less the mean of the targets that its sigmoid was fitted to."""
-    fitted = fit_calibrated(train, **options)
-    sample = with_folds(calibration_sample(train), len(fitted))
+    fitted = fit_calibrated(train, fraction, **logistic)
+    sample = with_folds(calibration_sample(train, fraction), len(fitted))
     parts = []
     for fold, (model, (slope, offset)) in enumerate(fitted):
         held = sample.where(F.col("fold") == fold)

@@ -575,9 +575,9 @@ def score_rows(spark, sf):
     """Each model scores each test row once, with a probability."""
     parts = _parts(spark, sf)
     rows = _fit_rows(parts)
-    scores = training.score_calibrated(
-        training.fit_calibrated(rows), parts.test, "LogisticRegression"
-    ).unionByName(training.score(training.fit_forest(rows), parts.test, "RandomForest"))
+    logistic = training.score(training.fit_logistic(rows), parts.test, "LogisticRegression")
+    forest = training.score(training.fit_forest(rows), parts.test, "RandomForest")
+    scores = logistic.unionByName(forest)
     return scores.groupBy("model").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("job_id").alias("n_ids"),

@@ -26,7 +26,12 @@ def test_entry(spark):
     assert len(rows) == 9 and rows[0]["count"] >= rows[-1]["count"]
 
 
-@pytest.mark.parametrize("name", sorted(spec.oracle_sql()))
+# Full-size fits take minutes each; test_training covers them in small, and
+# tools/check_oracles.py runs them as they are.
+FULL_SIZE = {"importance_sums", "calibration_balance", "score_rows"}
+
+
+@pytest.mark.parametrize("name", sorted(set(spec.oracle_sql()) - FULL_SIZE))
 def test_query(spark, db, name):
     ours = spec.queries()[name](spark, SMALL).toPandas()
     assert not differences(ours, db.sql(spec.oracle_sql()[name]).df())

@@ -112,6 +112,18 @@ def test_calibrated_probability_is_the_mean_of_the_folds(spark, points):
     assert mean == pytest.approx(0.75, abs=0.03)
 
 
+def test_folds_are_calibrated_to_their_targets(spark, points):
+    rows = training.calibration_balance(points, fraction=1.0, max_iter=50).collect()
+    assert [r["fold"] for r in rows] == [0, 1, 2]
+    assert all(abs(r["gap"]) < 0.01 for r in rows)
+
+
+def test_balanced_classes_add_up_to_one(spark, points):
+    scored = training.score(training.fit_logistic(points, max_iter=200, tol=1e-9), points, "lr")
+    means = {r["label"]: r["m"] for r in scored.groupBy("label").agg(F.avg("score").alias("m")).collect()}
+    assert means[0.0] + means[1.0] == pytest.approx(1, abs=1e-3)
+
+
 def test_assemble_keeps_names_in_order(spark):
     rows = [(1, 1, 2.0, 3, "x", Vectors.sparse(2, [1], [0.5]))]
     df = spark.createDataFrame(rows, ["job_id", "fake_label", "b", "a", "note", "tfidf"])
