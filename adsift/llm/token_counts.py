@@ -56,19 +56,15 @@ class Pieces:
             raise ValueError("a model with a leading blank, all blanks kept and bytes is needed")
 
     @functools.cached_property
-    def trie(self) -> dict:
-        """Nested dicts by character; the key ``""`` holds the piece that ends there.
+    def trie(self) -> dict[str, tuple[str | None, bool]]:
+        """The nodes of the trie by the text that leads to them: the piece that ends
+        there, and whether longer ones go on.
 
         Characters that only occur inside pieces are pieces for this purpose.
         """
-        root: dict = {}
-        for piece in self.rank:
-            node = root
-            for c in piece:
-                node = node.setdefault(c, {})
-                root.setdefault(c, {}).setdefault("", c)
-            node[""] = piece
-        return root
+        inner = {piece[:i] for piece in self.rank for i in range(1, len(piece))}
+        ends = {*self.rank, *(c for piece in self.rank for c in piece)}
+        return {text: (text if text in ends else None, text in inner) for text in inner | ends}
 
     def cost(self, piece: str) -> int:
         """Tokens of a piece; characters without a piece fall back to bytes."""
@@ -118,26 +114,13 @@ class Pieces:
             else:
                 j += 1
 
-    def node(self, text: str) -> dict | None:
-        found = self.trie
-        for c in text:
-            found = found.get(c)
-            if found is None:
-                return None
-        return found
-
     @functools.cache  # noqa: B019
     def may_join(self, x: str, text: str) -> bool:
         """Whether a symbol could join with the beginning of a piece that starts
         with the text."""
-        found = self.node(x)
-        for c in text:
-            found = found and found.get(c)
-            if not found:
-                return False
-            if found.get("") in self.rank:
-                return True
-        return True
+        if x + text in self.trie:
+            return True
+        return any(x + text[:i] in self.rank for i in range(1, len(text)))
 
     @functools.cache  # noqa: B019
     def relevant(self, right: tuple, text: str) -> tuple | None:
@@ -188,15 +171,15 @@ class Transducer:
             alive, last, change = [], None, 0
             for text, edge, since in state[""]:
                 text += c
-                node = pieces.node(text)
+                node = pieces.trie.get(text)
                 if node is None:
                     continue
                 edge = edge and pieces.relevant(edge, text)
-                piece = node.get("")
+                piece, goes_on = node
                 if piece and last is None and pieces.edges(piece)[2]:
                     if edge is None or pieces.stay_apart(edge, piece):
                         last, change = piece, pieces.cost(piece) - since
-                if len(node) > ("" in node):
+                if goes_on:
                     alive.append((text, edge, since))
             places = [(text, edge, since + change) for text, edge, since in alive]
             step = self.state((*places, ("", pieces.edges(last)[1], 0))), change
