@@ -254,7 +254,10 @@ def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     text moves.
     """
     _, model = fitted_model(docs, labels, **options)
-    text, meta = private(docs, "_text_view"), private(docs, "_meta_view")
+    text, meta, score = (private(docs, n) for n in ("_text_view", "_meta_view", "_quality"))
     marked = meta_view(text_view(docs, text), meta)
     quality = model.scores(F.col(text), F.col(meta))[2]
-    return marked.where(quality >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # A generated column: the filter stays above it, while one on the score itself
+    # would be pushed through all steps and compute each as often as it is read.
+    scored = marked.withColumn(score, F.explode_outer(F.array(quality)))
+    return scored.where(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
