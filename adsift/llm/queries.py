@@ -19,6 +19,9 @@ from adsift.llm import (
 )
 from adsift.llm.common import read_table
 
+#: Words of the language model's longest n-grams.
+LM_ORDER = 3
+
 URL_RULES = [
     ("net", "/", "block"),
     ("example.net", "/en/", "allow"),
@@ -77,7 +80,7 @@ def op5_token_counts(
 
 def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return kneser_ney.score_documents(docs, _id_hash() % 10 == 0)
+    return kneser_ney.score_documents(docs, _id_hash() % 10 == 0, order=LM_ORDER)
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
