@@ -8,8 +8,9 @@ at the histogram's depth are counted by their rows' full hashes, which only such
 rows reach.  The directory then names, for each value of the leading bits, the
 bucket that it points to; many entries may point to one.
 
-Rows that are equal in every column share all hash bits, so no bit splits them;
-they are counted, and their copies dealt to overflow shards in order.
+Rows with equal id and text share all hash bits, so no bit splits them; those that
+are equal in every column are counted, and the copies of all dealt to overflow
+shards, one such group of rows after the other.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from adsift.llm.common import own_columns, private, stage
+from adsift.operators.ordered import running_totals
 
 LIMIT = 64 << 20
 #: Bits of a row's hash, so that it stays a positive number.
@@ -103,13 +105,16 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, shard: str = "shard") ->
     """The rows of ``docs`` with the shard of each.
 
     No shard holds more than ``limit`` bytes of text, unless a single document
-    does; that one is alone.  Null texts have 0 bytes.  Equal rows that together
-    exceed the limit go to shards ``...-0``, ``...-1`` and so on.
+    does; that one is alone.  Null texts have 0 bytes.  Rows of equal id and text,
+    whatever their other columns, that together exceed the limit go to shards
+    ``...-0``, ``...-1`` and so on.
     """
     names = docs.columns
-    h, b, cell, depth, deeper, most, copies, page, copy = (
+    h, b, cell, depth, deeper, most, copies, page, copy, group, upto = (
         private(docs, n)
-        for n in ("_hash", "_bytes", "_cell", "_depth", "_deeper", "_most", "_copies", "_page", "_copy")
+        for n in (
+            "_hash", "_bytes", "_cell", "_depth", "_deeper", "_most", "_copies", "_page", "_copy", "_group", "_upto"
+        )
     )
     rows = stage(docs.select(row_hash(docs).alias("hash"), row_bytes(docs).alias("bytes")), "shard-rows")
     bits, entries, deep = directory(rows, limit)
@@ -125,23 +130,34 @@ def assign_shards(docs: DataFrame, limit: int = LIMIT, shard: str = "shard") ->
     out = shallow.select(*kept, _bucket(F.col(h), F.col(depth)).alias(shard)).unionAll(
         split.select(*kept, _bucket(F.col(h), F.col(deeper)).alias(shard))
     )
+    if deep.where(F.col("depth").isNull()).isEmpty():
+        return out
     # Equal rows fold to one with its count before they move, then come apart
-    # again page by page.
-    per_page = F.greatest(F.floor(F.lit(limit) / F.greatest(F.col(most), F.lit(1))), F.lit(1))
-    equal = (
+    # again page by page, behind the copies of the groups before theirs.
+    equal = stage(
         below.where(F.col(deeper).isNull())
         .groupBy(*kept, h, most)
         .agg(F.count(F.lit(1)).alias(copies))
-        .withColumn(page, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(copies) - 1) / per_page))))
-        .withColumn(
-            copy,
-            F.explode(
-                F.sequence(
-                    F.lit(1).cast("long"),
-                    F.least(per_page, F.col(copies) - F.col(page) * per_page),
-                )
-            ),
-        )
+        .withColumn(group, F.monotonically_increasing_id()),
+        "shard-equal",
+    )
+    place = equal.select(
+        F.col(h).alias("hash"), F.xxhash64(*kept).alias("digest"), F.col(group).alias("group"), F.col(copies).alias("n")
+    )
+    place = running_totals(place, [F.col("digest"), F.col("group")], {"upto": "n"}, by=("hash",))
+    equal = equal.join(place.select(F.col("group").alias(group), F.col("upto").alias(upto)), group)
+    per_page = F.greatest(F.floor(F.lit(limit) / F.greatest(F.col(most), F.lit(1))), F.lit(1))
+    before = F.col(upto) - F.col(copies)
+    equal = equal.withColumn(
+        page, F.explode(F.sequence(F.floor(before / per_page), F.floor((F.col(upto) - 1) / per_page)))
+    ).withColumn(
+        copy,
+        F.explode(
+            F.sequence(
+                F.greatest(F.col(page) * per_page, before) + 1,
+                F.least((F.col(page) + 1) * per_page, F.col(upto)),
+            )
+        ),
     )
     named = F.concat(_bucket(F.col(h), F.lit(HASH_BITS)), F.lit("-"), F.col(page).cast("string"))
     return out.unionAll(equal.select(*kept, named.alias(shard)))

@@ -60,3 +60,15 @@ def test_shards_are_written_whole(spark, tmp_path):
     sharding.write_shards(sharding.assign_shards(docs, 1000), str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(str((r["doc_id"], r["text"])) for r in back.collect()) == sorted(str(r) for r in ROWS)
+
+
+def test_rows_that_differ_in_other_columns_only_share_the_limit(spark):
+    rows = [(7, "same row " * 5, k % 5, None if k % 3 else "c") for k in range(90)] + [(8, "other", 1, "c")] * 3
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    ours = sharding.assign_shards(docs, 150).collect()
+    assert sorted((r["doc_id"], r["text"], r["shard"]) for r in ours) == brute([r[:2] for r in rows], 150)
+    assert Counter(tuple(r)[:4] for r in ours) == Counter(rows)
+    sizes = Counter()
+    for r in ours:
+        sizes[r["shard"]] += len(r["text"])
+    assert max(sizes.values()) <= 150
