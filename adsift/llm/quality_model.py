@@ -170,9 +170,12 @@ def quality_labels(labels: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg((good >= 0.5).cast("int").alias("label"))
 
 
-def _drawn(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """About ``rows`` rows by a hash of the key; all if there are no more."""
-    count = df.count()
+def _drawn(df: DataFrame, rows: int, key: str = "doc_id", count: int | None = None) -> DataFrame:
+    """About ``rows`` rows by a hash of the key; all if there are no more.
+
+    With ``count``, about ``rows`` of so many rows that are wanted among all.
+    """
+    count = df.count() if count is None else count
     if count <= rows:
         return df
     steps = 1 << 30
@@ -191,12 +194,11 @@ def fit(
     """Co-train on a staged table ``(doc_id, text_view, meta_view)`` and the labels."""
     known = _drawn(quality_labels(labels), labelled_rows)
     sample = stage(views.join(known, "doc_id"), "quality-labelled")
-    pool = stage(
-        _drawn(views.select("doc_id", TEXT, META), pool_rows).join(
-            quality_labels(labels), "doc_id", "left_anti"
-        ),
-        "quality-pool",
-    )
+    # The draw decides row by row, so only ids are joined to count the unlabelled.
+    voted = quality_labels(labels)
+    unlabelled = views.select("doc_id").join(voted, "doc_id", "left_anti").count()
+    drawn = _drawn(views.select("doc_id", TEXT, META), pool_rows, count=unlabelled)
+    pool = stage(drawn.join(voted, "doc_id", "left_anti"), "quality-pool")
     part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(SEED + 1)), F.lit(CALIBRATION))
     held = sample.where(part == 0)
     learn = sample.where(part != 0).select(TEXT, META, "label")

@@ -83,3 +83,22 @@ def test_the_sample_is_bounded(spark):
     rows = spark.range(5000).withColumnRenamed("id", "doc_id")
     assert 400 < quality_model._drawn(rows, 500).count() < 600
     assert quality_model._drawn(rows, 5000).count() == 5000
+
+
+def test_the_pool_is_drawn_from_unlabelled_rows(spark, monkeypatch):
+    class Staged(Exception):
+        pass
+
+    def watched(df, name):
+        if name == "quality-pool":
+            raise Staged([r["doc_id"] for r in df.collect()])
+        return df
+
+    monkeypatch.setattr(quality_model, "stage", watched)
+    view = F.array(F.lit(1.0)).alias
+    views = spark.range(5000).select(F.col("id").alias("doc_id"), view(quality_model.TEXT), view(quality_model.META))
+    labels = spark.range(3500).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    with pytest.raises(Staged) as found:
+        quality_model.fit(views, labels, pool_rows=500)
+    ids = found.value.args[0]
+    assert 400 < len(ids) < 600 and min(ids) >= 3500
