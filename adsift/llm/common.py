@@ -109,3 +109,32 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
         .unionAll(joined.where(F.col(stays).isNull()).select(*kept))
         .unionAll(once.select(*kept))
     )
+
+
+#: A key that holds more than one row in so many of a table is hot.
+HOT_SHARE = 1000
+
+
+def hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """``(key, salts)`` of the hot keys of a staged table: ``HOT_SHARE`` rows at most."""
+    share = max(1, df.count() // HOT_SHARE)
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > share)
+    return counts.select(key, F.ceil(F.col("_n") / share).cast("int").alias("_salts"))
+
+
+def hot_join(left: DataFrame, right: DataFrame, key: str, place: str, how: str = "left") -> DataFrame:
+    """Join of two staged tables, ``right`` unique by ``key``, whatever share of ``left``
+    a key holds.
+
+    Rows of a hot key are dealt by the hash of column ``place`` to salted copies of the key's
+    row, about as many as it has thousandths of the table.  The list of hot keys is
+    bounded by their definition, so it is broadcast.
+    """
+    hot = stage(hot_keys(left, key), "hot-keys")
+    salt = F.pmod(F.xxhash64(place), F.col("_salts")).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn(
+        "_salt", F.coalesce(salt, F.lit(0))
+    )
+    copies = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    copied = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(copies))
+    return dealt.drop("_salts").join(copied.drop("_salts"), [key, "_salt"], how).drop("_salt")

@@ -204,6 +204,138 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id
 FROM d LEFT JOIN n USING (r) LEFT JOIN least_ USING (r)
 """
 
+def _crc32(value: str) -> str:
+    """crc32 of a string by the table ``t`` of a joined row."""
+    octets = (
+        f"list_transform(range(octet_length(encode({value}))),"
+        f" lambda i: CAST('0x' || substr(hex(encode({value})), 2 * i + 1, 2) AS BIGINT))"
+    )
+    return (
+        f"xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}),"
+        " lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])))"
+    )
+
+
+_CRC_TABLE = """crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(
+    list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+    lambda c, x: xor(c >> 1, 3988292384 * (c & 1)))) AS t)"""
+
+OP11 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS key,
+         unnest(regexp_extract_all({_LOWER.format('text')}, '[a-zÀ-ÿ]+')) AS run
+  FROM documents),
+hashed AS (SELECT run, {_crc32("key || ':' || run")} AS h FROM runs CROSS JOIN crc),
+kept AS (
+  SELECT CASE WHEN h % 31 = 0
+              THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+              ELSE run END AS word
+  FROM hashed),
+words AS (
+  SELECT word, count(*) AS n FROM kept WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+places AS (SELECT word, n, unnest(range(length(word))) AS k FROM words),
+gaps AS (SELECT word, n, k, substr(word, 1, k) || substr(word, k + 2) AS rest FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n
+  FROM gaps a JOIN gaps b ON a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT w.word, g.word, g.n FROM words w JOIN gaps g ON w.word = g.rest
+  UNION SELECT g.word, w.word, w.n FROM words w JOIN gaps g ON w.word = g.rest),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other,
+         max(other_n) AS other_n
+  FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+         CASE WHEN other_n >= 10 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 10 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+way AS (
+  SELECT word, word AS at, form AS next FROM forms
+  UNION ALL
+  SELECT way.word, forms.word, forms.form FROM way JOIN forms ON forms.word = way.next)
+SELECT word, forms.form, way.at AS root, n, n_near, form_n
+FROM forms JOIN way USING (word) WHERE way.next IS NULL
+"""
+
+
+def _leaf(text: str) -> str:
+    def part(value: str) -> str:
+        value = f"CAST({value} AS VARCHAR)"
+        return f"coalesce(octet_length(encode({value})) || ':' || {value}, '-')"
+
+    return "sha256(" + " || ".join(part(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+OP12 = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (
+  SELECT doc_id, source, {_leaf('text')} AS leaf,
+         CASE WHEN doc_id IS NOT NULL AND {_crc32("CAST(doc_id AS VARCHAR)")} % 2 = 0
+              THEN {_leaf("replace(text, chr(10), '')")} ELSE {_leaf('text')} END AS now
+  FROM documents CROSS JOIN crc),
+s AS (
+  SELECT source, count(*) AS m, row_number() OVER (ORDER BY source IS NOT NULL, source) - 1 AS place
+  FROM d GROUP BY source),
+leaves AS (
+  SELECT doc_id, leaf, now, place AS tree, m,
+         row_number() OVER (PARTITION BY place ORDER BY doc_id NULLS FIRST, leaf, now) - 1 AS p
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+low AS (
+  SELECT tree, 0 AS level, p, m, leaf AS h FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, p // 3, (m + 2) // 3, sha256(string_agg(h, '' ORDER BY p))
+  FROM low WHERE m > 1 GROUP BY tree, level, p // 3, m),
+subroots AS (SELECT tree, level, h FROM low WHERE m = 1),
+top AS (
+  SELECT 0 AS level, tree AS p, (SELECT count(*) FROM s) AS m, h FROM subroots
+  UNION ALL
+  SELECT level + 1, p // 3, (m + 2) // 3, sha256(string_agg(h, '' ORDER BY p))
+  FROM top WHERE m > 1 GROUP BY level, p // 3, m),
+nodes AS (
+  SELECT tree, level, p, m, h FROM low WHERE m > 1
+  UNION ALL SELECT -1, level, p, m, h FROM top WHERE m > 1),
+runs AS (
+  SELECT tree, level, p // 3 AS q, list(h ORDER BY p) AS hs FROM nodes GROUP BY tree, level, p // 3),
+sides AS (
+  SELECT n.tree, n.level, n.p,
+         array_to_string(hs[1 : n.p % 3], '') AS before, array_to_string(hs[n.p % 3 + 2 :], '') AS after
+  FROM nodes n JOIN runs r ON r.tree = n.tree AND r.level = n.level AND r.q = n.p // 3),
+climb AS (
+  SELECT l.tree AS own, l.p AS place, l.tree, 0 AS level, l.p, l.m, l.now AS h, '' AS proof FROM leaves l
+  UNION ALL
+  SELECT c.own, c.place,
+         CASE WHEN c.m > 1 THEN c.tree ELSE -1 END,
+         CASE WHEN c.m > 1 THEN c.level + 1 ELSE 0 END,
+         CASE WHEN c.m > 1 THEN c.p // 3 ELSE c.tree END,
+         CASE WHEN c.m > 1 THEN (c.m + 2) // 3 ELSE (SELECT count(*) FROM s) END,
+         CASE WHEN c.m > 1 THEN sha256(before || c.h || after) ELSE c.h END,
+         CASE WHEN c.m > 1 THEN c.proof || before || after ELSE c.proof END
+  FROM climb c LEFT JOIN sides USING (tree, level, p)
+  WHERE c.m > 1 OR c.tree >= 0),
+ends AS (SELECT own, place, h, proof FROM climb WHERE tree = -1 AND m = 1),
+root AS (SELECT h AS root FROM top WHERE m = 1)
+SELECT l.doc_id, l.leaf, u.h AS subroot, root, sha256(e.proof) AS proof_sha256,
+       e.h AS folded_root, e.h = root AS verified
+FROM leaves l JOIN ends e ON e.own = l.tree AND e.place = l.p
+JOIN subroots u ON u.tree = l.tree CROSS JOIN root
+"""
+
+OP13 = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id DESC NULLS LAST) AS k,
+         max(page_id) OVER (PARTITION BY html) AS last
+  FROM p)
+SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest,
+       CASE WHEN n >= 1000 AND k > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND k > 1 THEN last END AS refers_to
+FROM r
+"""
+
+
 ORACLES = {
     "op2_mix_sources": OP2,
     "op3_decontaminate": OP3,
@@ -211,4 +343,7 @@ ORACLES = {
     "op7_url_filter": OP7,
     "op8_jaccard_join": OP8,
     "op10_quality_rules": OP10,
+    "op11_spelling_variants": OP11,
+    "op12_merkle_proofs": OP12,
+    "op13_warc_revisits": OP13,
 }

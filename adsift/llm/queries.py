@@ -10,12 +10,15 @@ from adsift.llm import (
     jaccard_join,
     kneser_ney,
     language_id,
+    merkle,
     mixing,
     quality_model,
     quality_rules,
     sharding,
+    spelling,
     token_counts,
     url_filter,
+    warc,
 )
 from adsift.llm.common import read_table
 
@@ -102,6 +105,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("lang", "source")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_proofs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op13_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -115,5 +130,8 @@ QUERIES = {
         op8_jaccard_join,
         op9_quality_model,
         op10_quality_rules,
+        op11_spelling_variants,
+        op12_merkle_proofs,
+        op13_warc_revisits,
     )
 }
