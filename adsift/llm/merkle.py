@@ -2,16 +2,16 @@
 
 The leaves of each group stand in key order; every ``RUN`` neighbours of a level become
 one node above them, up to the group's subroot, and the subroots, in group order, go on
-to the root.  Levels are built bottom up, one grouping for each, and kept as node rows
-that name their parent and the hashes left and right of them in their run.  A recursive
-query then climbs from every leaf: each step joins the node row, notes its siblings and
-folds the leaf's hash as it is found now with them.  What the top of the climb holds is
-the root, unless the leaf was changed.
-
-Each step moves one narrow row a leaf; siblings are noted step by step and strung
-together at the end, so no row grows while it climbs.  All leaves pass the nodes near
-the root: a node with many leaves is kept in as many salted copies, and each leaf asks
-for one of them, so no key holds more than a thousandth of the rows.
+to the root.  Levels are built bottom up, ``HOP`` of them by one grouping, and kept as node
+rows that are linked to the node ``HOP`` levels above and hold the hashes left and right of
+their way on each level in between.  A recursive query then climbs from every leaf: each
+step joins the node row, notes its siblings and folds the leaf's hash as it is found now
+with them.  What the top of the climb holds is the root, unless the leaf was changed.
+
+Each step moves one row a leaf; siblings are noted step by step and strung together at
+the end, so no row grows while it climbs.  All leaves pass the nodes near the root: a
+node with many leaves is kept in as many salted copies, and each leaf asks for one of
+them, so no key holds more than a thousandth of the rows.
 """
 
 from __future__ import annotations
@@ -28,20 +28,22 @@ from adsift.operators.ordered import running_totals
 
 #: Nodes of a level that become one node above.
 RUN = 3
+#: Levels that a grouping builds and a step of the climb ascends.
+HOP = 4
 #: A key of the climb holds the rows of about one leaf in so many.
 SHARES = 1024
-# A node's id: its first leaf (or place) times _CODES, plus its level; levels above the
-# subroots start at _TOP.
+# A node's id: its first leaf (or place) times _CODES, plus the hops below it; those above
+# the subroots start at _TOP.
 _CODES, _TOP = 128, 64
 _ROW_LIMIT = "spark.sql.cteRecursionRowLimit"
 
 
 @dataclass
 class Manifest:
-    """``nodes``: ``(id, salt, up, up_salts, before, after, subroot)``, the siblings as
-    bytes, ``subroot`` for the top node of a group only.  ``leaves``: ``(id, key, leaf,
-    now, up, up_salts, before, after)``, without the last four for a group's only leaf.
-    ``root`` is null for an empty table."""
+    """``nodes``: ``(id, salt, up, up_salts, steps, subroot)``, ``steps`` with the siblings
+    ``(before, after)`` of each level as bytes, ``subroot`` for the top node of a group only.
+    ``leaves``: ``(id, key, leaf, now, up, up_salts, steps)``, the last three null for a group's
+    only leaf.  ``root`` is null for an empty table."""
 
     nodes: DataFrame
     leaves: DataFrame
@@ -116,32 +118,48 @@ def _placed(leaves: DataFrame) -> DataFrame:
     )
 
 
-def _depth(m: int) -> int:
-    """Levels above ``m`` nodes."""
-    levels = 0
+def _hops(m: int) -> int:
+    """Hops from ``m`` nodes to the top."""
+    hops = 0
     while m > 1:
-        m, levels = -(-m // RUN), levels + 1
-    return levels
+        m, hops = -(-m // RUN**HOP), hops + 1
+    return hops
+
+
+def _raised(hashes: Column) -> Column:
+    """The hashes a level above, all within one run of the hop."""
+    runs = F.sequence(F.lit(0), F.floor((F.size(hashes) - 1) / RUN).cast("int"))
+    return F.transform(
+        runs, lambda i: F.sha2(F.array_join(F.slice(hashes, i * RUN + 1, F.lit(RUN)), ""), 256)
+    )
 
 
 def _runs(level: DataFrame, k: int, top: bool, with_leaves: bool = False) -> DataFrame:
-    """The nodes above a level, with the nodes of their run as ``kids``."""
+    """The nodes a hop above a level, with the nodes below as ``kids`` and the hashes of the
+    levels in between; a tree that ends within the hop takes ``levels`` of it only."""
+    width = RUN**HOP
     columns = ["p", "id", "leaves", "h", *(["key", "now"] if with_leaves else [])]
     runs = (
         level.where("m > 1")
-        .groupBy("tree", "m", F.expr(f"p div {RUN}").alias("q"))
+        .groupBy("tree", "m", F.expr(f"p div {width}").alias("q"))
         .agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("kids"))
+        .withColumn("h0", F.transform("kids", lambda x: x["h"]))
     )
-    first = F.col("q") if top else F.col("tree") + F.col("q") * RUN ** (k + 1)
-    hashes = F.transform("kids", lambda x: x["h"])
+    for j in range(HOP):
+        runs = runs.withColumn(f"h{j + 1}", _raised(F.col(f"h{j}")))
+    levels = sum(((F.col("m") > RUN**j).cast("int") for j in range(1, HOP)), F.lit(1))
+    tops = F.array(*[F.col(f"h{j + 1}")[0] for j in range(HOP)])
+    first = F.col("q") if top else F.col("tree") + F.col("q") * width ** (k + 1)
     return runs.select(
         (first * _CODES + (_TOP if top else 0) + k + 1).alias("id"),
         "tree",
-        F.expr(f"(m + {RUN - 1}) div {RUN}").alias("m"),
+        F.expr(f"(m + {width - 1}) div {width}").alias("m"),
         F.col("q").alias("p"),
         F.aggregate("kids", F.lit(0).cast("long"), lambda n, x: n + x["leaves"]).alias("leaves"),
-        F.sha2(F.array_join(hashes, ""), 256).alias("h"),
+        F.element_at(tops, levels).alias("h"),
+        levels.alias("levels"),
         "kids",
+        *[f"h{j}" for j in range(1, HOP)],
     )
 
 
@@ -150,20 +168,26 @@ def _salts(leaves: Column, share: int) -> Column:
 
 
 def _children(runs: DataFrame, share: int) -> DataFrame:
-    """A row for each node of the runs: its parent and the siblings on both sides."""
+    """A row for each node below the runs: where its hop ends and the siblings on its way."""
+    levels = [f"h{j}" for j in range(1, HOP)]
     rows = runs.select(
         F.col("id").alias("up"),
         _salts(F.col("leaves"), share).alias("up_salts"),
-        F.transform("kids", lambda x: x["h"]).alias("hashes"),
+        "levels",
+        F.transform("kids", lambda x: x["h"]).alias("h0"),
+        *levels,
         F.posexplode("kids").alias("i", "kid"),
     )
     joined = lambda part: F.unhex(F.array_join(part, ""))
+    steps = []
+    for j in range(HOP):
+        place = F.floor(F.col("i") / RUN**j).cast("int")
+        in_run = place % RUN
+        before = F.slice(f"h{j}", place - in_run + 1, in_run)
+        after = F.slice(f"h{j}", place + 2, RUN - 1 - in_run)
+        steps.append(F.struct(joined(before).alias("before"), joined(after).alias("after")))
     return rows.select(
-        "kid",
-        "up",
-        "up_salts",
-        joined(F.slice("hashes", F.lit(1), F.col("i"))).alias("before"),
-        joined(F.slice("hashes", F.col("i") + 2, F.lit(RUN))).alias("after"),
+        "kid", "up", "up_salts", F.slice(F.array(*steps), F.lit(1), F.col("levels")).alias("steps")
     )
 
 
@@ -175,8 +199,7 @@ def _node_rows(children: DataFrame, share: int, subroots: bool) -> DataFrame:
         F.explode(F.sequence(F.lit(0), last)).alias("salt"),
         "up",
         "up_salts",
-        "before",
-        "after",
+        "steps",
         (F.unhex(kid["h"]) if subroots else F.lit(None).cast("binary")).alias("subroot"),
     )
 
@@ -213,7 +236,7 @@ def build(leaves: DataFrame) -> Manifest:
         )
     ]
     nodes, finished = [], [level.select(kept).where("m = 1")]
-    for k in range(_depth(totals["most"] or 0)):
+    for k in range(_hops(totals["most"] or 0)):
         runs = stage(_runs(level, k, top=False, with_leaves=k == 0), f"merkle-level-{k + 1}")
         children = _children(runs, share)
         if k == 0:
@@ -237,29 +260,33 @@ def build(leaves: DataFrame) -> Manifest:
         "id", F.lit(0).cast("long").alias("tree"), F.lit(n_groups).cast("long").alias("m"),
         (F.col("p") - 1).alias("p"), "leaves", "h",
     )
-    for k in range(_depth(n_groups)):
+    for k in range(_hops(n_groups)):
         runs = stage(_runs(level, k, top=True), f"merkle-top-{k + 1}")
         nodes.append(_node_rows(_children(runs, share), share, subroots=k == 0))
         level = runs.select(kept)
     root = level.select("h").first()
     empty = spark.createDataFrame(
-        [], "id long, salt int, up long, up_salts int, before binary, after binary, subroot binary"
+        [], f"id long, salt int, up long, up_salts int, steps {_STEPS}, subroot binary"
     )
     return Manifest(
         stage(_union([empty, *nodes]), "merkle-nodes"), _union(own_rows), root and root["h"]
     )
 
 
-_STEP = {"up": "long", "up_salts": "int", "before": "binary", "after": "binary"}
+_STEPS = "array<struct<before: binary, after: binary>>"
+_STEP = {"up": "long", "up_salts": "int", "steps": _STEPS}
+_FOLD = """aggregate({steps}, {start}, (h, s) ->
+  unhex(sha2(lower(hex(concat(s.before, h, s.after))), 256)))"""
+_STRING = "aggregate({steps}, X'', (b, s) -> concat(b, s.before, s.after))"
 
-_CLIMB = """
+_CLIMB = f"""
 WITH RECURSIVE climb(leaf_id, step, next, salt, folded, siblings, subroot, key, leaf) AS (
-  SELECT * FROM {start}
+  SELECT * FROM {{start}}
   UNION ALL
   SELECT c.leaf_id, c.step + 1, n.up, CAST(pmod(hash(c.leaf_id), n.up_salts) AS INT),
-         unhex(sha2(lower(hex(concat(n.before, c.folded, n.after))), 256)),
-         concat(n.before, n.after), n.subroot, CAST(NULL AS BIGINT), CAST(NULL AS BINARY)
-  FROM climb c JOIN {nodes} n ON n.id = c.next AND n.salt = c.salt)
+         {_FOLD.format(steps="n.steps", start="c.folded")}, {_STRING.format(steps="n.steps")},
+         n.subroot, CAST(NULL AS BIGINT), CAST(NULL AS BINARY)
+  FROM climb c JOIN {{nodes}} n ON n.id = c.next AND n.salt = c.salt)
 SELECT * FROM climb
 """
 
@@ -280,18 +307,16 @@ def _unlimited_recursion(spark: SparkSession) -> Iterator[None]:
 
 def climb(manifest: Manifest) -> DataFrame:
     """``(leaf_id, step, next, salt, folded, siblings, subroot, key, leaf)``: a row for
-    each leaf and step; key and leaf are in its first row only."""
+    each leaf and hop; key and leaf are in its first row only."""
     stepped = F.col("up").isNotNull()
-    folded = F.sha2(
-        F.lower(F.hex(F.concat("before", F.unhex("now"), "after"))), 256
-    )
+    steps = "coalesce(steps, array())"
     start = manifest.leaves.select(
         F.col("id").alias("leaf_id"),
         stepped.cast("int").alias("step"),
         F.coalesce("up", "id").alias("next"),
         F.coalesce(F.pmod(F.hash("id"), F.col("up_salts")), F.lit(0)).cast("int").alias("salt"),
-        F.unhex(F.when(stepped, folded).otherwise(F.col("now"))).alias("folded"),
-        F.coalesce(F.concat("before", "after"), F.unhex(F.lit(""))).alias("siblings"),
+        F.expr(_FOLD.format(steps=steps, start="unhex(now)")).alias("folded"),
+        F.expr(_STRING.format(steps=steps)).alias("siblings"),
         F.lit(None).cast("binary").alias("subroot"),
         "key",
         F.unhex("leaf").alias("leaf"),
