@@ -33,6 +33,8 @@ from adsift.llm.common import hot_join, own_columns, scratch_path, stage
 
 #: A file is closed when it has so many bytes.
 FILE_BYTES = 64 << 20
+#: Tasks that read an archive, at most; each reads some files.
+MOST_TASKS = 20_000
 #: Payloads below this are kept in every record: a revisit's headers are not much smaller.
 LEAST_PAYLOAD = 1000
 #: The date of records that are written, unless another is given.
@@ -282,7 +284,7 @@ def deduplicate(
             for name, some in itertools.groupby(rows, key=lambda r: r["file"]):
                 with files.open_input_file(f"{root}/{name}") as stream:
                     for row in some:
-                        if row["new_kind"] == "revisit":
+                        if row["origin"] is not None:
                             fresh = row | {
                                 "kind": "revisit", "record_id": str(uuid.uuid4()),
                                 "refers_to": row["origin"], "payload_bytes": row["origin_bytes"],
@@ -294,13 +296,19 @@ def deduplicate(
             yield writer.batch()
         writer.close()
 
-    ordered = verdicts.repartition("file").sortWithinPartitions("file", "offset")
+    ordered = verdicts.repartition(_tasks(archive), "file").sortWithinPartitions("file", "offset")
     return Archive(folder, stage(ordered.mapInArrow(rewrite, INDEX), "warc-index"))
 
 
 # --- reading --------------------------------------------------------------------
 
 
+def _tasks(archive: Archive) -> int:
+    """Tasks that read the archive's files: index rows are too small for Spark to tell how much
+    there is to read behind them."""
+    return min(max(1, archive.index.select("file").distinct().count()), MOST_TASKS)
+
+
 def _header_id(value: str | None) -> str | None:
     return value and value.removeprefix("<urn:uuid:").removesuffix(">")
 
@@ -348,7 +356,7 @@ def read_archive(archive: Archive, payloads: bool = False) -> DataFrame:
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
-    names = archive.index.select("file").distinct().repartition("file")
+    names = archive.index.select("file").distinct().repartition(_tasks(archive), "file")
     return names.mapInArrow(read, INDEX + ", payload binary" if payloads else INDEX)
 
 
