@@ -18,7 +18,11 @@ from adsift.functions import fixed_values as fixed
 from adsift.sources.storage import write_table
 
 OVERSAMPLES = 10
+#: Iterations that are always done, and those that may follow.
 ITERATIONS = 5
+MOST_ITERATIONS = 30
+#: The largest residual of a component, as a share of the largest energy.
+TOLERANCE = 0.02
 # Numbers held at once when a batch of rows is multiplied.
 CHUNK_CELLS = 4_000_000
 # Tasks that sum up shares of the Gram product.
@@ -62,7 +66,9 @@ def _gram_product(df: DataFrame, vector: str, basis: np.ndarray) -> np.ndarray:
                 found, first = np.unique(terms[order], return_index=True)
                 total[found] += np.add.reduceat(spread, first)
         used = np.flatnonzero(total.any(axis=1))
-        yield pd.DataFrame({"term_id": used, "part": list(total[used])})
+        # Without a row the list would have no type.
+        if used.size:
+            yield pd.DataFrame({"term_id": used, "part": list(total[used])})
 
     inner = F.unwrap_udt(F.col(vector))
     rows = df.select(inner["indices"].alias("indices"), inner["values"].alias("values"))
@@ -81,6 +87,17 @@ def _gram_product(df: DataFrame, vector: str, basis: np.ndarray) -> np.ndarray:
     return product
 
 
+def _ritz(basis: np.ndarray, product: np.ndarray, rank: int):
+    """The best vectors inside a basis, the energy of each, and what is left of it outside:
+    ``|A'Av - ev|``, from the product that an iteration has anyway."""
+    small = basis.T @ product
+    values, vectors = np.linalg.eigh((small + small.T) / 2)
+    chosen = np.argsort(values)[::-1][:rank]
+    vectors, energy = vectors[:, chosen], values[chosen]
+    found = basis @ vectors
+    return found, energy, np.linalg.norm(product @ vectors - found * energy, axis=0)
+
+
 def fit_svd(
     df: DataFrame,
     features: int,
@@ -88,26 +105,52 @@ def fit_svd(
     vector: str = "tfidf",
     iterations: int = ITERATIONS,
     seed: int = fixed.SEED,
+    tolerance: float = TOLERANCE,
+    most_iterations: int = MOST_ITERATIONS,
 ) -> np.ndarray:
     """Right singular vectors, one column per component, largest first.
 
     ``df`` should be a staged table: it is read once for each iteration and
-    once for the result.  Each component is signed so that its largest entry is
+    once for the result.  After ``iterations`` passes it goes on until every component's
+    residual is at most ``tolerance`` of the largest energy; if ``most_iterations`` do not
+    suffice, that is an error.  Each component is signed so that its largest entry is
     positive, which makes runs agree.
     """
     rank = clamp_rank(rank, features)
     width = min(features, rank + OVERSAMPLES)
     basis = np.random.default_rng(seed).standard_normal((features, width))
     basis = np.linalg.qr(basis)[0]
-    for _ in range(iterations):
-        basis = np.linalg.qr(_gram_product(df, vector, basis))[0]
-    small = basis.T @ _gram_product(df, vector, basis)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    components = basis @ vectors[:, np.argsort(values)[::-1][:rank]]
+    for done in range(most_iterations + 1):
+        product = _gram_product(df, vector, basis)
+        components, energy, residual = _ritz(basis, product, rank)
+        worst = residual.max() / energy[0] if energy[0] > 0 else 0.0
+        if done >= iterations and worst <= tolerance:
+            break
+        if done == most_iterations:
+            raise ValueError(f"a component is off by {worst:.3g} after {done} iterations")
+        basis = np.linalg.qr(product)[0]
     peak = components[np.abs(components).argmax(axis=0), np.arange(rank)]
     return components * np.where(peak < 0, -1.0, 1.0)
 
 
+def certify(df: DataFrame, components: np.ndarray, vector: str = "tfidf") -> DataFrame:
+    """``(component, energy, residual, overlap)``: one more pass over the rows tells for any
+    matrix of components, loaded ones too, whether they are what they should be.
+
+    ``energy`` is that of the rows along the component, ``residual`` is ``|A'Av - ev|``, zero
+    for a singular vector; an energy is no further from a true one than this.  ``overlap`` is
+    the largest product with another component, or the deviation of its own length from 1.
+    """
+    product = _gram_product(df, vector, components)
+    energy = np.einsum("ij,ij->j", components, product)
+    residual = np.linalg.norm(product - components * energy, axis=0)
+    overlap = np.abs(components.T @ components - np.eye(components.shape[1])).max(axis=0)
+    rows = [(i, *map(float, r)) for i, r in enumerate(zip(energy, residual, overlap))]
+    return df.sparkSession.createDataFrame(
+        rows, "component int, energy double, residual double, overlap double"
+    )
+
+
 def save_components(spark: SparkSession, components: np.ndarray, path: str) -> None:
     rows = [(i, row.tolist()) for i, row in enumerate(components)]
     write_table(spark.createDataFrame(rows, "term_id int, weights array<double>"), path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from dataclasses import dataclass, field
 
@@ -15,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from adsift.functions import fixed_values as fixed
-from adsift.operators import evaluation, fitted, labeling, reduction, training, vocabulary
+from adsift.operators import evaluation, fitted, importance, labeling, reduction, training
+from adsift.operators import vocabulary
 from adsift.operators.features import fit_date_formats, row_features
 from adsift.sources import postings as source
-from adsift.sources.storage import stage, staged_job, write_table
+from adsift.sources.storage import committed_state, saved_state, stage, staged_job, write_table
 
 #: Labelled rows that the classifiers are fitted on, at most.
 FIT_ROWS = 200_000
@@ -78,6 +80,10 @@ class FeatureState:
     version: int = 2
 
     def save(self, spark: SparkSession, path: str) -> None:
+        with saved_state(spark, path) as folder:
+            self._write(spark, folder)
+
+    def _write(self, spark: SparkSession, path: str) -> None:
         numbers = [("index_max", self.index_max, None)]
         numbers += [(c, mean, std) for c, (mean, std) in self.moments.items()]
         terms = list(enumerate(zip(self.text.terms, self.text.idf)))
@@ -97,6 +103,7 @@ class FeatureState:
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FeatureState:
+        path = committed_state(spark, path)
         numbers = {r["name"]: r for r in spark.read.parquet(f"{path}/numbers").collect()}
         top = numbers.pop("index_max")["value"]
         terms = spark.read.parquet(f"{path}/terms").collect()
@@ -248,60 +255,84 @@ def training_parts(
     )
 
 
+#: The three classifiers; names of their rows in the metrics table, and of their files.
+LOGISTIC, FOREST, BOOSTED = "LogisticRegression", "RandomForest", "GradientBoosting"
+
+
 @dataclass
 class Models:
-    """The three classifiers, with all that scoring new feature rows needs."""
+    """The three classifiers, with all that scoring new feature rows needs.
+
+    ``logistic`` is a model, or a list of folds with their sigmoids if it is calibrated;
+    ``forest`` a model, or a list of those that make up a version 2 forest.
+    """
 
     logistic: LogisticRegressionModel | list
-    forest: RandomForestClassificationModel
+    forest: RandomForestClassificationModel | list
     boosted: GBTClassificationModel
     components: np.ndarray | None = None
     names: list[str] = field(default_factory=list)
 
     def save(self, spark: SparkSession, path: str) -> None:
+        with saved_state(spark, path) as folder:
+            self._write(spark, folder)
+
+    def _write(self, spark: SparkSession, path: str) -> None:
         folds = self.logistic if isinstance(self.logistic, list) else [(self.logistic, None)]
+        forests = self.forest if isinstance(self.forest, list) else [self.forest]
         for i, (model, _) in enumerate(folds):
-            model.write().overwrite().save(f"{path}/LogisticRegression-{i}")
-        self.forest.write().overwrite().save(f"{path}/RandomForest")
-        self.boosted.write().overwrite().save(f"{path}/GradientBoosting")
+            model.write().save(f"{path}/{LOGISTIC}-{i}")
+        for i, model in enumerate(forests):
+            model.write().save(f"{path}/{FOREST}-{i}")
+        self.boosted.write().save(f"{path}/{BOOSTED}")
         if self.components is not None:
             reduction.save_components(spark, self.components, f"{path}/components")
         options = {
-            "sigmoids": [s for _, s in folds], "svd": self.components is not None, "names": self.names,
+            "sigmoids": [s for _, s in folds],
+            "forests": len(forests) if isinstance(self.forest, list) else None,
+            "svd": self.components is not None,
+            "names": self.names,
         }
         _save_json(spark, options, f"{path}/options")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Models:
+        path = committed_state(spark, path)
         options = _load_json(spark, f"{path}/options")
         folds = [
-            (LogisticRegressionModel.load(f"{path}/LogisticRegression-{i}"), s and tuple(s))
+            (LogisticRegressionModel.load(f"{path}/{LOGISTIC}-{i}"), s and tuple(s))
             for i, s in enumerate(options["sigmoids"])
         ]
+        forests = [
+            RandomForestClassificationModel.load(f"{path}/{FOREST}-{i}")
+            for i in range(options["forests"] or 1)
+        ]
         return cls(
             folds[0][0] if folds[0][1] is None else folds,
-            RandomForestClassificationModel.load(f"{path}/RandomForest"),
-            GBTClassificationModel.load(f"{path}/GradientBoosting"),
+            forests[0] if options["forests"] is None else forests,
+            GBTClassificationModel.load(f"{path}/{BOOSTED}"),
             reduction.load_components(spark, f"{path}/components") if options["svd"] else None,
             options["names"],
         )
 
     def score(self, rows: DataFrame) -> DataFrame:
         """``(job_id, label, score, model)`` of assembled rows, one for each model."""
-        name = "LogisticRegression"
-        if isinstance(self.logistic, list):
-            table = training.score_calibrated(self.logistic, rows, name)
-        else:
-            table = training.score(self.logistic, rows, name)
-        table = table.unionByName(training.score(self.forest, rows, "RandomForest"))
-        return table.unionByName(training.score(self.boosted, rows, "GradientBoosting"))
+        table = score_logistic(self.logistic, rows, LOGISTIC)
+        table = table.unionByName(training.score(self.forest, rows, FOREST))
+        return table.unionByName(training.score(self.boosted, rows, BOOSTED))
 
     def score_features(self, features: DataFrame) -> DataFrame:
         return self.score(assembled_rows(features, self.components, self.names)[0])
 
 
-def fit_models(
-    parts: Parts,
+def score_logistic(model, rows: DataFrame, name: str) -> DataFrame:
+    """Scores of a plain model, or of the folds of a calibrated one."""
+    if isinstance(model, list):
+        return training.score_calibrated(model, rows, name)
+    return training.score(model, rows, name)
+
+
+def _fits(
     version: int = 2,
     calibrate: bool = False,
     trees: int | None = None,
@@ -310,28 +341,57 @@ def fit_models(
     max_iter: int = fixed.LOGISTIC_ITERATIONS,
     calibration_share: float = fixed.CALIBRATION_FRACTION,
     seed: int = fixed.SEED,
-    fit_rows: int | None = FIT_ROWS,
-) -> Models:
-    """Fit the three classifiers on at most ``fit_rows`` training rows."""
-    train = stage(training.bounded_rows(parts.train, fit_rows), "fit-rows")
-    if calibrate:
-        logistic = training.fit_calibrated(
-            train, calibration_share, seed=seed, version=version, max_iter=max_iter
+    draws: int | None = None,
+) -> dict:
+    """For each model its fit, from training rows, and its scores."""
+
+    def logistic(rows):
+        if not calibrate:
+            return training.fit_logistic(rows, version, max_iter)
+        return training.fit_calibrated(
+            rows, calibration_share, seed=seed, version=version, max_iter=max_iter
         )
-    else:
-        logistic = training.fit_logistic(train, version, max_iter)
+
+    return {
+        LOGISTIC: (logistic, score_logistic),
+        FOREST: (
+            lambda rows: training.fit_forest(rows, version, trees, max_depth, seed, draws),
+            training.score,
+        ),
+        BOOSTED: (lambda rows: training.fit_boosted(rows, version, rounds, seed), training.score),
+    }
+
+
+def _fit_rows(parts: Parts, most: int | None) -> DataFrame:
+    return training.packed(training.bounded_rows(parts.train, most), "fit-rows")
+
+
+def fit_models(parts: Parts, *, fit_rows: int | None = FIT_ROWS, **options) -> Models:
+    """Fit the three classifiers on at most ``fit_rows`` training rows; options as for
+    the job."""
+    train = _fit_rows(parts, fit_rows)
+    models = {name: fit(train) for name, (fit, _) in _fits(**options).items()}
     return Models(
-        logistic,
-        training.fit_forest(train, version, trees, max_depth, seed),
-        training.fit_boosted(train, version, rounds, seed),
-        parts.components,
-        parts.names,
+        models[LOGISTIC], models[FOREST], models[BOOSTED], parts.components, parts.names
     )
 
 
-def metrics_table(scores: DataFrame, version: int = 2) -> DataFrame:
+def validation_scores(parts: Parts, *, fit_rows: int | None = FIT_ROWS, **options) -> DataFrame:
+    """Scores of the rows of the fit, each by models that did not see it."""
+    train = _fit_rows(parts, fit_rows)
+    seed = options.get("seed", fixed.SEED)
+    tables = [
+        training.cross_fitted_scores(train, fit, name, seed=seed, scored=scored)
+        for name, (fit, scored) in _fits(**options).items()
+    ]
+    return stage(functools.reduce(DataFrame.unionByName, tables), "validation-scores")
+
+
+def metrics_table(
+    scores: DataFrame, version: int = 2, tune_on: DataFrame | None = None
+) -> DataFrame:
     """Metrics of all models; version 1 reports the 0.5 threshold alone."""
-    report = evaluation.threshold_report(scores)
+    report = evaluation.threshold_report(scores, tune_on=tune_on)
     if version == 1:
         report = report.where(~F.col("model").endswith("_Tuned")).drop("threshold")
     return report
@@ -344,19 +404,26 @@ def training_job(
     svd_dim: int | None = None,
     test_size: float = fixed.TEST_SIZE,
     seed: int = fixed.SEED,
+    tune_on: str = "test",
     **options,
 ) -> DataFrame:
     """Fit, score, report; writes models, importances and the metrics table, and
-    leaves nothing staged."""
+    leaves nothing staged.
+
+    Thresholds are tuned on the test rows, as the table is defined, or, with
+    ``tune_on="validation"``, on cross-fitted scores of the training rows.
+    """
+    if tune_on not in ("test", "validation"):
+        raise ValueError(f"thresholds are tuned on 'test' or 'validation', not {tune_on!r}")
     spark = features.sparkSession
     with staged_job():
         parts = training_parts(features, svd_dim, test_size, seed)
-        models = fit_models(parts, version, seed=seed, **options)
+        options |= {"version": version, "seed": seed}
+        models = fit_models(parts, **options)
         models.save(spark, f"{out}/models")
-        for name, model in (("RandomForest", models.forest), ("GradientBoosting", models.boosted)):
-            table = training.feature_importance(
-                spark, model, parts.names, used_only=name == "GradientBoosting"
-            )
+        for name, model in ((FOREST, models.forest), (BOOSTED, models.boosted)):
+            table = importance.feature_importance(spark, model, parts.names)
             write_table(table, f"{out}/importance/{name}")
         scores = stage(models.score(parts.test), "scores")
-        return write_table(metrics_table(scores, version), f"{out}/metrics")
+        tuning = validation_scores(parts, **options) if tune_on == "validation" else None
+        return write_table(metrics_table(scores, version, tuning), f"{out}/metrics")

@@ -5,6 +5,8 @@ Each statement is a chain of common table expressions over the supplied tables.
 
 from __future__ import annotations
 
+import math
+
 from adsift.functions import fixed_values as fixed
 from adsift.sources.fixture import POSTINGS_SQL
 
@@ -350,6 +352,11 @@ FITTED_ON = f"""fit AS (SELECT job_id, label FROM drawn JOIN quota USING (label)
   QUALIFY row_number() OVER (ORDER BY md5(CAST(job_id AS VARCHAR) || ':{fixed.SEED + 2}'), job_id)
     <= {FIT_ROWS})"""
 
+# The chance of a Poisson number below 0, 1, 2 ... with mean 1; what a bootstrap draws.
+_POISSON = ", ".join(
+    f"({sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r}e0)" for k in range(15)
+)
+
 SCORES = """sc AS (
   SELECT job_id, fake_label_tuned AS label, 'TriggerIndex' AS model,
     round(fraud_trigger_index_raw, 4) AS score FROM q
@@ -616,13 +623,43 @@ ORACLES = {
                 floor(count(*) OVER () * {fixed.CALIBRATION_FRACTION}e0)))))) GROUP BY fold""",
         *TO_LABELS, LABEL_ROWS, QUOTAS, DRAWN, FITTED_ON,
     ),
-    "importance_sums": """SELECT 'RandomForest' AS model, 1e0 AS total, false AS used_only, true AS each_once
-      UNION ALL SELECT 'GradientBoosting', 1e0, true, true""",
+    "svd_certificate": f"""SELECT CAST({fixed.SVD_DIM} AS BIGINT) AS n_components, true AS orthonormal,
+      true AS certified, true AS no_negative_energy""",
+    "lr_stationarity": _chain(
+        f"""SELECT CAST(least({FIT_ROWS}, sum(n - quota)) AS BIGINT) AS n_fit, true AS stationary,
+        true AS intercept_stationary, true AS all_weights FROM cls JOIN quota USING (label)""",
+        *TO_LABELS, LABEL_ROWS, QUOTAS,
+    ),
+    "bootstrap_weights": _chain(
+        f"""SELECT draw, label, count(*) FILTER (k > 0) AS n_rows,
+          round(sum(sum(k)) OVER (PARTITION BY draw) / (2e0 * sum(k)), 6) AS class_weight,
+          round(sum(sum(k)) OVER (PARTITION BY draw) / 2e0, 6) AS total
+        FROM (SELECT draw, label, (SELECT count(*) FROM (VALUES {_POISSON}) v(reached)
+            WHERE chance >= reached) AS k
+          FROM (SELECT label, draw, CAST('0x' || substr(md5(CAST(job_id AS VARCHAR) || ':' ||
+              CAST({fixed.SEED + 1000} + draw AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296e0 AS chance
+            FROM lr, range(4) r(draw)))
+        GROUP BY draw, label""",
+        *TO_LABELS, LABEL_ROWS,
+    ),
+    "importance_sums": """SELECT 'RandomForest' AS model, 1e0 AS total, false AS used_only,
+        true AS each_once, true AS as_model
+      UNION ALL SELECT 'GradientBoosting', 1e0, true, true, true""",
+    "cross_fitted_rows": _chain(
+        f"""SELECT 'LogisticRegression' AS model, count(*) AS n_rows, count(DISTINCT job_id) AS n_ids,
+          count(*) FILTER (label = 1) AS positives, count(*) AS in_range FROM fit""",
+        *TO_LABELS, LABEL_ROWS, QUOTAS, DRAWN, FITTED_ON,
+    ),
+    "reloaded_models": _chain(
+        """SELECT model, n AS n_rows, n AS n_same FROM (SELECT count(*) AS n FROM lr),
+        (VALUES ('LogisticRegression'), ('RandomForest'), ('GradientBoosting')) v(model)""",
+        *TO_LABELS, LABEL_ROWS,
+    ),
     "score_rows": _chain(
         """SELECT model, n AS n_rows, n AS n_ids, positives, n AS in_range FROM (
           SELECT CAST(sum(quota) AS BIGINT) AS n,
             CAST(sum(quota) FILTER (label = 1) AS BIGINT) AS positives FROM quota),
-        (VALUES ('LogisticRegression'), ('RandomForest')) v(model)""",
+        (VALUES ('LogisticRegression'), ('Calibrated'), ('RandomForest'), ('GradientBoosting')) v(model)""",
         *TO_LABELS, LABEL_ROWS, QUOTAS,
     ),
     "stratified_split": _chain(
@@ -667,6 +704,15 @@ ORACLES = {
         "SELECT model, threshold, round(f1, 6) AS f1 FROM best", *CURVE_STEPS
     ),
     "threshold_report": _chain(_REPORT, *CURVE_STEPS, f"auc AS ({_AUC})"),
+    "threshold_report_validation": _chain(
+        _REPORT.replace("FROM sc JOIN", "FROM ts sc JOIN"),
+        *SCORE_STEPS, LABEL_ROWS, QUOTAS, DRAWN,
+        """parted AS (SELECT drawn.job_id, place <= quota AS test FROM drawn JOIN quota USING (label)),
+        ts AS (SELECT sc.* FROM sc JOIN parted USING (job_id) WHERE test),
+        vs AS (SELECT sc.* FROM sc JOIN parted USING (job_id) WHERE NOT test)""",
+        CURVE.replace("FROM sc GROUP", "FROM vs GROUP"),
+        f"auc AS ({_AUC.replace('FROM sc)', 'FROM ts)')})",
+    ),
     "index_stats": _chain(
         f"""SELECT min(i) AS min_index, median(i) AS median_index, max(i) AS max_index
         FROM (SELECT {_INDEX} AS i FROM q)""",

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from adsift.functions import fixed_values as fixed
 from adsift.functions import parsing, text
-from adsift.operators import evaluation, features, fitted, labeling, reduction, training
+from adsift.operators import evaluation, features, fitted, importance, labeling, reduction
+from adsift.operators import training
 from adsift.operators import vocabulary
 from adsift.plans import jobs
 from adsift.sources import postings as source
@@ -19,6 +20,8 @@ from adsift.sources.storage import scratch_path, stage
 # iterations and rank are those of the jobs.
 FIT_ROWS = 300
 DIGITS = 6
+# What is left of the largest entry of the gradient, at most.
+STATIONARY = 0.01
 
 
 def postings(spark, sf) -> DataFrame:
@@ -439,9 +442,38 @@ def svd_energy(spark, sf):
     )
 
 
+def svd_certificate(spark, sf):
+    """Whether the components are singular vectors: lengths 1 and right angles, and of each
+    no more than the tolerance left over when the rows are applied to it."""
+    rows = _word_rows(spark, sf)
+    model = vocabulary.TextModel.fit(rows)
+    vectors = stage(model.transform(rows).select("job_id", "tfidf"), "vectors")
+    found = reduction.certify(
+        vectors, reduction.fit_svd(vectors, len(model.terms), fixed.SVD_DIM)
+    )
+    return found.agg(
+        F.count(F.lit(1)).alias("n_components"),
+        (F.max("overlap") <= 1e-8).alias("orthonormal"),
+        (F.max("residual") <= reduction.TOLERANCE * F.max("energy") * (1 + 1e-6)).alias("certified"),
+        (F.min("energy") >= -1e-9).alias("no_negative_energy"),
+    )
+
+
 # --- split, weights, models -----------------------------------------------------
 
 
+# What the model queries of a session share: staged tables and fitted models.
+_shared: dict = {}
+
+
+def _once(spark, sf, kind: str, make):
+    """The shared thing of this session and folder, made by the first query that asks."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _shared:
+        _shared[key] = make()
+    return _shared[key]
+
+
 def _label_rows(spark, sf) -> DataFrame:
     rows = labelled(spark, sf).select("job_id", F.col("fake_label_tuned").alias("label"))
     return stage(rows, "labels")
@@ -467,7 +499,8 @@ def calibration_folds(spark, sf):
 
 
 def _feature_table(spark, sf) -> DataFrame:
-    return jobs.feature_job(_tuned(spark, sf))[0]
+    make = lambda: stage(jobs.feature_job(_tuned(spark, sf))[0], "feature-table")
+    return _once(spark, sf, "features", make)
 
 
 def assembled_features(spark, sf):
@@ -490,11 +523,28 @@ def assembled_features(spark, sf):
 
 
 def _parts(spark, sf) -> jobs.Parts:
-    return jobs.training_parts(_feature_table(spark, sf))
+    return _once(spark, sf, "parts", lambda: jobs.training_parts(_feature_table(spark, sf)))
+
+
+def _reduced_parts(spark, sf) -> jobs.Parts:
+    """The text reduced to the job's rank: 300 components in place of 5,000 terms."""
+    make = lambda: jobs.training_parts(_feature_table(spark, sf), fixed.SVD_DIM)
+    return _once(spark, sf, "reduced", make)
 
 
 def _fit_rows(parts: jobs.Parts) -> DataFrame:
-    return stage(training.bounded_rows(parts.train, FIT_ROWS), "fit-rows")
+    return training.packed(training.bounded_rows(parts.train, FIT_ROWS), "fit-rows")
+
+
+def _model(spark, sf, kind: str):
+    """The calibrated, forest or boosted model on the reduced text."""
+    fits = {
+        "calibrated": training.fit_calibrated,
+        "forest": training.fit_forest,
+        "boosted": training.fit_boosted,
+    }
+    make = lambda: fits[kind](_fit_rows(_reduced_parts(spark, sf)))
+    return _once(spark, sf, kind, make)
 
 
 def lr_scores(spark, sf):
@@ -508,76 +558,106 @@ def lr_balance(spark, sf):
     scores of both classes add up to 1 on the rows of the fit."""
     parts = _parts(spark, sf)
     rows = _fit_rows(parts)
-    scored = training.score(training.fit_logistic(rows), rows, "LogisticRegression")
+    model = training.fit_logistic(rows, version=1)
+    scored = training.score(model, rows, "LogisticRegression")
     mean = lambda c: F.avg(F.when(F.col("label") == c, F.col("score")))
     found = scored.agg(F.count(F.lit(1)).alias("n_fit"), F.round(mean(0) + mean(1), 1).alias("means"))
     tests = parts.test.agg(F.count(F.lit(1)).alias("n_test"))
     return found.join(tests)
 
 
+def lr_stationarity(spark, sf):
+    """The gradient of the penalised objective, the intercept's penalty included, has all but
+    vanished at the fitted weights: its largest entry against the largest at zero weights,
+    and the intercept's own, whose feature is 1, as it is."""
+    parts = _reduced_parts(spark, sf)
+    rows = _fit_rows(parts)
+    table = training.logistic_gradient(training.fit_logistic(rows), rows)
+    intercept = F.abs(F.max_by("gradient", "feature_id"))
+    ends = table.agg(
+        (intercept <= STATIONARY).alias("intercept_stationary"),
+        (F.max(F.abs("gradient")) <= STATIONARY * F.max(F.abs("start"))).alias("stationary"),
+        (F.count(F.lit(1)) == len(parts.names) + parts.components.shape[1] + 1).alias("all_weights"),
+    )
+    return rows.agg(F.count(F.lit(1)).alias("n_fit")).join(ends)
+
+
 def calibrated_scores(spark, sf):
-    parts = _parts(spark, sf)
-    models = training.fit_calibrated(_fit_rows(parts))
-    return training.score_calibrated(models, parts.test, "LogisticRegression")
+    models = _model(spark, sf, "calibrated")
+    return training.score_calibrated(models, _reduced_parts(spark, sf).test, "LogisticRegression")
 
 
 def calibration_balance(spark, sf):
     """A fold's sigmoid gives its held-out rows the mean of their softened targets."""
-    return training.calibration_balance(_fit_rows(_parts(spark, sf)))
+    return training.calibration_balance(_fit_rows(_reduced_parts(spark, sf)))
+
+
+def bootstrap_weights(spark, sf):
+    """Rows drawn and weights given by each of four bootstraps, by class."""
+    rows = training.bootstrap_weights(_label_rows(spark, sf), 4)
+    weights = [F.struct(F.lit(i).alias("draw"), F.col(f"weight_{i}").alias("weight")) for i in range(4)]
+    long = rows.select("label", F.inline(F.array(*weights)))
+    return long.groupBy("draw", "label").agg(
+        F.count_if(F.col("weight") > 0).alias("n_rows"),
+        F.round(F.min(F.when(F.col("weight") > 0, F.col("weight"))), DIGITS).alias("class_weight"),
+        F.round(F.sum("weight"), DIGITS).alias("total"),
+    )
 
 
 def rf_scores(spark, sf):
-    parts = _parts(spark, sf)
-    return training.score(training.fit_forest(_fit_rows(parts)), parts.test, "RandomForest")
+    model = _model(spark, sf, "forest")
+    return training.score(model, _reduced_parts(spark, sf).test, "RandomForest")
 
 
 def gbt_scores(spark, sf):
-    parts = _parts(spark, sf)
-    return training.score(training.fit_boosted(_fit_rows(parts)), parts.test, "GradientBoosting")
+    model = _model(spark, sf, "boosted")
+    return training.score(model, _reduced_parts(spark, sf).test, "GradientBoosting")
 
 
-def _importances(spark, sf) -> tuple[DataFrame, DataFrame]:
-    parts = _parts(spark, sf)
-    rows = _fit_rows(parts)
-    forest = training.feature_importance(spark, training.fit_forest(rows), parts.names)
-    boosted = training.feature_importance(
-        spark, training.fit_boosted(rows), parts.names, used_only=True
-    )
-    return forest, boosted
+def feature_importance(spark, sf):
+    names = _reduced_parts(spark, sf).names
+    return importance.feature_importance(spark, _model(spark, sf, "forest"), names)
 
 
-def feature_importance(spark, sf):
-    parts = _parts(spark, sf)
-    return training.feature_importance(spark, training.fit_forest(_fit_rows(parts)), parts.names)
+def gain_importance(spark, sf):
+    names = _reduced_parts(spark, sf).names
+    return importance.feature_importance(spark, _model(spark, sf, "boosted"), names)
 
 
 def importance_sums(spark, sf):
-    """Importances add up to 1; forests list every feature, boosted trees those used."""
-    model = lambda name: F.lit(name).alias("model")
-    forest, boosted = _importances(spark, sf)
-    table = forest.select(model("RandomForest"), "*").unionAll(
-        boosted.select(model("GradientBoosting"), "*")
-    )
-    return table.groupBy("model").agg(
-        F.round(F.sum("importance"), 6).alias("total"),
-        (F.min("importance") > 0).alias("used_only"),
-        (F.count(F.lit(1)) == F.count_distinct("feature")).alias("each_once"),
-    )
+    """Forests list every feature once, with shares that add up to 1; boosted trees those used
+    once, with mean gains.  Summed up, both node tables say what the models say themselves."""
+    names = _reduced_parts(spark, sf).names
+    tables = []
+    for kind, name in (("forest", "RandomForest"), ("boosted", "GradientBoosting")):
+        model = _model(spark, sf, kind)
+        own = [(i, x) for i, x in enumerate(importance.model_shares(model))]
+        own = spark.createDataFrame(own, "feature int, own double")
+        found = importance.shares(importance.tree_nodes(spark, model), by_tree=kind == "forest")
+        apart = F.abs(F.coalesce("importance", F.lit(0.0)) - F.coalesce("own", F.lit(0.0)))
+        same = own.join(found, "feature", "full").agg((F.max(apart) < 1e-9).alias("as_model"))
+        listed = importance.feature_importance(spark, model, names)
+        value = listed.columns[1]
+        checks = listed.agg(
+            F.lit(name).alias("model"),
+            (F.min(value) > 0).alias("used_only"),
+            (F.count(F.lit(1)) == F.count_distinct("feature")).alias("each_once"),
+        )
+        total = found.agg(F.round(F.sum("importance"), 6).alias("total"))
+        tables.append(checks.join(total).join(same))
+    return tables[0].unionByName(tables[1])
 
 
 def model_report(spark, sf):
-    parts = _parts(spark, sf)
-    models = jobs.fit_models(parts, fit_rows=FIT_ROWS)
+    parts = _reduced_parts(spark, sf)
+    logistic = training.fit_logistic(_fit_rows(parts))
+    models = jobs.Models(
+        logistic, _model(spark, sf, "forest"), _model(spark, sf, "boosted"), parts.components, parts.names
+    )
     return jobs.metrics_table(stage(models.score(parts.test), "scores"))
 
 
-def score_rows(spark, sf):
-    """Each model scores each test row once, with a probability."""
-    parts = _parts(spark, sf)
-    rows = _fit_rows(parts)
-    logistic = training.score(training.fit_logistic(rows), parts.test, "LogisticRegression")
-    forest = training.score(training.fit_forest(rows), parts.test, "RandomForest")
-    scores = logistic.unionByName(forest)
+def _score_checks(scores: DataFrame) -> DataFrame:
     return scores.groupBy("model").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct("job_id").alias("n_ids"),
@@ -586,6 +666,49 @@ def score_rows(spark, sf):
     )
 
 
+def score_rows(spark, sf):
+    """Each model scores each test row once, with a probability: the plain and the calibrated
+    logistic, the forest and the boosted trees."""
+    parts = _reduced_parts(spark, sf)
+    logistic = training.fit_logistic(_fit_rows(parts))
+    scores = training.score(logistic, parts.test, "LogisticRegression")
+    for table in (
+        training.score_calibrated(_model(spark, sf, "calibrated"), parts.test, "Calibrated"),
+        training.score(_model(spark, sf, "forest"), parts.test, "RandomForest"),
+        training.score(_model(spark, sf, "boosted"), parts.test, "GradientBoosting"),
+    ):
+        scores = scores.unionByName(table)
+    return _score_checks(scores)
+
+
+def cross_fitted_rows(spark, sf):
+    """Each row of the fit is scored once, by a model of the other folds."""
+    rows = _fit_rows(_reduced_parts(spark, sf))
+    return _score_checks(
+        training.cross_fitted_scores(rows, training.fit_logistic, "LogisticRegression")
+    )
+
+
+def reloaded_models(spark, sf):
+    """Models that were saved and loaded, components and sigmoids included, score new feature rows
+    as they did before."""
+    parts = _reduced_parts(spark, sf)
+    features = _feature_table(spark, sf)
+    live = jobs.Models(
+        _model(spark, sf, "calibrated"), _model(spark, sf, "forest"), _model(spark, sf, "boosted"),
+        parts.components, parts.names,
+    )
+    path = scratch_path(spark, "models")
+    live.save(spark, path)
+    before = live.score_features(features)
+    after = jobs.Models.load(spark, path).score_features(features)
+    pairs = before.join(after.withColumnRenamed("score", "again"), ["job_id", "model"], "full")
+    same = F.abs(F.col("score") - F.col("again")) < 1e-9
+    return pairs.groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(same).alias("n_same")
+    )
+
+
 # --- evaluation, on a score without a model -------------------------------------
 
 
@@ -642,6 +765,18 @@ def threshold_report(spark, sf):
     )
 
 
+def threshold_report_validation(spark, sf):
+    """Thresholds tuned on the training part, metrics on the test part."""
+    split = training.stratified_split(_label_rows(spark, sf)).select("job_id", "split")
+    scored = stage(index_scores(spark, sf).join(split, "job_id"), "split-scores")
+    table = evaluation.threshold_report(
+        scored.where("split = 'test'"), tune_on=scored.where("split = 'train'")
+    )
+    return table.select(
+        *_rounded("accuracy", "precision", "recall", "f1", "roc_auc"), "model", "threshold"
+    )
+
+
 def index_stats(spark, sf):
     return evaluation.index_stats(_indexed(spark, sf))
 
@@ -704,6 +839,7 @@ QUERIES = {
     "tfidf": tfidf,
     "svd_features": svd_features,
     "svd_energy": svd_energy,
+    "svd_certificate": svd_certificate,
     "assembled_features": assembled_features,
     "stratified_split": stratified_split,
     "class_weights": class_weights,
@@ -711,19 +847,25 @@ QUERIES = {
     "calibration_folds": calibration_folds,
     "lr_scores": lr_scores,
     "lr_balance": lr_balance,
+    "lr_stationarity": lr_stationarity,
     "calibrated_scores": calibrated_scores,
     "calibration_balance": calibration_balance,
+    "bootstrap_weights": bootstrap_weights,
     "rf_scores": rf_scores,
     "gbt_scores": gbt_scores,
     "feature_importance": feature_importance,
+    "gain_importance": gain_importance,
     "importance_sums": importance_sums,
     "model_report": model_report,
     "score_rows": score_rows,
+    "cross_fitted_rows": cross_fitted_rows,
+    "reloaded_models": reloaded_models,
     "classification_metrics": classification_metrics,
     "roc_auc": roc_auc,
     "pr_curve": pr_curve,
     "best_threshold": best_threshold,
     "threshold_report": threshold_report,
+    "threshold_report_validation": threshold_report_validation,
     "index_stats": index_stats,
     "top_value_counts": top_value_counts,
 }

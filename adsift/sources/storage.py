@@ -11,6 +11,7 @@ from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _log = logging.getLogger(__name__)
@@ -90,3 +91,51 @@ def write_table(df: DataFrame, path: str) -> DataFrame:
     """A sink: parquet, replacing what was there."""
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+# --- fitted state ---------------------------------------------------------------
+
+#: The layout that this library writes and reads.
+STATE_VERSION = 1
+_MANIFEST = "path string, bytes bigint, sha256 string, version int, folder string"
+
+
+def _files_of(spark: SparkSession, folder: str) -> DataFrame:
+    """Path below the folder, size and hash of its files; Spark's own marks are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    name = folder.rstrip("/").rsplit("/", 1)[-1]
+    return files.select(
+        F.substring_index("path", f"/{name}/", -1).alias("path"),
+        F.col("length").alias("bytes"),
+        F.sha2("content", 256).alias("sha256"),
+    )
+
+
+@contextmanager
+def saved_state(spark: SparkSession, path: str) -> Iterator[str]:
+    """Gives a new folder for the parts of a fitted state, and commits it at the end.
+
+    The manifest, which names the folder and its files with sizes and hashes, is written
+    last.  Whoever loads meanwhile, or after a save that broke off, gets the state before.
+    """
+    folder = f"state-{uuid.uuid4().hex}"
+    yield f"{path}/{folder}"
+    files = _files_of(spark, f"{path}/{folder}").withColumns(
+        {"version": F.lit(STATE_VERSION), "folder": F.lit(folder)}
+    )
+    rows = [tuple(r) for r in files.collect()]
+    write_table(spark.createDataFrame(rows, _MANIFEST).coalesce(1), f"{path}/manifest")
+
+
+def committed_state(spark: SparkSession, path: str) -> str:
+    """The folder of the state that was committed last; an error if a file of it is missing,
+    cut, changed, or of another version's making."""
+    listed = spark.read.schema(_MANIFEST).parquet(f"{path}/manifest").collect()
+    if not listed or {r["version"] for r in listed} != {STATE_VERSION}:
+        raise ValueError(f"no state of version {STATE_VERSION} in {path}")
+    folder = f"{path}/{listed[0]['folder']}"
+    found = {r["path"]: (r["bytes"], r["sha256"]) for r in _files_of(spark, folder).collect()}
+    wrong = [r["path"] for r in listed if found.get(r["path"]) != (r["bytes"], r["sha256"])]
+    if wrong:
+        raise ValueError(f"the state in {path} is not whole: {sorted(wrong)[:5]}")
+    return folder

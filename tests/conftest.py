@@ -9,6 +9,10 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SMALL = "/root/testdata/sf0.001"
 
 
+def pytest_configure(config):
+    config.addinivalue_line("markers", "slow: full-size model fits")
+
+
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (

@@ -89,7 +89,9 @@ def test_first_version(labelled):
     assert features.count() == 200
 
 
-@pytest.mark.parametrize("options", [{}, {"svd_dim": 5, "calibrate": True}])
+@pytest.mark.parametrize(
+    "options", [{}, {"svd_dim": 5, "calibrate": True}, {"tune_on": "validation"}]
+)
 def test_training_job(spark, built, tmp_path, options):
     tables, _, _ = built
     table = jobs.training_job(
@@ -102,7 +104,7 @@ def test_training_job(spark, built, tmp_path, options):
     }
     for name, r in rows.items():
         assert all(0 <= r[c] <= 1 for c in ("accuracy", "precision", "recall", "f1", "roc_auc"))
-        if name.endswith("_Tuned"):
+        if name.endswith("_Tuned") and "tune_on" not in options:
             assert r["f1"] >= rows[name[:-6]]["f1"] - 1e-9
     assert os.path.isdir(f"{tmp_path}/importance/RandomForest")
 
@@ -135,3 +137,34 @@ def test_a_job_leaves_nothing_staged_and_takes_its_options(spark, built, tmp_pat
         calibrate=True, calibration_share=0.9, trees=2, max_depth=2, rounds=1, max_iter=5,
     )
     assert not os.listdir(tmp_path / "scratch" / "adsift")
+
+
+def test_a_broken_state_is_refused(spark, tmp_path):
+    from adsift.sources import storage
+
+    path = str(tmp_path / "state")
+
+    def save(value):
+        with storage.saved_state(spark, path) as folder:
+            storage.write_table(spark.range(value), f"{folder}/numbers")
+        return folder
+
+    first = save(3)
+    assert storage.committed_state(spark, path) == first
+    # A save that breaks off leaves the state before.
+    with pytest.raises(RuntimeError), storage.saved_state(spark, path) as folder:
+        storage.write_table(spark.range(9), f"{folder}/numbers")
+        raise RuntimeError
+    assert storage.committed_state(spark, path) == first
+    second = save(4)
+    assert storage.committed_state(spark, path) == second != first
+    part = next(f for f in os.listdir(f"{second}/numbers") if f.endswith(".parquet"))
+    with open(f"{second}/numbers/{part}", "ab") as f:
+        f.write(b"x")
+    os.remove(f"{second}/numbers/.{part}.crc")
+    with pytest.raises(ValueError, match="not whole"):
+        storage.committed_state(spark, path)
+    other = spark.createDataFrame([("a", 1, "b", 99, "c")], storage._MANIFEST)
+    storage.write_table(other, f"{path}/manifest")
+    with pytest.raises(ValueError, match="version"):
+        storage.committed_state(spark, path)

@@ -26,12 +26,16 @@ def test_entry(spark):
     assert len(rows) == 9 and rows[0]["count"] >= rows[-1]["count"]
 
 
-# Full-size fits take minutes each; test_training covers them in small, and
-# tools/check_oracles.py runs them as they are.
-FULL_SIZE = {"importance_sums", "calibration_balance", "score_rows"}
+# Full-size fits take minutes: pytest -m "not slow" leaves them out.
+FULL_SIZE = {"importance_sums", "score_rows", "reloaded_models"}
 
 
-@pytest.mark.parametrize("name", sorted(set(spec.oracle_sql()) - FULL_SIZE))
+def _names():
+    slow = lambda name: [pytest.mark.slow] if name in FULL_SIZE else []
+    return [pytest.param(name, marks=slow(name)) for name in sorted(spec.oracle_sql())]
+
+
+@pytest.mark.parametrize("name", _names())
 def test_query(spark, db, name):
     ours = spec.queries()[name](spark, SMALL).toPandas()
     assert not differences(ours, db.sql(spec.oracle_sql()[name]).df())

@@ -6,6 +6,7 @@ import unicodedata
 
 import numpy as np
 import pytest
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from adsift.functions import text
@@ -167,3 +168,44 @@ def test_svd_matches_numpy(spark, documents, monkeypatch):
     projected = reduction.apply_svd(vectors, components).orderBy("job_id").collect()
     assert np.array([r["svd"] for r in projected]) == pytest.approx(matrix @ components, abs=1e-9)
     assert reduction.clamp_rank(300, 40) == 39 and reduction.clamp_rank(5, 1) == 5 - 4
+
+
+def _vectors(spark, rows, parts):
+    made = [(i, Vectors.sparse(6, v)) for i, v in enumerate(rows)]
+    return spark.createDataFrame(made, ["job_id", "tfidf"]).repartition(parts)
+
+
+def test_svd_with_empty_splits_and_empty_rows(spark):
+    rows = [{0: 1.0, 1: 2.0}, {2: 1.0}, {}]
+    for df in (_vectors(spark, rows, 12), _vectors(spark, rows, 1)):
+        found = reduction.fit_svd(df, 6, rank=2)
+        assert found.shape == (6, 2)
+        assert np.abs(found.T @ found - np.eye(2)).max() < 1e-9
+    nothing = reduction.fit_svd(_vectors(spark, [{}, {}], 4), 6, rank=2)
+    assert nothing.shape == (6, 2)
+
+
+def test_certificate_finds_wrong_components(spark):
+    draw = np.random.default_rng(4)
+    rows = [{j: float(x) for j, x in enumerate(draw.random(6))} for _ in range(30)]
+    df = _vectors(spark, rows, 3)
+    dense = np.array([[r.get(j, 0.0) for j in range(6)] for r in rows])
+    right = reduction.fit_svd(df, 6, rank=3, tolerance=1e-8, most_iterations=200)
+    got = reduction.certify(df, right).toPandas()
+    assert got["energy"].to_numpy() == pytest.approx(np.linalg.svd(dense)[1][:3] ** 2)
+    assert got["residual"].max() < 1e-6 and got["overlap"].max() < 1e-9
+    turned = right.copy()
+    turned[:, 0] = (right[:, 0] + right[:, 1]) / 2**0.5
+    wrong = reduction.certify(df, turned).toPandas()
+    assert wrong["residual"][0] > 1 and wrong["overlap"][1] > 0.5
+
+
+def test_svd_goes_on_until_it_is_certified(spark):
+    draw = np.random.default_rng(5)
+    rows = [Vectors.sparse(40, {j: float(x) for j, x in enumerate(draw.random(40))}) for _ in range(80)]
+    df = spark.createDataFrame(list(enumerate(rows)), ["job_id", "tfidf"]).repartition(3)
+    found = reduction.fit_svd(df, 40, rank=3, iterations=0, tolerance=1e-4, most_iterations=60)
+    got = reduction.certify(df, found).toPandas()
+    assert got["residual"].max() <= 1e-4 * got["energy"].max() * (1 + 1e-6)
+    with pytest.raises(ValueError):
+        reduction.fit_svd(df, 40, rank=3, iterations=0, tolerance=1e-12, most_iterations=1)
