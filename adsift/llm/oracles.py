@@ -126,23 +126,28 @@ FROM p LEFT JOIN m ON p.page_id = m.page_id
 """
 
 _RATES = ("symbol_rate", "line_rate", "repeat_rate", "long_rate")
-_LEAST = (0.05, 0.4, 0.35, 12.0)
+_EPSILON = (0.02, 0.02, 0.02, 0.1)
+# Of repeated lines and words only the documents that have some.
+_VALUES = [f"CASE WHEN {r} > 0 THEN {r} END" if r in ("line_rate", "repeat_rate") else r for r in _RATES]
 
 
-def _quartile(rate: str, share: float) -> str:
-    return f"list_sort(list({rate}))[CAST(greatest(ceil(count(*) * {share}), 1) AS INT)]"
+def _quartile(value: str, share: float) -> str:
+    listed = f"list_sort(list({value}) FILTER (WHERE ({value}) IS NOT NULL))"
+    return f"{listed}[CAST(greatest(ceil(count({value}) * {share}), 1) AS INT)]"
 
 
-def _fences(level: str) -> str:
+def _fences(level: str, least: int) -> str:
     return ", ".join(
-        f"greatest({_quartile(r, 0.75)} + 6.0 * ({_quartile(r, 0.75)} - {_quartile(r, 0.5)}),"
-        f" CAST({least} AS DOUBLE)) AS {r}_{level}"
-        for r, least in zip(_RATES, _LEAST)
+        f"CASE WHEN count({v}) >= {least} THEN {_quartile(v, 0.75)} + greatest("
+        f"8.0 * ({_quartile(v, 0.75)} - {_quartile(v, 0.5)}), CAST({e} AS DOUBLE)) END AS {r}_{level}"
+        for r, v, e in zip(_RATES, _VALUES, _EPSILON)
     )
 
 
-def _within(rate: str, least: float) -> str:
-    return f"{rate} <= coalesce({rate}_s, {rate}_l, {rate}_a, CAST({least} AS DOUBLE))"
+def _within(rate: str) -> str:
+    language = f"CASE WHEN {rate}_l IS NULL THEN {rate}_a ELSE least({rate}_l, 1.5 * {rate}_a) END"
+    fence = f"CASE WHEN {rate}_s IS NULL THEN {language} ELSE least({rate}_s, 1.5 * ({language})) END"
+    return f"coalesce({rate} <= {fence}, true)"
 
 
 OP10 = f"""
@@ -176,11 +181,11 @@ m AS (
     word_chars / greatest(n_words, 1) AS long_rate
   FROM c),
 ok AS (SELECT * FROM m WHERE NOT base_failed),
-by_source AS (SELECT lang, source, {_fences('s')} FROM ok GROUP BY 1, 2 HAVING count(*) >= 100),
-by_lang AS (SELECT lang, {_fences('l')} FROM ok GROUP BY 1 HAVING count(*) >= 100),
-by_all AS (SELECT {_fences('a')} FROM ok HAVING count(*) > 0)
+by_source AS (SELECT lang, source, {_fences('s', 100)} FROM ok GROUP BY 1, 2),
+by_lang AS (SELECT lang, {_fences('l', 100)} FROM ok GROUP BY 1),
+by_all AS (SELECT {_fences('a', 1)} FROM ok)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND {' AND '.join(_within(r, least) for r, least in zip(_RATES, _LEAST))} AS kept
+  NOT base_failed AND {' AND '.join(map(_within, _RATES))} AS kept
 FROM m
 LEFT JOIN by_source s ON m.lang IS NOT DISTINCT FROM s.lang AND m.source IS NOT DISTINCT FROM s.source
 LEFT JOIN by_lang l ON m.lang IS NOT DISTINCT FROM l.lang

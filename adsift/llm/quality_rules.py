@@ -4,8 +4,10 @@ Fixed cutoffs fit one language and one kind of source.  Here each rule's cutoff
 a fence over the values that the language and source really have: the upper
 quartile plus a multiple of the distance to the median, from mergeable quantile
 sketches (Greenwald-Khanna; one for each language and source, each language, and
-all).  A group with few documents uses the cutoffs of the next level.  Then every
-document is joined with its group's cutoffs.
+all).  Most texts repeat nothing, so for repeated lines and words the quartiles are those
+of the texts that do.  A group with few values uses the fence of the next level, and no
+group's fence is far above that of the next level, so a source full of junk does not lift
+its own.  Then every document is joined with its group's cutoffs.
 
 Sketches are small and fold in each task before the shuffle, so a source with a
 third of all rows is no hot key.  Only DataFrame functions are used.
@@ -23,13 +25,17 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 #: Rank error of a sketch is at most 1 / ACCURACY of the group's rows.
 ACCURACY = 10_000
-#: Groups below this use the next level: language, then all documents.
+#: Sketches of fewer values leave it to the next level: language, then all documents.
 LEAST_ROWS = 100
 #: Fence: upper quartile + SPREAD x (upper quartile - median).
-SPREAD = 6.0
-#: A fence is never tighter than this, so groups without any spread keep normal texts.
-LEAST_FENCE = {"symbol_rate": 0.05, "line_rate": 0.4, "repeat_rate": 0.35, "long_rate": 12.0}
-RATES = tuple(LEAST_FENCE)
+SPREAD = 8.0
+#: What a value may be above the quartile at least, where the quartiles are (nearly) equal.
+EPSILON = {"symbol_rate": 0.02, "line_rate": 0.02, "repeat_rate": 0.02, "long_rate": 0.1}
+RATES = tuple(EPSILON)
+#: Rates that are zero for most texts; their sketches hold the others.
+SPARSE = ("line_rate", "repeat_rate")
+#: A fence is at most so many times that of the next level.
+MOST_ABOVE = 1.5
 SYMBOLS = r"[^#*$%&|<>]+"
 
 
@@ -111,29 +117,30 @@ def with_rates(measured: DataFrame) -> DataFrame:
 
 
 def fences(rated: DataFrame) -> DataFrame:
-    """``(lang, source, level, n_rows, <rate>_fence...)`` for the documents that pass the
-    base rules: level 0 for each language and source, 1 for each language, 3 for all."""
+    """``(l, ln, s, sn, gid, <rate>_n, <rate>_median, <rate>_upper, <rate>_fence ...)`` of the
+    documents that pass the base rules: a row for each language and source (gid 0), for
+    each language (3) and for all (15)."""
     marked = rated.where(~F.col("base_failed")).withColumns(
         {"l": F.coalesce("lang", F.lit("")), "s": F.coalesce("source", F.lit("")),
          "ln": F.col("lang").isNull(), "sn": F.col("source").isNull()}
     )
-    quarters = {
-        c: F.percentile_approx(c, F.array(F.lit(0.5), F.lit(0.75)), F.lit(ACCURACY)).alias(c)
-        for c in RATES
-    }
+    sums = []
+    for c in RATES:
+        value = F.when(F.col(c) > 0, F.col(c)) if c in SPARSE else F.col(c)
+        quarters = F.percentile_approx(value, F.array(F.lit(0.5), F.lit(0.75)), F.lit(ACCURACY))
+        sums += [F.count(value).alias(f"{c}_n"), quarters.alias(c)]
     levels = [["l", "ln", "s", "sn"], ["l", "ln"], []]
-    columns = [F.col(c) for c in levels[0]]
-    grouped = marked.groupingSets([[F.col(c) for c in keys] for keys in levels], *columns)
-    sums = grouped.agg(
-        F.grouping_id().alias("gid"), F.count(F.lit(1)).alias("n_rows"), *quarters.values()
+    grouped = marked.groupingSets(
+        [[F.col(c) for c in keys] for keys in levels], *[F.col(c) for c in levels[0]]
     )
-    fence = {
-        f"{c}_fence": F.greatest(
-            F.col(c)[1] + SPREAD * (F.col(c)[1] - F.col(c)[0]), F.lit(LEAST_FENCE[c])
+    found = grouped.agg(F.grouping_id().alias("gid"), *sums)
+    for c in RATES:
+        middle, upper = F.col(c)[0], F.col(c)[1]
+        spread = F.greatest(SPREAD * (upper - middle), F.lit(EPSILON[c]))
+        found = found.withColumns(
+            {f"{c}_median": middle, f"{c}_upper": upper, f"{c}_fence": upper + spread}
         )
-        for c in RATES
-    }
-    return sums.withColumns(fence).drop(*RATES)
+    return found.drop(*RATES)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -141,18 +148,19 @@ def judge(docs: DataFrame) -> DataFrame:
 
     A document is kept if it passes the base rules and no rate is above the
     fence of its language and source (of its language, or of all documents,
-    where these have fewer than ``LEAST_ROWS`` documents that pass the base
-    rules).  Null languages and sources are groups of their own.
+    where the sketch has fewer than ``LEAST_ROWS`` values).  Null languages and
+    sources are groups of their own, null and empty texts fail the base rules, repeated rows
+    count and are judged as often as they are there, and an empty table has no rows.
     """
     rated = with_rates(stage(measures(docs), "rule-measures"))
     table = stage(fences(rated), "rule-fences")
-    names = [f"{c}_fence" for c in RATES]
     whole = table.where(F.col("gid") == 15).first()
-    default = {n: whole[n] if whole else LEAST_FENCE[n.removesuffix("_fence")] for n in names}
 
     def level(gid: int, *keys: str) -> DataFrame:
-        enough = table.where((F.col("gid") == gid) & (F.col("n_rows") >= LEAST_ROWS))
-        return enough.select(*keys, *[F.col(n).alias(f"{n}{gid}") for n in names])
+        sure = [
+            F.when(F.col(f"{c}_n") >= LEAST_ROWS, F.col(f"{c}_fence")).alias(f"{c}{gid}") for c in RATES
+        ]
+        return table.where(F.col("gid") == gid).select(*keys, *sure)
 
     joined = (
         rated.withColumns(
@@ -162,10 +170,17 @@ def judge(docs: DataFrame) -> DataFrame:
         .join(level(0, "l", "ln", "s", "sn"), ["l", "ln", "s", "sn"], "left")
         .join(level(3, "l", "ln"), ["l", "ln"], "left")
     )
+
+    def held(own: Column, above: Column) -> Column:
+        return F.when(own.isNull(), above).otherwise(F.least(own, above * MOST_ABOVE))
+
     inside = F.lit(True)
     for c in RATES:
-        n = f"{c}_fence"
-        inside = inside & (F.col(c) <= F.coalesce(F.col(f"{n}0"), F.col(f"{n}3"), F.lit(default[n])))
+        # Without a value there is nothing to judge by, nor anything to judge.
+        fence = F.lit(whole[f"{c}_fence"] if whole else None).cast("double")
+        for gid in (3, 0):
+            fence = held(F.col(f"{c}{gid}"), fence)
+        inside = inside & F.coalesce(F.col(c) <= fence, F.lit(True))
     return joined.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"),

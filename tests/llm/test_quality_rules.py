@@ -29,19 +29,27 @@ def brute(rows, least):
         failed = n < 50 or 100 * repeat > 50 * n
         rates = (symbols / max(chars, 1), dup / max(lines, 1), repeat / max(n, 1), chars / max(n, 1))
         data.append((i, lang, source, (n, chars, symbols, dup, repeat), failed, rates))
-    floors = list(quality_rules.LEAST_FENCE.values())
+    names = quality_rules.RATES
 
     def fence(group, k):
-        values = sorted(d[5][k] for d in group)
+        values = sorted(d[5][k] for d in group if d[5][k] > 0 or names[k] not in quality_rules.SPARSE)
+        if not values:
+            return 0, None
         at = lambda q: values[max(math.ceil(len(values) * q), 1) - 1]
-        return max(at(0.75) + quality_rules.SPREAD * (at(0.75) - at(0.5)), floors[k])
+        spread = max(quality_rules.SPREAD * (at(0.75) - at(0.5)), quality_rules.EPSILON[names[k]])
+        return len(values), at(0.75) + spread
 
     good = [d for d in data if not d[4]]
     out = []
     for d in data:
-        groups = [[g for g in good if g[1:3] == d[1:3]], [g for g in good if g[1] == d[1]]]
-        group = next((g for g in groups if len(g) >= least), good)
-        kept = not d[4] and all(d[5][k] <= (fence(group, k) if group else floors[k]) for k in range(4))
+        kept = not d[4]
+        for k in range(4):
+            _, limit = fence(good, k)
+            for group in ([g for g in good if g[1] == d[1]], [g for g in good if g[1:3] == d[1:3]]):
+                n, own = fence(group, k)
+                if n >= least and own is not None:
+                    limit = min(own, quality_rules.MOST_ABOVE * limit)
+            kept = kept and (limit is None or d[5][k] <= limit)
         out.append((d[0], d[1], d[2], *d[3], d[4], kept))
     return sorted(out, key=str)
 
@@ -75,3 +83,39 @@ def test_as_plain_python(spark, monkeypatch, n, least):
 
 def test_empty_table(spark):
     assert quality_rules.judge(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def _text(rng, length, symbols=0):
+    words = ["".join(rng.choice("abcdefghij") for _ in range(length + rng.randint(-2, 2))) for _ in range(80)]
+    return " ".join(words) + " #" * symbols
+
+
+def test_fences_follow_language_and_source(spark):
+    """What is long for one language is usual in another; no constant tells them apart."""
+    rng = random.Random(8)
+    rows = [(i, lang, "s", _text(rng, length), "x", 1) for i, (lang, length) in enumerate([("a", 5), ("b", 7)] * 150)]
+    rows += [(900, "a", "s", _text(rng, 7), "x", 1), (901, "b", "s", _text(rng, 7), "x", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(docs).collect()}
+    assert kept[901] and not kept[900]
+    table = quality_rules.fences(quality_rules.with_rates(quality_rules.measures(docs))).collect()
+    fence = {r["l"]: r["long_rate_fence"] for r in table if r["gid"] == 0}
+    assert fence["b"] - fence["a"] > 1.5
+    # The sketch's spread, not the epsilon, made both.
+    assert all(r["long_rate_fence"] - r["long_rate_upper"] > quality_rules.EPSILON["long_rate"] for r in table)
+
+
+def test_a_source_of_junk_does_not_lift_its_own_fence(spark):
+    rng = random.Random(9)
+    rows = [(i, "a", f"s{i % 4}", _text(rng, 5), "x", 1) for i in range(600)]
+    rows += [(1000 + i, "a", "junk", _text(rng, 5, 20 + i % 60), "x", 1) for i in range(150)]
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert sum(kept[i] for i in range(600)) >= 595
+    assert not any(kept[1000 + i] for i in range(150))
+
+
+def test_very_long_text(spark):
+    rng = random.Random(10)
+    rows = [(0, "a", "s", " ".join(_text(rng, 5) for _ in range(2500)), "x", 1)]
+    row = quality_rules.judge(spark.createDataFrame(rows, SCHEMA)).first()
+    assert row["n_words"] == 200_000 and row["kept"]
