@@ -42,7 +42,7 @@ def label_job(
     """
     unique = source.dedup_postings(source.tolerant_schema(postings))
     if "job_id" in unique.columns:
-        keyed = source.require_keys(stage(unique, "unique-postings"))
+        keyed = source.require_keys(stage(unique.drop(source.PLACE), "unique-postings"))
     else:
         keyed = source.surrogate_key(unique)
     return labeling.tune_label(labeling.label_postings(keyed, desc_threshold, min_flags))

@@ -459,6 +459,12 @@ ORACLES = {
     " '' AS job_portal, CAST(NULL AS VARCHAR) AS salary_range FROM documents",
     "surrogate_key": "SELECT count(*) AS n_rows, 1 AS first_id, count(*) AS last_id,"
     " count(*) AS n_ids FROM documents",
+    "file_order_keys": _chain(
+        """SELECT row_number() OVER (ORDER BY first_id) AS job_id, job_title, company_name,
+        md5(coalesce(job_description, '')) AS text_md5
+        FROM (SELECT * EXCLUDE (job_id), min(job_id) AS first_id FROM p GROUP BY ALL)""",
+        *BASE,
+    ),
     "default_label": "SELECT doc_id AS job_id, 0 AS fake_label FROM documents",
     "dedup_postings": _chain("SELECT DISTINCT * FROM rep", *BASE, REPEATED),
     "dedup_counts": _chain(

@@ -80,6 +80,21 @@ def surrogate_key(spark, sf):
     )
 
 
+def file_order_keys(spark, sf):
+    """Keys of a keyless input of several files that holds every posting twice, the second time
+    in reverse: the first of all copies stays, and numbers follow the files."""
+    path = scratch_path(spark, "export")
+    rows = postings(spark, sf)
+    for folder, order in (("first", F.asc("job_id")), ("second", F.desc("job_id"))):
+        rows.orderBy(order).drop("job_id").write.parquet(f"{path}/{folder}")
+    read = source.scan_postings(spark, [f"{path}/first", f"{path}/second"], keep_order=True)
+    keyed = source.surrogate_key(source.dedup_postings(source.tolerant_schema(read)))
+    return keyed.select(
+        "job_id", "job_title", "company_name",
+        F.md5(F.coalesce("job_description", F.lit(""))).alias("text_md5"),
+    )
+
+
 def default_label(spark, sf):
     return source.default_label(postings(spark, sf)).select("job_id", "fake_label")
 
@@ -793,6 +808,7 @@ QUERIES = {
     "scan_csv": scan_csv,
     "absent_columns": absent_columns,
     "surrogate_key": surrogate_key,
+    "file_order_keys": file_order_keys,
     "default_label": default_label,
     "dedup_postings": dedup_postings,
     "dedup_counts": dedup_counts,

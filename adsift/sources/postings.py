@@ -8,6 +8,8 @@ from pyspark.sql import types as T
 
 from adsift.functions import fixed_values as fixed
 from adsift.operators.bitmap import may_contain
+from adsift.operators.ordered import running_totals
+from adsift.sources.records import read_csv
 from adsift.sources.storage import stage
 
 POSTING_SCHEMA = T.StructType(
@@ -16,24 +18,50 @@ POSTING_SCHEMA = T.StructType(
         for name in fixed.SOURCE_COLUMNS.values()
     ]
 )
+#: A row's place in the files it was read from.
+PLACE = "_place"
 # Rows of one partition that its ids leave room for.
 _ROW_BITS = 33
 
 
 def scan_postings(
-    spark: SparkSession, path: str, fmt: str = "parquet", multi_line: bool = False
+    spark: SparkSession,
+    path: str | list[str],
+    fmt: str = "parquet",
+    multi_line: bool = False,
+    keep_order: bool = False,
 ) -> DataFrame:
     """Postings of a parquet or CSV location under their canonical names.
 
     CSV files are split at their lines; pass ``multi_line=True`` for exports whose
-    quoted fields span lines, which makes each file one task.  All CSV columns
-    are read as text, so no pass is spent on inferring types.
+    quoted fields span lines, which takes a pass more.  All CSV columns are read as text, so
+    none is spent on inferring types.  ``keep_order`` adds each row's place in the
+    files, by which dedup and keys then go.
     """
+    if fmt == "csv" and multi_line:
+        return canonical_names(read_csv(spark, path, PLACE if keep_order else None))
     if fmt == "csv":
-        df = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
+        df = spark.read.csv(path, header=True, escape='"')
     else:
         df = spark.read.format(fmt).load(path)
-    return canonical_names(df)
+    return canonical_names(df.withColumn(PLACE, file_place(fmt)) if keep_order else df)
+
+
+def file_place(fmt: str) -> Column:
+    """Where a row stands: file, start of its split and place in that, whatever the split size.
+
+    Parquet numbers the rows of a file.  For text files the split's first byte is known, and
+    generated ids grow along it, since a split is read by one task in order.  Files go
+    by their paths.
+    """
+    meta = F.col("_metadata")
+    if fmt == "parquet":
+        start, row = F.lit(0).cast("long"), meta["row_index"]
+    else:
+        start, row = meta["file_block_start"], F.monotonically_increasing_id()
+    return F.struct(
+        meta["file_path"].alias("path"), start.alias("start"), row.cast("long").alias("row")
+    )
 
 
 def canonical_names(df: DataFrame) -> DataFrame:
@@ -62,14 +90,19 @@ def tolerant_schema(df: DataFrame) -> DataFrame:
 def surrogate_key(df: DataFrame) -> DataFrame:
     """``job_id`` 1..n in file order, where the input has none.
 
-    The rows are written first, since their places must not change between the
-    two passes.  A generated id holds the partition and the row's place in it;
-    adding the row counts of all earlier partitions makes the numbers
-    consecutive without moving a row.  Only the counts are joined back, one row
-    for each partition.
+    Rows that know their places are numbered by them: they are range-partitioned by
+    place and the counts of earlier ranges added.  Others are numbered as they lie: the
+    rows are written first, since their places must not change between the two passes.  A
+    generated id holds the partition and the row's place in it; adding the row counts
+    of all earlier partitions makes the numbers consecutive without moving a row.  Only
+    the counts are joined back, one row for each partition.
     """
     if "job_id" in df.columns:
-        return df
+        return df.drop(PLACE) if PLACE in df.columns else df
+    if PLACE in df.columns:
+        ordered = df.withColumn("_one", F.lit(1).cast("long"))
+        numbered = running_totals(ordered, [F.col(PLACE)], {"job_id": "_one"})
+        return numbered.drop(PLACE, "_one")
     placed = stage(df.withColumn("_place", F.monotonically_increasing_id()), "placed")
     partition = F.shiftright("_place", _ROW_BITS)
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +138,11 @@ def default_label(df: DataFrame) -> DataFrame:
 def row_digest(df: DataFrame) -> Column:
     """256 bits for a whole row: the JSON of its fields tells nulls, which it leaves
     out, from any text."""
-    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in _own_columns(df)])), 256)
+
+
+def _own_columns(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c != PLACE]
 
 
 def _digest_counts(df: DataFrame) -> DataFrame:
@@ -115,7 +152,8 @@ def _digest_counts(df: DataFrame) -> DataFrame:
 
 
 def dedup_postings(df: DataFrame) -> DataFrame:
-    """One of each set of equal rows, nulls being equal.
+    """One of each set of equal rows, nulls being equal; the first one, if rows know their
+    places in the files.
 
     Digests are counted first.  Rows whose digest stands once, most of them, pass
     through where they are; only those that may have a copy are regrouped whole,
@@ -123,7 +161,11 @@ def dedup_postings(df: DataFrame) -> DataFrame:
     """
     repeated = _digest_counts(df).where(F.col("copies") > 1).select("digest")
     may_repeat = may_contain(repeated, row_digest(df))
-    return df.where(~may_repeat).unionAll(df.where(may_repeat).dropDuplicates())
+    able = df.where(may_repeat)
+    if PLACE not in df.columns:
+        return df.where(~may_repeat).unionAll(able.dropDuplicates())
+    first = able.groupBy(*[f"`{c}`" for c in _own_columns(df)]).agg(F.min(PLACE).alias(PLACE))
+    return df.where(~may_repeat).unionByName(first)
 
 
 def dedup_counts(df: DataFrame) -> DataFrame:

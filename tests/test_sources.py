@@ -1,7 +1,9 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from adsift.sources import postings, storage
+from adsift.sources import postings, records, storage
 from conftest import column, posting_rows
 
 
@@ -129,3 +131,70 @@ def test_scratch_dir_leaves_the_session_as_it_is(spark):
     for bad in (Fake("spark://host"), Fake("spark://host", **{key: "/tmp/x"})):
         with pytest.raises(ValueError):
             storage.scratch_dir(bad)
+
+
+def test_first_copies_are_numbered_in_file_order(spark, tmp_path):
+    """Files of different sizes, read in splits of any size, copies near and far."""
+    draw = random.Random(6)
+    titles = [f"title {draw.randint(0, 400)}" for _ in range(1500)] + [None, None]
+    for name, a, b in (("a", 0, 40), ("b", 40, 1200), ("c", 1200, 1300), ("d", 1300, len(titles))):
+        with open(tmp_path / f"{name}.csv", "w") as f:
+            f.write("Job Title,Company Name\n")
+            f.writelines(f"{'' if t is None else t},x\n" for t in titles[a:b])
+    want = list(dict.fromkeys(titles))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("1k", "7k", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            df = postings.scan_postings(spark, str(tmp_path), "csv", keep_order=True)
+            unique = postings.dedup_postings(df)
+            rows = postings.surrogate_key(unique).orderBy("job_id").collect()
+            assert [r["job_id"] for r in rows] == list(range(1, len(want) + 1))
+            assert [r["job_title"] for r in rows] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_places_in_parquet_files(spark, tmp_path):
+    spark.range(300).withColumn("x", F.col("id") % 50).coalesce(1).write.parquet(str(tmp_path / "p"))
+    df = postings.scan_postings(spark, str(tmp_path / "p"), keep_order=True)
+    rows = postings.surrogate_key(postings.dedup_postings(df.drop("id"))).orderBy("job_id").collect()
+    assert [(r["job_id"], r["x"]) for r in rows] == [(i + 1, i) for i in range(50)]
+    # Keys that are there stay, and the place goes.
+    assert postings.surrogate_key(df.withColumnRenamed("id", "job_id")).columns == ["job_id", "x"]
+
+
+@pytest.mark.parametrize("size", ["300b", "4k", "1m"])
+def test_records_that_span_lines_and_splits(spark, tmp_path, size):
+    """As Spark's own reader, which takes a file as one task, whatever the split size."""
+    draw = random.Random(7)
+    fields = ["plain", 'say ""hi""', "two\nlines", "a,b", "", "\n\n", "é" * 30, '""', "x\r\ny", "long\nline" * 20]
+
+    def field():
+        text = draw.choice(fields)
+        return f'"{text}"' if any(c in text for c in ',"\n') or draw.random() < 0.3 else text
+
+    for name, n in (("a", 15), ("b", 1), ("c", 30)):
+        with open(tmp_path / f"{name}.csv", "w", newline="") as f:
+            f.write('Job Title,"Company\nName",Extra\n')
+            f.write("\n".join(f"{name}{i},{field()},{field()}" for i in range(n)) + "\n" * (name == "a"))
+    want = spark.read.csv(str(tmp_path), header=True, multiLine=True, escape='"')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = records.read_csv(spark, str(tmp_path), "place")
+        rows = got.orderBy("place").collect()
+        assert records.csv_records(spark, str(tmp_path)).select("path", "start").distinct().count() > (3 if size[-1] == "b" else 0)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got.columns[:3] == want.columns
+    assert [r["Job Title"] for r in rows] == [f"{f}{i}" for f, n in (("a", 15), ("b", 1), ("c", 30)) for i in range(n)]
+    assert sorted(map(str, (tuple(r)[:3] for r in rows))) == sorted(map(str, (tuple(r) for r in want.collect())))
+
+
+def test_records_that_end_with_both_characters(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b'Job Title,Extra\r\n"x\r\ny",\r\nz,1\r\n\r\n')
+    rows = records.read_csv(spark, str(tmp_path), "place").orderBy("place").collect()
+    assert [tuple(r)[:2] for r in rows] == [("x\r\ny", None), ("z", "1")]
