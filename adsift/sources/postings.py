@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from adsift.functions import fixed_values as fixed
-from adsift.operators.bitmap import may_contain
+from adsift.operators.bitmap import marked, member_bits
 from adsift.operators.ordered import running_totals
 from adsift.sources.records import read_csv
 from adsift.sources.storage import stage
@@ -20,6 +20,7 @@ POSTING_SCHEMA = T.StructType(
 )
 #: A row's place in the files it was read from.
 PLACE = "_place"
+_REPEATS = "_may_repeat"
 # Rows of one partition that its ids leave room for.
 _ROW_BITS = 33
 
@@ -160,12 +161,13 @@ def dedup_postings(df: DataFrame) -> DataFrame:
     copies folding within each task before the shuffle.
     """
     repeated = _digest_counts(df).where(F.col("copies") > 1).select("digest")
-    may_repeat = may_contain(repeated, row_digest(df))
-    able = df.where(may_repeat)
+    flagged = marked(df, member_bits(repeated), row_digest(df), _REPEATS)
+    once = flagged.where(~F.col(_REPEATS)).drop(_REPEATS)
+    able = flagged.where(_REPEATS).drop(_REPEATS)
     if PLACE not in df.columns:
-        return df.where(~may_repeat).unionAll(able.dropDuplicates())
+        return once.unionAll(able.dropDuplicates())
     first = able.groupBy(*[f"`{c}`" for c in _own_columns(df)]).agg(F.min(PLACE).alias(PLACE))
-    return df.where(~may_repeat).unionByName(first)
+    return once.unionByName(first)
 
 
 def dedup_counts(df: DataFrame) -> DataFrame:
