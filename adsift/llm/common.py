@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from adsift.operators.bitmap import may_contain as may_contain
+from adsift.operators.bitmap import marked as marked
+from adsift.operators.bitmap import member_bits as member_bits
 from adsift.sources.storage import scratch_path as scratch_path
 from adsift.sources.storage import stage as stage
 
@@ -98,14 +99,15 @@ def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     own = own_columns(docs, doc_id="long", text="string")
     names = [private(docs, n) for n in ("_id", "_digest", "_stays")]
     ident, digest, stays = names
+    hit = private(docs, "_hit")
     asked = F.coalesce(own["doc_id"], F.lit(NO_ID))
-    hit = may_contain(gone, asked)
+    flagged = marked(docs, member_bits(gone), asked, hit)
     kept = [F.col(f"`{c}`") for c in docs.columns]
-    able = docs.where(hit).withColumns({ident: asked, digest: text_digest(own["text"])})
+    able = flagged.where(F.col(hit)).withColumns({ident: asked, digest: text_digest(own["text"])})
     joined = able.join(gone.toDF(*names), [ident, digest], "left")
     once = joined.where(F.col(stays)).dropDuplicates([ident, digest])
     return (
-        docs.where(~hit).select(*kept)
+        flagged.where(~F.col(hit)).select(*kept)
         .unionAll(joined.where(F.col(stays).isNull()).select(*kept))
         .unionAll(once.select(*kept))
     )

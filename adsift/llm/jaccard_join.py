@@ -23,11 +23,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from adsift.operators.bitmap import MemberBits
 from adsift.llm.common import (
     NO_ID,
     ascii_lower,
     joined_runs,
-    may_contain,
+    marked,
+    member_bits,
     own_columns,
     space_words,
     stage,
@@ -124,7 +126,7 @@ def _first_prefix(percent: int) -> tuple[Column, Column]:
     return F.expr(f"int({length})"), F.expr(f"int(({FIRST_EXTRA} * {least}) div 100 + 1)")
 
 
-def _classes(sets: DataFrame, odd: Column) -> tuple[DataFrame, DataFrame]:
+def _classes(sets: DataFrame, odd: MemberBits) -> tuple[DataFrame, DataFrame]:
     """The classes ``(d1, d2, id, tag)``, and one row ``(id, tag, n, prefix)`` of each.
 
     A class is named by its least id, and by a digest where ``odd`` says that rows
@@ -132,17 +134,20 @@ def _classes(sets: DataFrame, odd: Column) -> tuple[DataFrame, DataFrame]:
     """
     keyed = sets.where(F.col("n") > 0).withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
     found = keyed.groupBy("d1", "d2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("members"))
-    found = stage(found.withColumn("tag", _tag(odd)), "join-classes")
-    hit = may_contain(found.where(F.col("members") > 1).select("d1"), F.col("d1"))
+    found = stage(_tagged(found, odd), "join-classes")
+    shared = member_bits(found.where(F.col("members") > 1).select("d1"))
+    keyed = marked(keyed, shared, F.col("d1"), "hit")
     kept = ["id", "tag", "n", "prefix"]
-    several = keyed.where(hit).join(found.select("d1", "d2", "id", "tag"), ["d1", "d2", "id"])
-    single = keyed.where(~hit).withColumn("tag", _tag(odd))
+    several = keyed.where("hit").join(found.select("d1", "d2", "id", "tag"), ["d1", "d2", "id"])
+    single = _tagged(keyed.where(~F.col("hit")), odd)
     rows = single.select(*kept).unionAll(several.dropDuplicates(["d1", "d2"]).select(*kept))
     return found, rows
 
 
-def _tag(odd: Column) -> Column:
-    return F.when(odd, F.col("d1")).otherwise(F.lit(0).cast("long"))
+def _tagged(classes: DataFrame, odd: MemberBits) -> DataFrame:
+    """With a column ``odd``, whether rows may share the id, and the tag for this case."""
+    tag = F.when(F.col("odd"), F.col("d1")).otherwise(F.lit(0).cast("long"))
+    return marked(classes, odd, F.col("id"), "odd").withColumn("tag", tag)
 
 
 def _survivors(classes: DataFrame, percent: int) -> DataFrame:
@@ -159,18 +164,17 @@ def _survivors(classes: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _whole_sets(docs: DataFrame, kept: DataFrame, odd: Column, words: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, kept: DataFrame, odd: MemberBits, words: int) -> DataFrame:
     """``(c, n, set)`` of the classes that stay, from the text of one member each."""
     own = own_columns(docs, doc_id="long", text="string")
     able = docs.select(F.coalesce(own["doc_id"], F.lit(NO_ID)).alias("id"), own["text"].alias("text"))
-    able = able.where(may_contain(kept.select("id"), F.col("id")))
-    texts = able.join(kept.select("id").distinct(), "id", "left_semi")
+    able = marked(able, member_bits(kept.select("id")), F.col("id"), "hit")
+    texts = able.where("hit").join(kept.select("id").distinct(), "id", "left_semi")
     sets = _digests(shingle_sets(texts.select(F.col("id").alias("doc_id"), "text"), words))
-    sets = sets.withColumnRenamed("doc_id", "id").withColumn("tag", _tag(odd))
-    sets = sets.select("id", "tag", "n", "set")
+    sets = _tagged(sets.withColumnRenamed("doc_id", "id"), odd).select("id", "tag", "n", "set", "odd")
     # An id of one row names its class; only others need the digest and may repeat.
-    several = sets.where(odd).join(kept, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
-    once = sets.where(~odd).unionAll(several)
+    several = sets.where("odd").join(kept, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
+    once = sets.where(~F.col("odd")).unionByName(several)
     return once.select(F.struct("id", "tag").alias("c"), "n", "set")
 
 
@@ -305,7 +309,7 @@ def _prepared(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     sets = stage(sets.withColumn("prefix", short).drop("set"), "join-sets")
     ident = F.coalesce("doc_id", F.lit(NO_ID))
     repeated = sets.groupBy(ident.alias("id")).count().where(F.col("count") > 1).select("id")
-    odd = may_contain(repeated, F.col("id"))
+    odd = member_bits(repeated)
     classes, rows = _classes(sets, odd)
     kept = stage(_survivors(rows, percent), "join-kept")
     whole = stage(_whole_sets(docs, kept, odd, words), "join-whole")
