@@ -170,11 +170,18 @@ def _whole_sets(docs: DataFrame, kept: DataFrame, odd: MemberBits, words: int) -
     able = docs.select(F.coalesce(own["doc_id"], F.lit(NO_ID)).alias("id"), own["text"].alias("text"))
     able = marked(able, member_bits(kept.select("id")), F.col("id"), "hit")
     texts = able.where("hit").join(kept.select("id").distinct(), "id", "left_semi")
-    sets = _digests(shingle_sets(texts.select(F.col("id").alias("doc_id"), "text"), words))
-    sets = _tagged(sets.withColumnRenamed("doc_id", "id"), odd).select("id", "tag", "n", "set", "odd")
-    # An id of one row names its class; only others need the digest and may repeat.
-    several = sets.where("odd").join(kept, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
-    once = sets.where(~F.col("odd")).unionByName(several)
+    texts = marked(texts, odd, F.col("id"), "odd")
+
+    def sets(rows: DataFrame) -> DataFrame:
+        found = _digests(shingle_sets(rows.select(F.col("id").alias("doc_id"), "text"), words))
+        return found.withColumnRenamed("doc_id", "id")
+
+    # An id of one row names its class; only others need the digest and may repeat.  They are
+    # told apart before their sets are made.
+    several = _tagged(sets(texts.where("odd")), odd).select("id", "tag", "n", "set")
+    several = several.join(kept, ["id", "tag"], "left_semi").dropDuplicates(["id", "tag"])
+    single = sets(texts.where(~F.col("odd"))).withColumn("tag", F.lit(0).cast("long"))
+    once = single.select("id", "tag", "n", "set").unionAll(several)
     return once.select(F.struct("id", "tag").alias("c"), "n", "set")
 
 
