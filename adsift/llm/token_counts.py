@@ -11,29 +11,38 @@ characters that no piece holds set the state back to the start.  States and
 transitions are compiled when a worker first meets them and kept by it.
 
 A text is read in chunks of bounded size.  What a chunk does is a map from the state
-before it to the state after it and a count; past the chunk's first reset the map
-no longer depends on the state before, so it is held as the characters up to that
-reset, the count after it, and the last state.  Such maps compose associatively;
-texts of one chunk are counted where they are read, the chunks of longer ones are
-spread over the cluster and their maps folded in order.
+before it to a count and the state after it.  Of the states before, only those matter
+that reading into the chunk can lead to: all ways to enter it that begin at one of the
+few places before its border are read side by side, and nearly always they merge
+within some characters.  So a chunk's map goes from some characters behind its border
+to as many behind the next one, and holds one or few states: it is small however long
+the chunk is.  Such maps compose associatively.  Texts of one chunk are counted where
+they are read; the chunks of longer ones are spread over the cluster, and their maps are
+composed in groups of neighbours, the results again, until one is left.  A text whose
+state is in no map at some border has none left and is read from its beginning instead.
 """
 
 from __future__ import annotations
 
 import functools
-import pickle
-from collections.abc import Iterable, Iterator
+import hashlib
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from adsift.llm.common import own_columns
+from adsift.llm.common import own_columns, stage
 
 SPACE = "▁"
 #: Characters of a chunk.
 CHUNK = 1 << 15
+#: Characters behind a chunk's border at which its map begins, and places before the border at
+#: which a state may have begun.
+LOOK, BEFORE = 512, 16
+#: Neighbouring maps that are composed at once.
+TOGETHER = 64
 #: A worker forgets its compiled states beyond so many transitions.
 MOST_TRANSITIONS = 500_000
 
@@ -197,30 +206,59 @@ class Transducer:
             total += change
         return state, total
 
-    def chunk_map(self, text: str) -> tuple[str, int, tuple | None]:
-        """What a chunk does: the characters up to its first reset, the count from
-        there on, and the last state; a chunk without a reset has no last state."""
-        trie = self.pieces.trie
-        head = next((i + 1 for i, c in enumerate(text) if c not in trie), None)
-        if head is None:
-            return text, 0, None
-        state, count = self.read(text[head:], self.start)
-        return text[:head], count, state[""]
-
-    def fold(self, maps: Iterable[tuple[str, int, tuple | None]]) -> int:
-        """Compose the maps of a text's chunks, in order, from the start."""
-        state, total = self.start, 0
-        for head, count, last in maps:
-            state, change = self.read(head, state)
-            total += change + count
-            if last is not None:
-                state = self.state(last)
-        return total
+    def entered(self, text: str, border: int, at: int) -> list[dict]:
+        """The different states at a place, of all readings that begin before a border."""
+        usual, state = [], self.start
+        for c in text[border:at]:
+            state = self.read(c, state)[0]
+            usual.append(state)
+        found = {state[""]: state}
+        for begin in range(border):
+            state, merged = self.start, False
+            for i in range(begin, at):
+                state = self.read(text[i], state)[0]
+                if merged := i >= border and state is usual[i - border]:
+                    break
+            if not merged:
+                found.setdefault(state[""], state)
+        return list(found.values())
+
+    def chunk_map(self, text: str, border: int, look: int = LOOK) -> list[tuple[bytes, int, bytes]]:
+        """What a chunk does, given with what stands before its border and what follows it:
+        from each state ``look`` characters behind the border, the count and the last state.
+
+        The first chunk of a text has nothing before it and is read from its beginning.
+        """
+        at = min(border + look, len(text)) if border else 0
+        steps = []
+        for state in self.entered(text, border, at) if border else [self.start]:
+            described = state[""]
+            last, count = self.read(text[at:], state)
+            steps.append((_digest(described), count, _digest(last[""])))
+        return steps
 
     def count(self, text: str) -> int:
-        text = marked(text)
-        chunks = (text[i : i + CHUNK] for i in range(0, len(text), CHUNK))
-        return self.fold(map(self.chunk_map, chunks)) if len(text) > CHUNK else self.read(text, self.start)[1]
+        return self.read(marked(text), self.start)[1]
+
+
+def _digest(described: tuple) -> bytes:
+    return hashlib.blake2b(repr(described).encode(), digest_size=16).digest()
+
+
+def cut(text: str, size: int = CHUNK, look: int = LOOK, before: int = BEFORE) -> Iterator[tuple[str, int]]:
+    """The chunks of a text with what stands around them, and where in each its border is."""
+    for i in range(0, len(text), size):
+        border = min(i, before)
+        yield text[i - border : i + size + look], border
+
+
+def composed(maps: list[list[tuple[bytes, int, bytes]]]) -> list[tuple[bytes, int, bytes]]:
+    """Neighbouring maps, in order, as one; ways that lead to a state which the next lacks end."""
+    steps = maps[0]
+    for following in maps[1:]:
+        then = {entry: (count, last) for entry, count, last in following}
+        steps = [(e, n + then[x][0], then[x][1]) for e, n, x in steps if x in then]
+    return steps
 
 
 def marked(text: str) -> str:
@@ -249,20 +287,25 @@ def _counts(name: str):
     return run
 
 
-_CHUNKS = "doc_id long, digest long, part long, text string"
-_MAPS = "doc_id long, digest long, part long, head string, count long, last binary"
+_CHUNKS = "doc_id long, digest long, part long, border int, text string"
+_MAPS = "doc_id long, digest long, part long, steps array<struct<entry: binary, count: long, last: binary>>"
+_STEPS = pa.list_(pa.struct([("entry", pa.binary()), ("count", pa.int64()), ("last", pa.binary())]))
+
+
+def _steps(maps: list[list[tuple[bytes, int, bytes]]]) -> pa.Array:
+    return pa.array([[dict(zip(("entry", "count", "last"), s)) for s in m] for m in maps], _STEPS)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for doc_id, digest, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "digest", "text"))):
-            text = marked(text)
-            parts = [text[i : i + CHUNK] for i in range(0, len(text), CHUNK)]
+            parts = list(cut(marked(text)))
             yield pa.RecordBatch.from_pydict(
                 {"doc_id": pa.array([doc_id] * len(parts), pa.int64()),
                  "digest": pa.array([digest] * len(parts), pa.int64()),
                  "part": pa.array(range(len(parts)), pa.int64()),
-                 "text": pa.array(parts, pa.string())}
+                 "border": pa.array([border for _, border in parts], pa.int32()),
+                 "text": pa.array([t for t, _ in parts], pa.string())}
             )
 
 
@@ -270,29 +313,23 @@ def _maps(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(SparkFiles.get(name))
         for batch in batches:
-            done = [machine.chunk_map(t) for t in batch.column("text").to_pylist()]
+            chunks = zip(batch.column("text").to_pylist(), batch.column("border").to_pylist())
+            done = [machine.chunk_map(text, border) for text, border in chunks]
             yield pa.RecordBatch.from_pydict(
-                {**{c: batch.column(c) for c in ("doc_id", "digest", "part")},
-                 "head": pa.array([m[0] for m in done], pa.string()),
-                 "count": pa.array([m[1] for m in done], pa.int64()),
-                 "last": pa.array([m[2] and pickle.dumps(m[2]) for m in done], pa.binary())}
+                {**{c: batch.column(c) for c in ("doc_id", "digest", "part")}, "steps": _steps(done)}
             )
 
     return run
 
 
-def _folds(name: str):
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        machine = transducer(SparkFiles.get(name))
-        table = table.sort_by("part")
-        maps = zip(*(table.column(c).to_pylist() for c in ("head", "count", "last")))
-        read = ((h, n, last and pickle.loads(last)) for h, n, last in maps)
-        return pa.table(
-            {"k": table.column("doc_id").slice(0, 1), "digest": table.column("digest").slice(0, 1),
-             "n_tokens": pa.array([machine.fold(read)], pa.int64())}
-        )
-
-    return run
+def _compose(key: tuple, table: pa.Table) -> pa.Table:
+    """Neighbouring maps of a text as one, numbered among the others like it."""
+    table = table.sort_by("part")
+    maps = [[(s["entry"], s["count"], s["last"]) for s in m] for m in table.column("steps").to_pylist()]
+    return pa.table(
+        {**{c: table.column(c).slice(0, 1) for c in ("doc_id", "digest")},
+         "part": pa.array([key[2].as_py()], pa.int64()), "steps": _steps([composed(maps)])}
+    )
 
 
 def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
@@ -301,7 +338,7 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
     ``model_path`` is the model's file where the driver runs; it has a few
     hundred kilobytes and is sent to the workers.  Null and empty texts have no
     bytes and no tokens.  Counts are those of the model's library, without
-    begin and end tokens.
+    begin and end tokens.  Rows that repeat are counted each; no rows give none.
     """
     spark = docs.sparkSession
     spark.sparkContext.addFile(model_path)
@@ -316,19 +353,32 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
         _counts(name), "doc_id long, n_bytes long, n_tokens long"
     )
     long = rows.where(F.length("text") >= CHUNK)
-    parts = long.select("doc_id", F.xxhash64("text").alias("digest"), "text").mapInArrow(_cut, _CHUNKS)
+    long = long.withColumn("digest", F.xxhash64("text"))
+    parts = long.select("doc_id", "digest", "text").mapInArrow(_cut, _CHUNKS)
     maps = (
         parts.repartition("doc_id", "digest", "part")
         .mapInArrow(_maps(name), _MAPS)
         # Rows with equal id and text have equal parts.
         .dropDuplicates(["doc_id", "digest", "part"])
     )
-    folded = maps.groupBy("doc_id", "digest").applyInArrow(_folds(name), "k long, digest long, n_tokens long")
-    marked_rows = long.select("doc_id", "n_bytes", F.xxhash64("text").alias("digest"))
-    counted = marked_rows.join(
-        folded, F.expr("doc_id <=> k") & (marked_rows["digest"] == folded["digest"])
-    ).select("doc_id", "n_bytes", "n_tokens")
-    return short.unionAll(counted)
+    maps = stage(maps, "token-maps")
+    most = (maps.agg(F.max("part")).first()[0] or 0) + 1
+    while most > 1:
+        neighbours = F.expr(f"part div {TOGETHER}").alias("neighbours")
+        maps = maps.groupBy("doc_id", "digest", neighbours).applyInArrow(_compose, _MAPS)
+        most = -(-most // TOGETHER)
+    folded = stage(
+        maps.select(F.col("doc_id").alias("k"), F.col("digest").alias("d"), F.get("steps.count", F.lit(0)).alias("n_tokens")),
+        "token-folds",
+    )
+    same = F.expr("doc_id <=> k AND digest = d")
+    counted = long.drop("text").join(folded.where("n_tokens IS NOT NULL"), same).select("doc_id", "n_bytes", "n_tokens")
+    counted = short.unionAll(counted)
+    open_ = folded.where("n_tokens IS NULL")
+    if open_.isEmpty():
+        return counted
+    again = long.join(open_, same, "left_semi").drop("digest")
+    return counted.unionAll(again.mapInArrow(_counts(name), "doc_id long, n_bytes long, n_tokens long"))
 
 
 def over_limit(n_tokens: Column, limit: int = 4096) -> Column:
