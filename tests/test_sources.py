@@ -133,6 +133,42 @@ def test_scratch_dir_leaves_the_session_as_it_is(spark):
             storage.scratch_dir(bad)
 
 
+class _Cluster:
+    """A session of a cluster with what Spark makes of its checkpoint folder."""
+
+    master = "spark://host"
+
+    def __init__(self, spark, conf, own):
+        self.conf, self.own, self.sparkContext = dict(conf), own, self
+        self.range, self.read, self.defaultParallelism = spark.range, spark.read, 3
+
+    def getCheckpointDir(self):
+        return self.own
+
+
+def test_bare_checkpoint_paths_are_of_the_file_system_that_spark_takes(spark, tmp_path):
+    bare = {storage.CHECKPOINT_CONF: "/shared/x"}
+    assert storage.scratch_dir(_Cluster(spark, bare, "hdfs://name/shared/x/1-2")) == "hdfs://name/shared/x"
+    assert storage.scratch_dir(_Cluster(spark, {}, "hdfs://name/other/1-2")) == "hdfs://name/other"
+    mounted = _Cluster(spark, {storage.CHECKPOINT_CONF: str(tmp_path)}, f"file:{tmp_path}/1-2")
+    assert storage.scratch_dir(mounted) == f"file://{tmp_path}"
+    assert list((tmp_path / "adsift").iterdir()) == []
+
+
+def test_a_folder_that_only_one_machine_sees_is_refused(spark, tmp_path):
+    """Here no task's rows can be read again."""
+
+    class Elsewhere(_Cluster):
+        def __init__(self, *args):
+            super().__init__(*args)
+            self.read = type("Read", (), {
+                "schema": lambda self, _: self, "parquet": lambda self, _: spark.range(1),
+            })()
+
+    with pytest.raises(ValueError, match="share"):
+        storage.scratch_dir(Elsewhere(spark, {}, f"file:{tmp_path}/1-2"))
+
+
 def test_first_copies_are_numbered_in_file_order(spark, tmp_path):
     """Files of different sizes, read in splits of any size, copies near and far."""
     draw = random.Random(6)
