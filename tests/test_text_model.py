@@ -132,6 +132,25 @@ def test_only_odd_texts_go_to_python(spark):
     assert "Filter" in odd and "RLIKE" in odd
 
 
+def test_filters_do_not_make_texts_anew(spark):
+    """The filters read cleaned texts and arrays of terms as columns, and change no result."""
+    texts = ["Ab cd, ab! x@y.z http://a.b", "½ cup ﬁne ab", "한국 ab", "", None, "a . b", "Café ½@x.y vu"]
+    df = spark.createDataFrame(list(enumerate(texts)), "job_id long, job_description string")
+    rows = text.add_clean_text(df, "job_description", "desc_clean")
+    terms = vocabulary.terms_of_documents(vocabulary.with_words(rows, raw="job_description"))
+    plan = terms._jdf.queryExecution().executedPlan().toString()
+    for line in plan.splitlines():
+        if "Filter" in line:
+            assert "regexp_replace" not in line and "sort_array" not in line, line
+    wanted = {}
+    for row in rows.collect():
+        words = tokens_of(row["desc_clean"])
+        both = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+        wanted |= {(row["job_id"], t): n for t, n in collections.Counter(both).items()}
+    assert {(r["job_id"], r["term"]): r["n"] for r in terms.collect()} == wanted
+    assert any(job == 6 for job, _ in wanted)
+
+
 def test_svd_parts_do_not_grow_with_the_splits(spark, documents, monkeypatch):
     seen = []
     plain = type(spark.range(1)).mapInPandas
