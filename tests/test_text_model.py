@@ -228,3 +228,20 @@ def test_svd_goes_on_until_it_is_certified(spark):
     assert got["residual"].max() <= 1e-4 * got["energy"].max() * (1 + 1e-6)
     with pytest.raises(ValueError):
         reduction.fit_svd(df, 40, rank=3, iterations=0, tolerance=1e-12, most_iterations=1)
+
+
+def test_svd_reads_the_rows_once(spark, monkeypatch):
+    draw = np.random.default_rng(6)
+    rows = [Vectors.sparse(40, {j: float(x) for j, x in enumerate(draw.random(40)) if x > 0.5}) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(rows)), ["job_id", "tfidf"]).repartition(3)
+    plain, passes = type(df).mapInPandas, []
+    monkeypatch.setattr(type(df), "mapInPandas", lambda *args: passes.append(1) or plain(*args))
+    once = reduction.fit_svd(df, 40, rank=3, tolerance=1e-9, most_iterations=200)
+    assert len(passes) == 1
+    dense = np.array([r.toArray() for r in rows])
+    assert reduction._gram_matrix(df, "tfidf", 40) == pytest.approx(dense.T @ dense)
+    # With more terms than a matrix is made for, each iteration is a pass, with the same result.
+    monkeypatch.setattr(reduction, "GRAM_TERMS", 39)
+    passes.clear()
+    assert reduction.fit_svd(df, 40, rank=3, tolerance=1e-9, most_iterations=200) == pytest.approx(once, abs=1e-9)
+    assert len(passes) > 5
