@@ -33,3 +33,8 @@ def test_rows_of_the_logistic_certificate(spark, made, monkeypatch):
     with pytest.raises(AttributeError):
         queries.lr_stationarity(spark, made)
     assert found == [N]
+
+
+def test_rows_of_the_calibration(spark, made):
+    got = queries.calibration_balance(spark, made).collect()
+    assert sum(r["n_rows"] for r in got) == int(N * 0.3) and all(abs(r["gap"]) < 0.01 for r in got)
