@@ -38,3 +38,8 @@ def test_rows_of_the_logistic_certificate(spark, made, monkeypatch):
 def test_rows_of_the_calibration(spark, made):
     got = queries.calibration_balance(spark, made).collect()
     assert sum(r["n_rows"] for r in got) == int(N * 0.3) and all(abs(r["gap"]) < 0.01 for r in got)
+
+
+def test_rows_that_are_cross_fitted(spark, made):
+    (got,) = queries.cross_fitted_rows(spark, made).collect()
+    assert got["n_rows"] == got["n_ids"] == got["in_range"] == N
