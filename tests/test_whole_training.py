@@ -43,3 +43,11 @@ def test_rows_of_the_calibration(spark, made):
 def test_rows_that_are_cross_fitted(spark, made):
     (got,) = queries.cross_fitted_rows(spark, made).collect()
     assert got["n_rows"] == got["n_ids"] == got["in_range"] == N
+
+
+@pytest.mark.parametrize("kind", ["calibrated"])
+def test_rows_of_the_shared_models(spark, made, monkeypatch, kind):
+    found = []
+    monkeypatch.setattr(training, f"fit_{kind}", lambda rows: found.append(rows.count()))
+    queries._model(spark, made, kind)
+    assert found == [N]
