@@ -45,7 +45,7 @@ def test_rows_that_are_cross_fitted(spark, made):
     assert got["n_rows"] == got["n_ids"] == got["in_range"] == N
 
 
-@pytest.mark.parametrize("kind", ["calibrated", "forest"])
+@pytest.mark.parametrize("kind", ["calibrated", "forest", "boosted"])
 def test_rows_of_the_shared_models(spark, made, monkeypatch, kind):
     found = []
     monkeypatch.setattr(training, f"fit_{kind}", lambda rows: found.append(rows.count()))
