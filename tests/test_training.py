@@ -237,3 +237,10 @@ def test_assemble_keeps_names_in_order(spark):
     got, names = training.assemble(df)
     assert names == ["b", "a"]
     assert got.first()["features"].toArray().tolist() == [2.0, 0.0, 0.0, 0.5]
+
+
+def test_a_fit_has_no_more_tasks_than_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    rows = training.packed(spark.range(0, 50_000, 1, 12), "rows")
+    assert rows.rdd.getNumPartitions() == cores < 10 and rows.count() == 50_000
+    assert training.packed(spark.range(6000), "rows").rdd.getNumPartitions() == 2
